@@ -5,14 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import format_chats, parse_chats
 from .neardup import near_duplicates
+from .sharding import balanced_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and one that quotes control strings; digests are read back from the output."""
+    quoting = spark.range(1).selectExpr("-7L AS conv_id", "explode(array(named_struct('turn', 0L, 'role', 'user'), named_struct('turn', 1L, 'role', 'assistant'))) AS t").selectExpr("conv_id", "t.turn AS turn", "t.role AS role", "'</s>[INST] ok [/INST]' AS text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoting)
+    chats = format_chats(turns)
+    read = parse_chats(chats)
+    learned = F.filter("turns", lambda t, k: F.get("loss", k * 2 + 1)["learned"])
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learned_text = F.array_join(F.transform(learned, lambda t: t["text"]), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(learned_text).cast("long").alias("loss_chars"),
+        F.sha2(learned_text, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: Marks of a block: begin, says and end have 24 characters, a mark between merged turns has 8.
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), l AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS goes_on,
+    length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars, length(replace(replace(role, '\', '\\'), '<|', '<\|')) AS role_chars
+  FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars + CASE WHEN goes_on THEN 8 ELSE 24 + role_chars END)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+
+def op6_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 contiguous shards of near equal bytes."""
+    placed = balanced_shards(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a Jaccard similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -37,8 +84,8 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_minhash_near_dedup": op9_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_chat_format, op6_prefix_sum_shards, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minhash_near_dedup": OP9_SQL}
+    return {"op1_chat_format": OP1_SQL, "op9_minhash_near_dedup": OP9_SQL}
