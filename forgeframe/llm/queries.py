@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, parse_chats
 from .decontam import contamination
 from .neardup import near_duplicates
+from .packing import packed, pieces
 from .sharding import balanced_shards
 from .sql import ORACLES
+from .storage import new_path, staged
+from .tokenfile import read_tokens, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    folder = new_path(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return read_tokens(spark, folder)
+
+
 def op6_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near equal bytes."""
     placed = balanced_shards(table(spark, sf_dir, "documents"), shards=16)
@@ -50,13 +61,20 @@ def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048)
+    cut = staged(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
+    return packed(cut, length=2048)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a Jaccard similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op6_prefix_sum_shards, op7_fm_index_decontamination, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
