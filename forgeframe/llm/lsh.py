@@ -5,7 +5,8 @@ An item is a row (id, bands, sketch). Two items that agree in a band are candida
 expanded into all its pairs:
 
 1. star: each bucket's members are paired with the bucket's smallest id; pairs whose sketches are
-   plainly too different go, the rest are verified exactly; components are formed;
+   plainly too different go, the rest are verified exactly; components are formed. Buckets that still
+   hold several are paired once more, with a member chosen by hash, so that groups grow together;
 2. rest: a bucket that still holds several components is compared inside tasks, in blocks of bounded
    size, and only pairs across components that the sketches leave possible come out, to be verified.
 
@@ -42,24 +43,27 @@ class Sketch:
     """What the stored sketches are: ``width`` values of ``dtype`` (0: nothing there).
 
     A pair may be similar if the share of equal values among those that either side has, with the
-    expected share ``accident`` of equal values by chance taken off, is at least ``least``.
+    expected share ``accident`` of equal values by chance taken off, is at least ``least``. Where each
+    element of a set can change one value only, ``differing`` is the largest share of both sizes' sum in
+    which a link may differ: more unequal values than that rule it out, whatever the estimate.
     """
 
     width: int
     dtype: str
     least: float
     accident: float = 0.0
+    differing: float | None = None
 
     def rows(self, column) -> np.ndarray:
         return np.frombuffer(b"".join(column), self.dtype).reshape(-1, self.width)
 
-    def estimate(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def possible(self, x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For rows of sketches, and the sums of their sets' sizes."""
         used = ((x > 0) | (y > 0)).sum(1)
-        raw = ((x == y) & (x > 0)).sum(1) / np.maximum(used, 1)
-        return np.clip((raw - self.accident) / (1 - self.accident), 0, 1)
-
-    def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return self.estimate(x, y) >= self.least
+        equal = ((x == y) & (x > 0)).sum(1)
+        raw = equal / np.maximum(used, 1)
+        out = (raw - self.accident) / (1 - self.accident) >= self.least
+        return out if self.differing is None else out & (used - equal <= self.differing * sizes + 1e-9)
 
 
 def _estimated(kind: Sketch):
@@ -68,7 +72,7 @@ def _estimated(kind: Sketch):
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x, y = (kind.rows(part.column(c).to_pylist()) for c in ("sketch_a", "sketch_b"))
-                yield part.select(["a", "b"]).filter(pa.array(kind.possible(x, y)))
+                yield part.select(["a", "b"]).filter(pa.array(kind.possible(x, y, part.column("sizes").to_numpy())))
 
     return run
 
@@ -77,7 +81,8 @@ def _compared(kind: Sketch):
     """Within one pair of blocks: the pairs of different labels that may be similar.
 
     Rows go by the number of values they have: for a possible pair the smaller number is at least
-    ``least`` times the larger one. A quarter of the values is compared first.
+    ``least`` times the larger one. A quarter of the values is compared first. A pair that shares an
+    earlier band comes out there, and not here.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,8 +90,9 @@ def _compared(kind: Sketch):
         has = (sketch > 0).sum(1)
         order = np.argsort(has, kind="stable")
         sketch, has = sketch[order], has[order]
-        ids, label, block = (pdf[c].to_numpy()[order] for c in ("id", "label", "block"))
-        alone = (pdf["low"] == pdf["high"]).iat[0]
+        ids, label, block, n = (pdf[c].to_numpy()[order] for c in ("id", "label", "block", "n"))
+        earlier = np.stack(pdf["keys"].to_numpy()[order])[:, : pdf["band"].iat[0]]
+        alone = pdf["low"].iat[0] == pdf["high"].iat[0]
         quarter = max(1, kind.width // 4)
         found = [np.zeros((0, 2), np.int64)]
         for i in range(len(ids)):
@@ -98,7 +104,9 @@ def _compared(kind: Sketch):
                 used = ((y > 0) | (x > 0)).sum(1)
                 other = other[(used < 24) | (((y == x) & (x > 0)).sum(1) >= (kind.least - 0.3) * used)]
             if len(other):
-                other = other[kind.possible(sketch[i : i + 1], sketch[other])]
+                other = other[~((earlier[other] == earlier[i]) & (earlier[i] != 0)).any(1)]
+            if len(other):
+                other = other[kind.possible(sketch[i : i + 1], sketch[other], n[other] + n[i])]
                 found.append(np.c_[np.full(len(other), ids[i]), ids[other]])
         pairs = np.sort(np.concatenate(found), axis=1)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -107,32 +115,46 @@ def _compared(kind: Sketch):
 
 
 def clusters(items: DataFrame, kind: Sketch, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """((id, root) of every linked item, links (a, b)) of staged ``items`` (id, bands, sketch).
+    """((id, root) of every linked item, links (a, b)) of staged ``items`` (id, n, bands, sketch).
 
-    ``bands`` holds one value a band, null where the band says nothing; ``sketch`` is as ``kind`` says.
-    ``verify`` takes pairs (a, b), a < b, and returns those that are links, checked on whole items.
+    ``n`` is the size of the item's set. ``bands`` holds one value a band, null where the band says
+    nothing; ``sketch`` is as ``kind`` says. ``verify`` takes pairs (a, b), a < b, and returns those that
+    are links, checked on whole items.
     """
     rows = items.select("id", F.posexplode("bands").alias("band", "key")).where("key is not null")
-    buckets = staged(rows.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1"), "buckets")
+    buckets = staged(rows.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.min(F.struct(F.xxhash64("id", "band", "key"), "id"))["id"].alias("other"), F.count("*").alias("m")).where("m > 1"), "buckets")
     shared = staged(rows.join(small(buckets), ["band", "key"]), "shared")
-    sketches = items.select("id", "sketch")
-
-    star = shared.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").select("a", "b", "sketch_a", "sketch_b")
-    links = verify(staged(star.mapInArrow(_estimated(kind), "a long, b long"), "star"))
+    sketches = items.select("id", "n", "sketch")
+
+    def star(members: DataFrame, pivot: str) -> DataFrame:
+        pairs = members.where(F.col("id") != F.col(pivot)).select(F.least("id", pivot).alias("a"), F.greatest("id", pivot).alias("b")).distinct()
+        pairs = pairs.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
+        pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a")), "a")
+        pairs = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "sketch_a", "sketch_b")
+        return verify(staged(pairs.mapInArrow(_estimated(kind), "a long, b long"), "star"))
+
+    def still_open(found: DataFrame) -> DataFrame:
+        """Members, with their labels, of the buckets of three or more that hold several components."""
+        several = shared.where("m > 2").join(found, "id", "left").withColumn("label", F.coalesce("root", "id"))
+        mixed = several.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "key")
+        return staged(several.join(mixed, ["band", "key"], "left_semi").drop("root"), "open")
+
+    links = star(shared, "pivot")
     found = staged(components(links), "components")
-
-    several = shared.where("m > 2").join(found, "id", "left").withColumn("label", F.coalesce("root", "id"))
-    open_ = several.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "key")
-    rest = staged(several.join(open_, ["band", "key"], "left_semi").select("band", "key", "id", "label", "m"), "rest")
+    rest = still_open(found)
+    if rest.isEmpty():
+        return found, links
+    labels = rest.select(F.col("id").alias("other"), "band", "key", F.col("label").alias("its"))
+    links = links.union(star(rest.join(labels, ["band", "key", "other"]).where("label <> its"), "other"))
+    found = staged(components(links), "components")
+    rest = still_open(found)
     if rest.isEmpty():
         return found, links
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = rest.withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rest = rest.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    rest = rest.join(sketches, "id").select("band", "key", "low", "high", "block", "id", "label", "sketch")
+    rest = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("next", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.withColumns({"low": F.least("block", "next"), "high": F.greatest("block", "next")})
+    keys = F.transform("bands", lambda k: F.coalesce(k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(0)))
+    rest = rest.join(items.select("id", "n", "sketch", keys.alias("keys")), "id").select("band", "key", "low", "high", "block", "id", "label", "n", "keys", "sketch")
     pairs = rest.groupBy("band", "key", "low", "high").applyInPandas(_compared(kind), "a long, b long").distinct()
     more = verify(staged(pairs, "pairs"))
     links = staged(links.union(more).distinct(), "links")

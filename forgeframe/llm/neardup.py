@@ -34,7 +34,8 @@ ROWS = 7
 BANDS = BUCKETS // ROWS
 #: A pair is dropped before verification only if its estimate is so far below the threshold: six
 #: standard errors for long documents. For short ones each differing shingle spoils one register at
-#: most, so the estimate can't fall so far below the similarity at all.
+#: most, which gives a bound that no link can break: a union is at most (|A| + |B|) / (1 + percent/100),
+#: so at most (1 - p) / (1 + p) of |A| + |B| differs.
 SLACK = 0.14
 
 
@@ -127,14 +128,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = staged(classes.where("copies > 1").drop("copies"), "classes")
     copies = small(classes)
     items = table.where("n_shingles > 0 and doc_id is not null").join(copies, key, "left").where("rep is null or rep = doc_id")
-    items = staged(items.select(F.col("doc_id").alias("id"), "bands", "sketch"), "items")
+    items = staged(items.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"), "items")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
         sets = staged(docs.join(small(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
         return staged(linked(pairs, sets, percent), "linked")
 
-    found, _ = clusters(items, Sketch(BUCKETS, "<u2", percent / 100 - SLACK, ACCIDENT), verify)
+    found, _ = clusters(items, Sketch(BUCKETS, "<u2", percent / 100 - SLACK, ACCIDENT, (100 - percent) / (100 + percent)), verify)
     roots = small(staged(found.withColumnRenamed("id", "rep"), "roots"))
     out = slim.join(copies, key, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(roots, "rep", "left")
     component = F.coalesce("root", "rep")
