@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, parse_chats
 from .decontam import contamination
+from .langid import detect, fit
 from .neardup import near_duplicates
 from .packing import packed, pieces
 from .sharding import balanced_shards
@@ -41,6 +42,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those whose crc32 of the id leaves no remainder 1 by 3."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = fit(docs.where(~held_out))
+    return detect(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, read back."""
     folder = new_path(spark, "token-files")
@@ -74,7 +83,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
