@@ -17,6 +17,7 @@ from .sharding import balanced_shards
 from .sql import ORACLES
 from .storage import new_path, staged
 from .tokenfile import read_tokens, write_tokens
+from .vptree import nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +83,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings for every vec_id divisible by 20; exact, with the factor at one."""
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, factor=1.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search)}
 
 
 def oracle_sql() -> dict[str, str]:
