@@ -16,6 +16,7 @@ from .packing import packed, pieces
 from .sharding import balanced_shards
 from .sql import ORACLES
 from .storage import new_path, staged
+from .substring import repeated_spans
 from .tokenfile import read_tokens, write_tokens
 from .vptree import nearest
 
@@ -43,6 +44,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all documents that repeat a part of another document, or of the same one."""
+    return repeated_spans(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those whose crc32 of the id leaves no remainder 1 by 3."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -89,7 +95,7 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search)}
+    return {f.__name__: f for f in (op1_chat_format, op3_paragraph_dedup, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search)}
 
 
 def oracle_sql() -> dict[str, str]:
