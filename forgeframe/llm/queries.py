@@ -13,6 +13,7 @@ from .decontam import contamination
 from .langid import detect, fit
 from .neardup import near_duplicates
 from .packing import packed, pieces
+from .quality import assess
 from .sharding import balanced_shards
 from .sql import ORACLES
 from .storage import new_path, staged
@@ -44,6 +45,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of all documents; a document's host is its source, its path the language there."""
+    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of all documents that repeat a part of another document, or of the same one."""
     return repeated_spans(table(spark, sf_dir, "documents"), percent=80)
@@ -95,7 +101,7 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_paragraph_dedup, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_empirical_bayes, op3_paragraph_dedup, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search)}
 
 
 def oracle_sql() -> dict[str, str]:
