@@ -2,7 +2,7 @@
 
 A document's set of distinct 5-word shingles is hashed once. The hash's first bits choose one of 256
 buckets; the bucket keeps its smallest value as a leading-zero count and the mantissa bits after it.
-Bands of 7 registers find candidates, registers estimate the Jaccard similarity with the expected
+Bands of registers (7 at a similarity of 0.85) find candidates, registers estimate the Jaccard similarity with the expected
 share of accidental agreements taken off, and exact set intersections confirm each link.
 """
 
@@ -30,8 +30,8 @@ STORED = 10
 #: Two different minima agree in leading zeros and stored mantissa with probability
 #: sum_z 2**-2(z+1) * 2**-STORED: a third of 2**-STORED.
 ACCIDENT = 2.0**-STORED / 3
-ROWS = 7
-BANDS = BUCKETS // ROWS
+#: A pair just at the threshold shares no band with at most this probability, for long documents.
+MISSED = 5e-6
 #: A pair is dropped before verification only if its estimate is so far below the threshold: six
 #: standard errors for long documents. For short ones each differing shingle spoils one register at
 #: most, which gives a bound that no link can break: a union is at most (|A| + |B|) / (1 + percent/100),
@@ -68,30 +68,38 @@ def stored(table: np.ndarray) -> np.ndarray:
     return np.where(table > 0, ((table - np.uint32(1) * (table > 0)) >> np.uint32(MANTISSA - STORED)) + 1, 0).astype("<u2")
 
 
-def bands(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One hash for each band of ROWS registers, and whether the band holds anything."""
-    cut = table[:, : BANDS * ROWS].reshape(len(table), BANDS, ROWS)
+def tuned_rows(percent: int) -> int:
+    """The most registers a band can have: 7 at a similarity of 85 percent, 6 at 80."""
+    return max(r for r in range(1, BUCKETS) if r == 1 or (1 - (percent / 100) ** r) ** (BUCKETS // r) <= MISSED)
+
+
+def bands(table: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for each band of ``rows`` registers, and whether the band holds anything."""
+    n = BUCKETS // rows
+    cut = table[:, : n * rows].reshape(len(table), n, rows)
     out = np.zeros(cut.shape[:2], U64)
-    for j in range(ROWS):
+    for j in range(rows):
         out = mix(out * U64(0x9E3779B97F4A7C15) + cut[:, :, j].astype(U64) + U64(j + 1))
     return out, (cut > 0).any(2)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for texts in runs(batch.column("text")):
-            values, of = shingles(texts)
-            counts = np.diff(of)
-            table = registers(values, of)
-            keys, filled = bands(table)
-            sums = [np.r_[U64(0), np.cumsum(v)] for v in (values, mix(values))]
-            k1, k2 = (s[of[1:]] - s[of[:-1]] for s in sums)
-            flat = pa.array(keys.reshape(-1).view(np.int64), mask=~filled.reshape(-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(texts.first, len(texts)), pa.array(counts), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, pa.array([r.tobytes() for r in stored(table)], pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
-            )
+def _sketched(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in runs(batch.column("text")):
+                values, of = shingles(texts)
+                table = registers(values, of)
+                keys, filled = bands(table, rows)
+                sums = [np.r_[U64(0), np.cumsum(v)] for v in (values, mix(values))]
+                k1, k2 = (s[of[1:]] - s[of[:-1]] for s in sums)
+                flat = pa.array(keys.reshape(-1).view(np.int64), mask=~filled.reshape(-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * keys.shape[1], pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(texts.first, len(texts)), pa.array(np.diff(of)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, pa.array([r.tobytes() for r in stored(table)], pa.binary())],
+                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +129,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     of a class is banded, so a group of copies of any size costs a minimum.
     """
     docs = docs.select("doc_id", "text")
-    table = staged(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "sketches")
+    table = staged(docs.mapInArrow(_sketched(tuned_rows(percent)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "sketches")
     key = ["k1", "k2", "n_shingles"]
     slim = table.select("doc_id", *key)
     classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
