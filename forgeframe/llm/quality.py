@@ -189,7 +189,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     quality, toxic (0 or 1). Labelled documents for which ``held_out`` is false give the counts of the
     features, the others calibrate them. A site counts each labelled document by its label and each
     other one by its calibrated evidence; a document's own share is left out of what its site says.
-    ``keep`` is true where quality is at least one half and toxic below.
+    ``toxic`` is true above one half; ``keep`` where quality is at least one half and toxic isn't above.
 
     Null text: no words. Null host or path: a site of its own. Null labels are no labels; labels that
     repeat a doc_id are averaged. Without any label evidence is 0 and all stand at one half, kept. Rows
@@ -229,5 +229,5 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
         site = (F.col(f"{t}_path_sum") - share[t] + F.col(f"{t}_host") * k) / (F.col("n_path") - 1 + k)
         posterior = _sigmoid(F.col(f"{t}_evidence") * a + b - _logit(mean[t]) + _logit(site))
         out = out.withColumns({f"{t}_path": site, f"p_{t}": posterior})
-    keep = (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)
-    return out.select("doc_id", "host", "path", "quality_evidence", "toxic_evidence", "quality_host", "toxic_host", "quality_path", "toxic_path", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"), keep.alias("keep"))
+    keep = (F.col("p_quality") >= 0.5) & (F.col("p_toxic") <= 0.5)
+    return out.select("doc_id", "host", "path", "quality_evidence", "toxic_evidence", "quality_host", "toxic_host", "quality_path", "toxic_path", "p_quality", "p_toxic", (F.col("p_toxic") > 0.5).alias("toxic"), keep.alias("keep"))
