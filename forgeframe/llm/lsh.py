@@ -114,13 +114,59 @@ def _compared(kind: Sketch):
     return run
 
 
-def clusters(items: DataFrame, kind: Sketch, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _connected(percent: int):
+    """Within one pair of blocks: links, checked on whole sets, that join labels; as many as join them all.
+
+    One pass over the blocks' elements gives the intersections of one member with all others.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = pdf["shingles"].to_numpy()
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        of = np.r_[0, np.cumsum(n)]
+        ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
+        _, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        unique, element = np.unique(np.concatenate(sets), return_inverse=True)
+        alone = pdf["low"].iat[0] == pdf["high"].iat[0]
+        has, found = np.zeros(len(unique), np.int64), []
+        for i in range(len(ids)):
+            other = (label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (alone | (block != block[i]))
+            if not other.any():
+                continue
+            own = element[of[i] : of[i + 1]]
+            has[own] = 1
+            common = np.add.reduceat(has[element], of[:-1])
+            has[own] = 0
+            for j in np.flatnonzero(other & (common * 100 >= (n + n[i] - common) * percent)):
+                if label[j] != label[i]:
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose whole ``sets`` (id, shingles) have 100 * intersection >= percent * union."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("n")).where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
+
+
+def clusters(items: DataFrame, kind: Sketch, sets_of: Callable[[DataFrame], DataFrame], percent: int, whole_blocks: bool = False) -> tuple[DataFrame, DataFrame]:
     """((id, root) of every linked item, links (a, b)) of staged ``items`` (id, n, bands, sketch).
 
     ``n`` is the size of the item's set. ``bands`` holds one value a band, null where the band says
-    nothing; ``sketch`` is as ``kind`` says. ``verify`` takes pairs (a, b), a < b, and returns those that
-    are links, checked on whole items.
+    nothing; ``sketch`` is as ``kind`` says. ``sets_of`` takes staged ids (id) and returns their whole sets
+    (id, shingles); items link if these have 100 * intersection >= percent * union. With
+    ``whole_blocks`` step 2 compares whole sets instead of sketches, which suits small sets: then only
+    links come out, no more than join the components.
     """
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+        return staged(linked(pairs, staged(sets_of(ids), "sets"), percent), "linked")
+
     rows = items.select("id", F.posexplode("bands").alias("band", "key")).where("key is not null")
     buckets = staged(rows.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.min(F.struct(F.xxhash64("id", "band", "key"), "id"))["id"].alias("other"), F.count("*").alias("m")).where("m > 1"), "buckets")
     shared = staged(rows.join(small(buckets), ["band", "key"]), "shared")
@@ -153,6 +199,12 @@ def clusters(items: DataFrame, kind: Sketch, verify: Callable[[DataFrame], DataF
     rest = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("next", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumns({"low": F.least("block", "next"), "high": F.greatest("block", "next")})
+    if whole_blocks:
+        sets = sets_of(staged(rest.select("id").distinct(), "wanted"))
+        rest = rest.join(sets, "id").select("band", "key", "low", "high", "block", "id", "label", "shingles")
+        more = staged(rest.groupBy("band", "key", "low", "high").applyInPandas(_connected(percent), "a long, b long").distinct(), "linked")
+        links = staged(links.union(more).distinct(), "links")
+        return staged(components(links), "components"), links
     keys = F.transform("bands", lambda k: F.coalesce(k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(0)))
     rest = rest.join(items.select("id", "n", "sketch", keys.alias("keys")), "id").select("band", "key", "low", "high", "block", "id", "label", "n", "keys", "sketch")
     pairs = rest.groupBy("band", "key", "low", "high").applyInPandas(_compared(kind), "a long, b long").distinct()

@@ -109,13 +109,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(texts.first, len(texts)), list_array(values, of)], names=["id", "shingles"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose whole ``sets`` (id, shingles) have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("n")).where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -138,12 +131,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     items = table.where("n_shingles > 0 and doc_id is not null").join(copies, key, "left").where("rep is null or rep = doc_id")
     items = staged(items.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"), "items")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-        sets = staged(docs.join(small(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-        return staged(linked(pairs, sets, percent), "linked")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = docs.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
+        return wanted.select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>")
 
-    found, _ = clusters(items, Sketch(BUCKETS, "<u2", percent / 100 - SLACK, ACCIDENT, (100 - percent) / (100 + percent)), verify)
+    found, _ = clusters(items, Sketch(BUCKETS, "<u2", percent / 100 - SLACK, ACCIDENT, (100 - percent) / (100 + percent)), sets_of, percent)
     roots = small(staged(found.withColumnRenamed("id", "rep"), "roots"))
     out = slim.join(copies, key, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(roots, "rep", "left")
     component = F.coalesce("root", "rep")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .decontam import cut
 from .lsh import Sketch, clusters, small
-from .neardup import SHINGLE, linked
+from .neardup import SHINGLE
 from .storage import staged
 from .textops import SPACED, U64, Texts, distinct_sorted, list_array, mix, ragged, runs, span_hashes, windows, words
 
@@ -115,15 +115,13 @@ def _paragraphs(docs: DataFrame, units: DataFrame, percent: int, bands: int) ->
     items = staged(items, "paragraphs")
     places = paragraphs.select("id", "doc_id", "start")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-        wanted = staged(places.join(small(wanted), "id", "left_semi"), "wanted-places")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = staged(places.join(small(ids), "id", "left_semi"), "wanted-places")
         of = docs.join(small(staged(wanted.select("doc_id").distinct(), "wanted-docs")), "doc_id", "left_semi")
         sets = of.select("doc_id", "text").mapInArrow(_paragraph_sets, "doc_id long, start long, shingles array<long>")
-        sets = staged(sets.join(small(wanted), ["doc_id", "start"]).select("id", "shingles"), "sets")
-        return staged(linked(pairs, sets, percent), "linked")
+        return sets.join(small(wanted), ["doc_id", "start"]).select("id", "shingles")
 
-    found, _ = clusters(items, Sketch(ROWS * bands, "<u4", percent / 100 - SLACK), verify)
+    found, _ = clusters(items, Sketch(ROWS * bands, "<u4", percent / 100 - SLACK), sets_of, percent, whole_blocks=True)
     placed = paragraphs.select("id", "doc_id", "start", "end", "words", *key).join(copies, key, "left").withColumn("rep", F.coalesce("rep", "id"))
     placed = placed.join(small(staged(found.select(F.col("id").alias("rep"), "root"), "roots")), "rep", "left")
     placed = placed.withColumn("root", F.coalesce("root", "rep"))
