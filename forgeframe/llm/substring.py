@@ -3,8 +3,8 @@
 A paragraph is a line of at least 20 words. Its MinHash values are banded, colliding paragraphs are
 joined and verified by exact Jaccard similarity, and of each connected component all but the first
 paragraph go. A passage that was put into the middle of lines has no line of its own: sentences that
-repeat word for word are found by their hashes, and a run of them of at least 40 words goes from
-everywhere but its first place.
+repeat word for word, long ones in parts that their own words set, are found by their hashes, and a run
+of them of at least 30 words goes from everywhere but its first place.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from .neardup import SHINGLE
 from .storage import staged
 from .textops import SPACED, U64, Texts, distinct_sorted, list_array, mix, ragged, runs, span_hashes, windows, words
 
-#: Words of the least paragraph, the least sentence, and the least run of repeated sentences; words
-#: that may lie between two sentences of a run.
-PARAGRAPH, SENTENCE, RUN, GAP = 20, 6, 40, 6
+#: Words of the least paragraph, the least sentence or part of one, and the least run of repeated ones;
+#: words that may lie between two of a run.
+PARAGRAPH, SENTENCE, RUN, GAP = 20, 5, 30, 6
+#: Sentences of so many words are divided after words whose hash is a multiple of CUT, so that a passage
+#: which goes on from its host's sentence is still found.
+LONG, CUT = 16, 8
 ROWS = 3
 RECALL = 0.999
 #: Estimates from so few values are rough: a pair goes unverified only this far below the threshold.
@@ -83,6 +86,8 @@ def _units(n_hashes: int):
 
                 stop = np.isin(found.lower[found.ends - 1], np.frombuffer(b".!?", np.uint8))
                 edges = np.union1d(of, np.flatnonzero(stop) + 1)
+                size = np.diff(edges)
+                edges = np.union1d(edges, np.flatnonzero(np.repeat(size >= LONG, size) & (hashes % U64(CUT) == 0)) + 1)
                 first, last = edges[:-1], edges[1:]
                 long = last - first >= SENTENCE
                 first, last = first[long], last[long]
