@@ -21,6 +21,22 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM l GROUP BY conv_id
 """
 
+#: CRC-32 byte by byte, with the usual table made from its polynomial.
+OP6_SQL = """
+WITH t AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc FROM range(256) AS r(n)
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT doc_id, size, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, size - 1), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda x, b: xor(x >> 8, t.crc[(xor(x, b) & 255) + 1])) AS x FROM d, t
+), s AS (
+  SELECT doc_id, size::BIGINT AS size, xor(x, 4294967295) AS text_crc32,
+    least(15, (sum(size) OVER (ORDER BY doc_id) * 2 - size) * 16 // (sum(size) OVER () * 2))::INTEGER AS shard FROM c
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
+
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), b AS (SELECT item_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
@@ -64,6 +80,7 @@ FROM s QUALIFY rank <= 20
 
 ORACLES = {
     "op1_chat_format": OP1_SQL,
+    "op6_prefix_sum_shards": OP6_SQL,
     "op7_fm_index_decontamination": OP7_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_vantage_point_search": OP10_SQL,
