@@ -148,7 +148,7 @@ def a02_ridge(spark, sf_dir):
     return spark.createDataFrame([(round(float(m.coefficients[0]), 3),)], "slope double")
 
 
-@query("WITH c AS (SELECT l_quantity - (SELECT avg(l_quantity) FROM lineitem) AS x, l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS y FROM lineitem) SELECT round((sum(x * y) / count(*) - 500) / (sum(x * x) / count(*)), 2) AS slope FROM c")
+@query("WITH c AS (SELECT l_quantity - (SELECT avg(l_quantity) FROM lineitem) AS x, l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS y FROM lineitem), m AS (SELECT avg(x * y) AS xy, avg(x * x) AS xx FROM c) SELECT round(sign(xy) * greatest(abs(xy) - 500, 0) / xx, 2) AS slope FROM m")
 def a03_lasso(spark, sf_dir):
     data = select.assembled(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), ["l_quantity"])
     m = models.make("lasso", data, "l_extendedprice", alpha=500.0).fit(data)
