@@ -17,6 +17,8 @@ from .textops import Texts, ragged, span_hashes
 #: Pieces that one worker remembers (some 100 MB), and the longest of them in bytes.
 REMEMBERED = 2_000_000
 LONGEST = 48
+#: Pieces that the tokenizer gets at once; its results hold far more than the ids.
+TOGETHER = 2048
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
@@ -48,9 +50,12 @@ class PieceEncoder:
         self.at, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(pieces), TOGETHER):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + TOGETHER], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
         raw = data.tobytes()
