@@ -1,10 +1,10 @@
-"""Substring dedup: paragraphs that nearly repeat, and passages that repeat within paragraphs.
+"""Substring dedup: paragraphs that nearly repeat, and passages that repeat word for word anywhere.
 
 A paragraph is a line of at least 20 words. Its MinHash values are banded, colliding paragraphs are
 joined and verified by exact Jaccard similarity, and of each connected component all but the first
-paragraph go. A passage that was put into the middle of lines has no line of its own: sentences that
-repeat word for word, long ones in parts that their own words set, are found by their hashes, and a run
-of them of at least 30 words goes from everywhere but its first place.
+paragraph go. In what is left, every window of 30 words that also lies at an earlier place goes,
+wherever it begins and whatever lines or sentences it crosses. Each window is marked by the least hash
+of its 16-word grams, which its own words decide; only windows whose mark occurs twice are compared.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +22,10 @@ from .decontam import cut
 from .lsh import Sketch, clusters, small
 from .neardup import SHINGLE
 from .storage import staged
-from .textops import SPACED, U64, Texts, distinct_sorted, list_array, mix, ragged, runs, span_hashes, windows, words
-
-#: Words of the least paragraph, the least sentence or part of one, and the least run of repeated ones;
-#: words that may lie between two of a run.
-PARAGRAPH, SENTENCE, RUN, GAP = 20, 5, 30, 6
-#: Sentences of so many words are divided after words whose hash is a multiple of CUT, so that a passage
-#: which goes on from its host's sentence is still found.
-LONG, CUT = 16, 8
+from .textops import SPACED, U64, Texts, distinct_sorted, list_array, mix, ragged, runs, windows, words
+
+#: Words of the least paragraph, of a window, and of the grams that mark windows.
+PARAGRAPH, RUN, GRAM = 20, 30, 16
 ROWS = 3
 RECALL = 0.999
 #: Estimates from so few values are rough: a pair goes unverified only this far below the threshold.
@@ -59,41 +56,27 @@ def minhashes(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def _units(n_hashes: int):
-    names = ["doc_id", "kind", "start", "end", "word", "words", "n", "k1", "k2", "sketch"]
+    names = ["doc_id", "start", "end", "words", "n", "k1", "k2", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in runs(batch.column("text"), 2 << 20):
                 found, of, text = _lines(texts)
-                if not len(found.starts):
+                long = np.flatnonzero(np.diff(of) >= PARAGRAPH)
+                if not len(long):
                     continue
                 hashes = found.hashes()
-                ids = batch.column("doc_id").slice(texts.first, len(texts))
-
-                def rows(kind, which, first, last, n, k1, k2, sketch, found=found, texts=texts, ids=ids):
-                    base = texts.offsets[which]
-                    made = [np.full(len(first), kind, np.int8), found.starts[first] - base, found.ends[last - 1] - base, first - found.of[which], last - first, n, k1.view(np.int64), k2.view(np.int64)]
-                    return pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *map(pa.array, made), sketch], names=names)
-
-                long = np.flatnonzero(np.diff(of) >= PARAGRAPH)
                 size = np.diff(of)[long]
                 picked = np.repeat(of[long], size) + ragged(size)
                 values, sets = distinct_sorted(*windows(hashes[picked], np.r_[0, np.cumsum(size)], SHINGLE))
                 sums = [np.r_[U64(0), np.cumsum(v)] for v in (values, mix(values))]
                 k1, k2 = (s[sets[1:]] - s[sets[:-1]] for s in sums)
                 sketch = pa.array([r.tobytes() for r in minhashes(values, sets, n_hashes)], pa.binary())
-                yield rows(0, text[long], of[long], of[long + 1], np.diff(sets), k1, k2, sketch)
-
-                stop = np.isin(found.lower[found.ends - 1], np.frombuffer(b".!?", np.uint8))
-                edges = np.union1d(of, np.flatnonzero(stop) + 1)
-                size = np.diff(edges)
-                edges = np.union1d(edges, np.flatnonzero(np.repeat(size >= LONG, size) & (hashes % U64(CUT) == 0)) + 1)
-                first, last = edges[:-1], edges[1:]
-                long = last - first >= SENTENCE
-                first, last = first[long], last[long]
-                which = np.searchsorted(found.of, first, "right") - 1
-                k1, k2 = span_hashes(hashes, first, last, 0), span_hashes(hashes, first, last, 1)
-                yield rows(1, which, first, last, last - first, k1, k2, pa.nulls(len(first), pa.binary()))
+                first, last, which = of[long], of[long + 1], text[long]
+                base = texts.offsets[which]
+                made = [found.starts[first] - base, found.ends[last - 1] - base, size, np.diff(sets), k1.view(np.int64), k2.view(np.int64)]
+                ids = batch.column("doc_id").slice(texts.first, len(texts))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *map(pa.array, made), sketch], names=names)
 
     return run
 
@@ -112,7 +95,7 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _paragraphs(docs: DataFrame, units: DataFrame, percent: int, bands: int) -> DataFrame:
     """(doc_id, start, end, words, kept_doc_id) of each paragraph that goes."""
     key = ["k1", "k2", "n"]
-    paragraphs = units.where("kind = 0")
+    paragraphs = units
     classes = paragraphs.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = small(staged(classes.drop("copies"), "classes"))
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(F.substring(F.col("sketch"), j * 4 * ROWS + 1, F.lit(4 * ROWS))))
@@ -136,40 +119,112 @@ def _paragraphs(docs: DataFrame, units: DataFrame, percent: int, bands: int) ->
     return gone.select("doc_id", "start", "end", F.col("words").cast("long").alias("words"), F.col("kept.doc_id").alias("kept_doc_id"))
 
 
-def _passages(units: DataFrame) -> DataFrame:
-    """(doc_id, start, end, words, kept_doc_id) of each run of repeated sentences that goes."""
-    key = ["k1", "k2", "n"]
-    sentences = units.where("kind = 1").select("doc_id", "start", "end", "word", "words", *key)
-    repeated = sentences.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("m")).where("m > 1")
-    repeated = small(staged(repeated.select(*key, "kept"), "repeated"))
-    again = sentences.join(repeated, key).where(F.struct("doc_id", "start") != F.col("kept"))
-    before = F.expr("lag(word + words) OVER (PARTITION BY doc_id ORDER BY word)")
-    begins = F.when(F.col("word") - before <= GAP, 0).otherwise(1)
-    again = again.withColumn("begins", begins).withColumn("run", F.expr("sum(begins) OVER (PARTITION BY doc_id ORDER BY word ROWS UNBOUNDED PRECEDING)"))
-    spans = again.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("kept.doc_id").alias("kept_doc_id"))
-    return spans.where(F.col("words") >= RUN).select("doc_id", "start", "end", "words", "kept_doc_id")
+def marks(hashes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, mark) of each run of windows of one mark.
+
+    A window is RUN words of one ``piece`` (negative: none); its mark is the first of the least hashes of its grams.
+    """
+    n = len(hashes) - RUN + 1
+    whole = np.flatnonzero((piece[: max(n, 0)] == piece[RUN - 1 :]) & (piece[: max(n, 0)] >= 0))
+    if not len(whole):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+    grams, _ = windows(hashes, np.array([0, len(hashes)]), GRAM, whole_if_short=False)
+    at = np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM + 1).argmin(1)[whole] + whole
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (np.diff(whole) > 1)])
+    return whole[first], np.diff(np.r_[first, len(whole)]), grams[at[first]]
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for texts in runs(batch.column("text"), 2 << 20):
+            found = words(texts, SPACED)
+            n = len(found.starts)
+            if not n:
+                continue
+            gone, edge = np.zeros(n, bool), np.zeros(n + 1, bool)
+            edge[found.of] = True
+            for base, spans in zip(texts.offsets.tolist(), batch.column("gone").slice(texts.first, len(texts)).to_pylist(), strict=False):
+                for s in spans or ():
+                    a, b = np.searchsorted(found.starts, (base + s["start"], base + s["end"]))
+                    gone[a:b] = edge[a] = edge[b] = True
+            piece = np.where(gone, -1, np.cumsum(edge[:-1]))
+            first, count, mark = marks(found.hashes(), piece)
+            which = np.searchsorted(found.of, first, "right") - 1
+            ids = batch.column("doc_id").slice(texts.first, len(texts)).take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(first - found.of[which]), pa.array(count), pa.array(mark.view(np.int64))], names=["doc_id", "word", "n", "mark"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that ``marks`` of a text name, with 128 bits over their words."""
+    for batch in batches:
+        for texts in runs(batch.column("text"), 2 << 20):
+            found = words(texts, SPACED)
+            named = batch.column("marks").slice(texts.first, len(texts))
+            word, n = (x.to_numpy(zero_copy_only=False) for x in named.flatten().flatten())
+            which = np.repeat(np.arange(len(texts)), pc.list_value_length(named).to_numpy(zero_copy_only=False))
+            which, word = np.repeat(which, n), np.repeat(word, n) + ragged(n)
+            at = found.of[which] + word
+            inside = at + RUN <= found.of[which + 1]  # marks of another text under the same doc_id
+            which, word, at = which[inside], word[inside], at[inside]
+            hashes = found.hashes()
+            keys = []
+            for factors in (mix(np.arange(RUN, dtype=U64) + U64(k << 32)) | U64(1) for k in (1, 2)):
+                key = np.zeros(len(at), U64)
+                for j in range(RUN):
+                    key += hashes[at + j] * factors[j]
+                keys.append(mix(key).view(np.int64))
+            base = texts.offsets[which]
+            ids = batch.column("doc_id").slice(texts.first, len(texts)).take(pa.array(which))
+            made = [word, found.starts[at] - base, found.ends[at + RUN - 1] - base, *keys]
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, made)], names=["doc_id", "word", "start", "end", "k1", "k2"])
+
+
+def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, start, end, words, kept_doc_id) of each passage that goes, besides the spans ``gone`` of ``docs``.
+
+    A window goes if the same words lie at an earlier place; in the same document, at one that doesn't
+    overlap it. Windows with one kept document that touch or overlap make one row, so a row has no word
+    that isn't in a repeated window.
+    """
+    gone = staged(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
+    found = docs.join(small(gone), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_marks, "doc_id long, word long, n long, mark long")
+    found = staged(found, "marks")
+    twice = small(staged(found.groupBy("mark").agg(F.count("*").alias("m")).where("m > 1").select("mark"), "twice"))
+    named = found.join(twice, "mark", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("word", "n")).alias("marks"))
+    named = docs.join(small(staged(named, "named")), "doc_id").select("doc_id", "text", "marks")
+    spans = staged(named.mapInArrow(_windows, "doc_id long, word long, start long, end long, k1 long, k2 long"), "windows")
+    place = F.struct("doc_id", "word")
+    repeated = spans.groupBy("k1", "k2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").drop("last")
+    again = spans.join(small(staged(repeated, "repeated")), ["k1", "k2"])
+    again = again.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("word") - F.col("kept.word") >= RUN)).withColumn("kept_doc_id", F.col("kept.doc_id"))
+    before = F.expr("lag(word) OVER (PARTITION BY doc_id, kept_doc_id ORDER BY word)")
+    again = again.withColumn("begins", F.when(F.col("word") - before <= RUN, 0).otherwise(1))
+    again = again.withColumn("run", F.expr("sum(begins) OVER (PARTITION BY doc_id, kept_doc_id ORDER BY word ROWS UNBOUNDED PRECEDING)"))
+    made = again.groupBy("doc_id", "kept_doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + RUN).alias("words"))
+    return made.select("doc_id", "start", "end", "words", "kept_doc_id")
 
 
 def repeated_spans(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, start, end, words, kind, kept_doc_id): the parts of ``docs`` (doc_id, text) that repeat others.
 
     ``start`` and ``end`` are UTF-8 byte places; kind is ``paragraph`` or ``passage``. The first of
-    repeating parts, by doc_id and place, has no row; ``kept_doc_id`` names its document (for a passage
-    the first document of any of its sentences). Paragraphs repeat at a Jaccard similarity of
-    ``percent`` or more of their 5-word shingles, A-Z lower-cased, or by way of others that do. Repeats
-    within a document count too.
+    repeating parts, by doc_id and place, has no row; ``kept_doc_id`` names its document. Paragraphs
+    repeat at a Jaccard similarity of ``percent`` or more of their 5-word shingles, A-Z lower-cased, or
+    by way of others that do. Passages are made of windows of RUN words that repeat word for word (A-Z
+    lower-cased, any white space between words) outside the paragraphs that go. Repeats within a
+    document count too.
 
-    Null or wordless texts and texts of short lines without long repeated runs have no rows; nor have
+    Null or wordless texts and texts of short lines without long repeated passages have no rows; nor have
     rows of null doc_id, which are left alone. Rows that repeat a doc_id count as one document. Empty
     table: no rows. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     bands = tuned_bands(percent)
-    schema = "doc_id long, kind byte, start long, end long, word long, words long, n long, k1 long, k2 long, sketch binary"
+    schema = "doc_id long, start long, end long, words long, n long, k1 long, k2 long, sketch binary"
     units = docs.mapInArrow(_units(ROWS * bands), schema).withColumn("id", F.monotonically_increasing_id())
     units = staged(units, "units")
-    paragraphs = _paragraphs(docs, units, percent, bands).withColumn("kind", F.lit("paragraph"))
-    passages = _passages(units).withColumn("kind", F.lit("passage"))
+    paragraphs = staged(_paragraphs(docs, units, percent, bands).withColumn("kind", F.lit("paragraph")), "gone")
+    passages = _passages(docs, paragraphs).withColumn("kind", F.lit("passage"))
     return paragraphs.unionByName(passages).select("doc_id", "start", "end", "words", "kind", "kept_doc_id")
 
 

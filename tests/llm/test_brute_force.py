@@ -91,6 +91,49 @@ def test_paragraphs(spark):
     assert got == want
 
 
+def fresh_words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 10**9, n)]
+
+
+def cut_words(texts, size=substring.RUN):
+    """(document, word) of every word in a window of ``size`` words that lies at an earlier place, not overlapping."""
+    first, out = {}, set()
+    for d, t in enumerate(texts):
+        w = t.lower().split()
+        for i in range(len(w) - size + 1):
+            kept = first.setdefault(tuple(w[i : i + size]), (d, i))
+            if kept[0] != d or i - kept[1] >= size:
+                out |= {(d, j) for j in range(i, i + size)}
+    return out
+
+
+def found_words(texts, spans):
+    """(document, word) of every word in the byte spans."""
+    out = set()
+    for r in spans:
+        raw = texts[r.doc_id].encode()
+        before, inside = len(raw[: r.start].split()), len(raw[r.start : r.end].split())
+        assert inside == r.words
+        out |= {(r.doc_id, j) for j in range(before, before + inside)}
+    return out
+
+
+def test_passages_in_mid_sentence(spark):
+    """Passages of 51 words without any stop, put into lines at random places, are found to their ends."""
+    rng = np.random.default_rng(11)
+    passages = [fresh_words(rng, 51) for _ in range(25)]
+    texts = []
+    for p in passages:
+        for _ in range(2):
+            host = fresh_words(rng, int(rng.integers(200, 300)))
+            at = int(rng.integers(1, len(host)))
+            texts.append(" ".join(host[:at] + p + host[at:]))
+    texts += ["a B " * 60, " ".join(fresh_words(rng, 29) * 3), " ".join(fresh_words(rng, 30) * 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = found_words(texts, substring.repeated_spans(docs).where("kind = 'passage'").collect())
+    assert got == cut_words(texts) and {d for d, _ in got} >= {2 * k + 1 for k in range(25)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=5), min_size=1, max_size=6))
 def test_fm_index(symbols, phrases):
