@@ -134,6 +134,19 @@ def test_passages_in_mid_sentence(spark):
     assert got == cut_words(texts) and {d for d, _ in got} >= {2 * k + 1 for k in range(25)}
 
 
+def test_words_that_repeat_nowhere_stay(spark):
+    """Fields of a template, and documents of common sentences that share no window with one document, are left alone."""
+    rng = np.random.default_rng(13)
+    frame = [[*fresh_words(rng, 12), "end."] for _ in range(5)]
+    fields = [[fresh_words(rng, 3) for _ in frame] for _ in range(4)]
+    texts = [" ".join(w for s, f in zip(frame, own, strict=True) for w in s + f) for own in fields]
+    common = [" ".join([*fresh_words(rng, 9), "end."]) for _ in range(4)]
+    texts += [f"{' '.join(fresh_words(rng, 40))}. {c}" for c in common] + [" ".join(common)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not cut_words(texts)
+    assert {r.doc_id: r.text for r in substring.remove_repeats(docs).collect()} == dict(enumerate(texts))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=5), min_size=1, max_size=6))
 def test_fm_index(symbols, phrases):
