@@ -147,6 +147,20 @@ def test_words_that_repeat_nowhere_stay(spark):
     assert {r.doc_id: r.text for r in substring.remove_repeats(docs).collect()} == dict(enumerate(texts))
 
 
+def test_passages_over_line_ends(spark):
+    """Text wrapped at other widths still repeats."""
+    rng = np.random.default_rng(17)
+    passage = fresh_words(rng, 200)
+
+    def wrapped(w, n):
+        return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    texts = [wrapped(fresh_words(rng, 35) + passage + fresh_words(rng, 35), n) for n in (11, 13, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = substring.repeated_spans(docs).collect()
+    assert found_words(texts, spans) == cut_words(texts) == {(d, j) for d in (1, 2) for j in range(35, 235)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=5), min_size=1, max_size=6))
 def test_fm_index(symbols, phrases):
