@@ -85,6 +85,24 @@ def test_token_files(spark, odd, none):
     assert tokenfile.read_tokens(spark, folder).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_marker_in_text(name):
+    """A text that holds a special token has the ids of the plain tokenizer."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from forgeframe.llm.textops import runs
+    from forgeframe.llm.tokenize import PieceEncoder
+
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    texts = [f.format(t) for t in special for f in ("a {} b", "{}", "x{}y {} {}".replace("{}", "{0}"), "a  {}  b\n{}\n c".replace("{}", "{0}"), "é {} é")]
+    (run,) = runs(pa.array(texts))
+    ids, of = PieceEncoder(path).encode(run)
+    assert special and [ids[a:b].tolist() for a, b in zip(of[:-1], of[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_shards(spark, odd, none):
     out = sharding.balanced_shards(odd, 4).collect()
     assert len(out) == N and sharding.balanced_shards(none).count() == 0
