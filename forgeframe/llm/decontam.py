@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .batches import map_batches
 from .fmindex import FMIndex
 from .textops import ALNUM, runs, windows, words
 
@@ -17,7 +18,7 @@ WINDOW = 10
 #: Characters of benchmark text in one broadcast block (some 20 MB of windows); more text makes more blocks.
 BLOCK_CHARS = 1_000_000
 #: Bytes of texts in one index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -149,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     blocks = [sc.broadcast(b) for b in _blocks(benchmark, size)]
     made = T.StructType.fromDDL(HITS)
     docs = docs.drop(*made.names)
-    return docs.mapInArrow(_searched(blocks, docs.columns), T.StructType([*docs.schema.fields, *made.fields]))
+    return map_batches(docs, _searched(blocks, docs.columns), T.StructType([*docs.schema.fields, *made.fields]))
 
 
 def cut(text: str | None, spans: list | None) -> str | None:

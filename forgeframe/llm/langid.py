@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import map_batches
 from .textops import LOWER, Texts, ragged, runs, spans
 
 UNKNOWN = "und"
@@ -25,7 +26,6 @@ SMOOTHING = 0.5
 #: Languages that can be learned; the model has CELLS numbers for each.
 MOST_LANGUAGES = 256
 ROUNDS, TOLERANCE = 12, 1e-3
-RUN_BYTES = 2 << 20
 FOUND = "lang_pred string, score double, langs array<string>, shares array<double>"
 
 _LETTER = np.zeros(256, bool)
@@ -61,7 +61,7 @@ def _counted(languages: list[str]):
         total = np.zeros(len(languages) * CELLS, np.int64)
         for batch in batches:
             which = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for texts in runs(batch.column("text"), RUN_BYTES):
+            for texts in runs(batch.column("text")):
                 cell, _, of, lengths = _trigrams(texts)
                 letters = np.diff(np.r_[0, np.cumsum(lengths)][of])
                 total += np.bincount(np.repeat(which[texts.first : texts.first + len(texts)], letters) * CELLS + cell, minlength=len(total))
@@ -83,7 +83,7 @@ def fit(labelled: DataFrame) -> Model:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = np.zeros(len(languages) * CELLS)
     if languages:
-        rows = labelled.mapInArrow(_counted(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        rows = map_batches(labelled, _counted(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     counts = counts.reshape(len(languages), CELLS) + SMOOTHING
     return Model(languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
@@ -158,7 +158,7 @@ def _predicted(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            for texts in runs(batch.column("text"), RUN_BYTES):
+            for texts in runs(batch.column("text")):
                 share, n = mixtures(model, texts)
                 known = (n > 0) & ~_no_letter(texts) & bool(model.languages)
                 best = share.argmax(1) if model.languages else np.zeros(len(texts), np.int64)
@@ -184,4 +184,4 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     """
     made = T.StructType.fromDDL(FOUND)
     docs = docs.drop(*made.names)
-    return docs.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model), docs.columns), T.StructType([*docs.schema.fields, *made.fields]))
+    return map_batches(docs, _predicted(docs.sparkSession.sparkContext.broadcast(model), docs.columns), T.StructType([*docs.schema.fields, *made.fields]))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .graph import components
 from .storage import staged
 
@@ -177,7 +178,7 @@ def clusters(items: DataFrame, kind: Sketch, sets_of: Callable[[DataFrame], Data
         pairs = pairs.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
         pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a")), "a")
         pairs = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "sketch_a", "sketch_b")
-        return verify(staged(pairs.mapInArrow(_estimated(kind), "a long, b long"), "star"))
+        return verify(staged(map_batches(pairs, _estimated(kind), "a long, b long"), "star"))
 
     def still_open(found: DataFrame) -> DataFrame:
         """Members, with their labels, of the buckets of three or more that hold several components."""

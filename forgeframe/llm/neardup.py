@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .lsh import Sketch, clusters, small
 from .storage import staged
 from .textops import SPACED, U64, distinct_sorted, list_array, mix, runs, windows, words
@@ -122,7 +123,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     of a class is banded, so a group of copies of any size costs a minimum.
     """
     docs = docs.select("doc_id", "text")
-    table = staged(docs.mapInArrow(_sketched(tuned_rows(percent)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "sketches")
+    table = staged(map_batches(docs, _sketched(tuned_rows(percent)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "sketches")
     key = ["k1", "k2", "n_shingles"]
     slim = table.select("doc_id", *key)
     classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -133,7 +134,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = docs.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
-        return wanted.select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>")
+        return map_batches(wanted.select("doc_id", "text"), _sets, "id long, shingles array<long>")
 
     found, _ = clusters(items, Sketch(BUCKETS, "<u2", percent / 100 - SLACK, ACCIDENT, (100 - percent) / (100 + percent)), sets_of, percent)
     roots = small(staged(found.withColumnRenamed("id", "rep"), "roots"))

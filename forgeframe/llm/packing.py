@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .lsh import small
 from .storage import staged
 from .textops import runs
@@ -43,7 +44,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     Null text: empty, the end id alone. ``ids`` are little-endian 32-bit integers. Other columns are
     ignored. ``path``: the tokenizer file.
     """
-    return docs.select("doc_id", "text").mapInArrow(_cut(path, length, ["doc_id"]), "doc_id long, " + PIECES)
+    return map_batches(docs.select("doc_id", "text"), _cut(path, length, ["doc_id"]), "doc_id long, " + PIECES)
 
 
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:

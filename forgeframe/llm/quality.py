@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .lsh import small
 from .storage import staged
 from .textops import ALNUM, SPACED, U64, Texts, mix, runs, span_hashes, spans, words
@@ -70,7 +71,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(len(TARGETS) * 2 * (CELLS + 1), np.int64)  # the last cell of each counts documents
     for batch in batches:
         labels = [batch.column(t).fill_null(-1).to_numpy(zero_copy_only=False) for t in TARGETS]
-        for texts in runs(batch.column("text"), 2 << 20):
+        for texts in runs(batch.column("text")):
             text, cell = features(texts)
             for k, label in enumerate(labels):
                 y = label[texts.first : texts.first + len(texts)]
@@ -87,7 +88,7 @@ def _of_cells(chosen: np.ndarray):
         place = np.full(CELLS, -1)
         place[chosen] = np.arange(len(chosen))
         for batch in batches:
-            for texts in runs(batch.column("text"), 2 << 20):
+            for texts in runs(batch.column("text")):
                 text, cell = features(texts)
                 there = place[cell] >= 0
                 of = np.searchsorted(text[there], np.arange(len(texts) + 1))
@@ -114,7 +115,7 @@ def logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, width: int) ->
 
 def fit_evidence(labelled: DataFrame) -> Evidence:
     """Weights of the features, from ``labelled`` (doc_id, text, quality, toxic): all of it for the choice, a sample for the fit."""
-    rows = labelled.select("text", *TARGETS).mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_batches(labelled.select("text", *TARGETS), _counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(TARGETS) * 2 * (CELLS + 1))
     counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     counts = counts.reshape(len(TARGETS), 2, CELLS + 1)
@@ -126,7 +127,7 @@ def fit_evidence(labelled: DataFrame) -> Evidence:
         chosen.append(best[z[best] > SURE])
     cells = np.unique(np.concatenate(chosen))
     picked = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    sample = labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("text", *TARGETS).mapInArrow(_of_cells(cells), "cells array<int>, quality int, toxic int").toArrow()
+    sample = map_batches(labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("text", *TARGETS), _of_cells(cells), "cells array<int>, quality int, toxic int").toArrow()
     out = np.zeros((len(TARGETS), CELLS))
     lists = sample.column("cells").combine_chunks() if len(sample) else pa.array([], pa.list_(pa.int32()))
     row, column = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
@@ -142,7 +143,7 @@ def fit_evidence(labelled: DataFrame) -> Evidence:
 def _scored(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in runs(batch.column("text"), 2 << 20):
+            for texts in runs(batch.column("text")):
                 part = batch.select(names).slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, shared.value.of(texts))], names=[*names, *(f"{t}_evidence" for t in TARGETS)])
 
@@ -204,7 +205,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     labels = small(staged(labels.where("doc_id is not null").groupBy("doc_id").agg(*mean_label), "labels"))
     labelled = docs.join(labels, "doc_id").where("not held")
     shared = sc.broadcast(fit_evidence(labelled))
-    scored = docs.mapInArrow(_scored(shared, ["doc_id", "host", "path", "held"]), "doc_id long, host string, path string, held boolean, quality_evidence double, toxic_evidence double")
+    scored = map_batches(docs, _scored(shared, ["doc_id", "host", "path", "held"]), "doc_id long, host string, path string, held boolean, quality_evidence double, toxic_evidence double")
     scored = staged(scored.join(labels, "doc_id", "left"), "evidence")
     priors, columns = [], {}
     for t in TARGETS:

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .decontam import cut
 from .lsh import Sketch, clusters, small
 from .neardup import SHINGLE
@@ -60,7 +61,7 @@ def _units(n_hashes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in runs(batch.column("text"), 2 << 20):
+            for texts in runs(batch.column("text")):
                 found, of, text = _lines(texts)
                 long = np.flatnonzero(np.diff(of) >= PARAGRAPH)
                 if not len(long):
@@ -83,7 +84,7 @@ def _units(n_hashes: int):
 
 def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in runs(batch.column("text"), 2 << 20):
+        for texts in runs(batch.column("text")):
             found, of, text = _lines(texts)
             values, sets = distinct_sorted(*windows(found.hashes(), of, SHINGLE))
             long = np.flatnonzero(np.diff(of) >= PARAGRAPH)
@@ -106,7 +107,7 @@ def _paragraphs(docs: DataFrame, units: DataFrame, percent: int, bands: int) ->
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = staged(places.join(small(ids), "id", "left_semi"), "wanted-places")
         of = docs.join(small(staged(wanted.select("doc_id").distinct(), "wanted-docs")), "doc_id", "left_semi")
-        sets = of.select("doc_id", "text").mapInArrow(_paragraph_sets, "doc_id long, start long, shingles array<long>")
+        sets = map_batches(of.select("doc_id", "text"), _paragraph_sets, "doc_id long, start long, shingles array<long>")
         return sets.join(small(wanted), ["doc_id", "start"]).select("id", "shingles")
 
     found, _ = clusters(items, Sketch(ROWS * bands, "<u4", percent / 100 - SLACK), sets_of, percent, whole_blocks=True)
@@ -136,7 +137,7 @@ def marks(hashes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in runs(batch.column("text"), 2 << 20):
+        for texts in runs(batch.column("text")):
             found = words(texts, SPACED)
             n = len(found.starts)
             if not n:
@@ -157,7 +158,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows that ``marks`` of a text name, with 128 bits over their words."""
     for batch in batches:
-        for texts in runs(batch.column("text"), 2 << 20):
+        for texts in runs(batch.column("text")):
             found = words(texts, SPACED)
             named = batch.column("marks").slice(texts.first, len(texts))
             word, n = (x.to_numpy(zero_copy_only=False) for x in named.flatten().flatten())
@@ -187,12 +188,12 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     that isn't in a repeated window.
     """
     gone = staged(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
-    found = docs.join(small(gone), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_marks, "doc_id long, word long, n long, mark long")
+    found = map_batches(docs.join(small(gone), "doc_id", "left").select("doc_id", "text", "gone"), _marks, "doc_id long, word long, n long, mark long")
     found = staged(found, "marks")
     twice = small(staged(found.groupBy("mark").agg(F.count("*").alias("m")).where("m > 1").select("mark"), "twice"))
     named = found.join(twice, "mark", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("word", "n")).alias("marks"))
     named = docs.join(small(staged(named, "named")), "doc_id").select("doc_id", "text", "marks")
-    spans = staged(named.mapInArrow(_windows, "doc_id long, word long, start long, end long, k1 long, k2 long"), "windows")
+    spans = staged(map_batches(named, _windows, "doc_id long, word long, start long, end long, k1 long, k2 long"), "windows")
     place = F.struct("doc_id", "word")
     repeated = spans.groupBy("k1", "k2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").drop("last")
     again = spans.join(small(staged(repeated, "repeated")), ["k1", "k2"])
@@ -221,7 +222,7 @@ def repeated_spans(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     bands = tuned_bands(percent)
     schema = "doc_id long, start long, end long, words long, n long, k1 long, k2 long, sketch binary"
-    units = docs.mapInArrow(_units(ROWS * bands), schema).withColumn("id", F.monotonically_increasing_id())
+    units = map_batches(docs, _units(ROWS * bands), schema).withColumn("id", F.monotonically_increasing_id())
     units = staged(units, "units")
     paragraphs = staged(_paragraphs(docs, units, percent, bands).withColumn("kind", F.lit("paragraph")), "gone")
     passages = _passages(docs, paragraphs).withColumn("kind", F.lit("passage"))
@@ -253,5 +254,5 @@ def remove_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     spans = repeated_spans(docs, percent).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("repeated spans"))
     spans = staged(spans, "spans")
     whole = docs.join(small(spans), "doc_id", "left").select(*docs.columns, "repeated spans")
-    changed = whole.where(F.col("repeated spans").isNotNull()).mapInArrow(_without(docs.columns), docs.schema)
+    changed = map_batches(whole.where(F.col("repeated spans").isNotNull()), _without(docs.columns), docs.schema)
     return whole.where(F.col("repeated spans").isNull()).select(*docs.columns).unionByName(changed)

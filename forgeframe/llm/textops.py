@@ -26,7 +26,7 @@ LOWER[0x41:0x5B] += 0x20
 
 U64 = np.uint64
 _ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)]
-_STEP = 1 << 20
+_STEP = 1 << 17
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -52,7 +52,7 @@ class Texts:
         return len(self.offsets) - 1
 
 
-def runs(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[Texts]:
+def runs(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[Texts]:
     """The texts of an Arrow string column (null: empty) in runs of about ``max_bytes``; one longer text is a run alone."""
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
@@ -111,7 +111,7 @@ def _power_table(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
         m = int(_ODD[kind])
         n = max(n, _STEP + 4096)
         held = tuple(np.multiply.accumulate(np.r_[U64(1), np.full(n - 1, U64(x))]) for x in (m, pow(m, -1, 1 << 64)))
-        if n <= 16 * _STEP:
+        if n <= 8 * _STEP:
             _powers[kind] = held
     return held
 

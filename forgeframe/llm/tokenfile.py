@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .storage import staged
 from .textops import runs
 from .tokenize import encoder
@@ -110,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
     spark.createDataFrame([(name, bytearray(content))], "hash string, content binary").write.parquet(f"{folder}/dictionary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "nth").sortWithinPartitions("doc_id", "nth")
-    ordered.select("doc_id", "text").mapInArrow(_written(path, content, name, width), BLOCKS).write.parquet(f"{folder}/blocks")
+    map_batches(ordered.select("doc_id", "text"), _written(path, content, name, width), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 def _read(contents: dict[str, bytes], with_ids: bool):
@@ -149,4 +150,4 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     placed = blocks.join(F.broadcast(starts), "part").withColumn("before", F.col("before") + F.col("ids_before"))
     columns = ["before", "doc_ids", "n_tokens", "ends", "dictionary", "payload"]
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return placed.select(columns).mapInArrow(_read(contents, with_ids), out)
+    return map_batches(placed.select(columns), _read(contents, with_ids), out)

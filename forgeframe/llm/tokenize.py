@@ -14,8 +14,8 @@ import numpy as np
 
 from .textops import Texts, ragged, span_hashes
 
-#: Pieces that one worker remembers (some 100 MB), and the longest of them in bytes.
-REMEMBERED = 2_000_000
+#: Pieces that one worker remembers (some 12 MB), and the longest of them in bytes.
+REMEMBERED = 1 << 18
 LONGEST = 48
 #: Pieces that the tokenizer gets at once; its results hold far more than the ids.
 TOGETHER = 2048
