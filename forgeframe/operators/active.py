@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.physics import acquisition
 
-#: Labelled rows that a Gaussian process takes; its cost grows with their cube.
-MOST_LABELLED = 2000
-
-
 def pool(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     """(labelled rows, rows still without a target)."""
     return df.where(F.col(target).isNotNull()), df.where(F.col(target).isNull())
@@ -32,28 +28,46 @@ def forest_spread(model, df: DataFrame) -> DataFrame:
     return out.withColumn("al_mu", mean).withColumn("al_sigma", F.sqrt(F.aggregate(each, F.lit(0.0), lambda a, x: a + (x - F.col("al_mu")) ** 2) / len(names))).drop(*names)
 
 
-def gaussian_process(labelled: DataFrame, candidates: DataFrame, target: str, features: str = "features", length: float | None = None, noise: float = 1e-2) -> DataFrame:
+def gaussian_process(labelled: DataFrame, candidates: DataFrame, target: str, features: str = "features", length: float | None = None, noise: float = 1e-2, waves: int = 128, seed: int = 42) -> DataFrame:
     """``candidates`` with al_mu and al_sigma of a Gaussian process with a Gaussian kernel.
 
-    Needs 3 to MOST_LABELLED labelled rows: they are the model. Candidates are scored by all tasks. The
-    kernel's length is the median distance of labelled rows unless given.
+    The kernel is approximated by ``waves`` random Fourier features, so the fit is a Bayesian linear
+    regression on them: each task sums the products of its rows, the sums (``waves`` squared numbers, for
+    any number of rows) are added up, and all tasks score candidates. Needs 3 labelled rows. The kernel's
+    length is the root of twice the features' summed variances, the usual distance of two rows, unless given.
     """
-    rows = labelled.select(vector_to_array(features).alias("x"), F.col(target).cast("double").alias("y")).limit(MOST_LABELLED + 1).toPandas()
-    if not 3 <= len(rows) <= MOST_LABELLED:
-        raise ValueError(f"a Gaussian process needs 3 to {MOST_LABELLED} labelled rows")
-    x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
-    mean, std = y.mean(), y.std() or 1.0
-    apart = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    length = length or float(np.median(apart[apart > 0])) if (apart > 0).any() else 1.0
-    chol = np.linalg.cholesky(np.exp(-0.5 * (apart / length) ** 2) + noise * np.eye(len(x)))
-    alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, (y - mean) / std))
+    data = labelled.select(vector_to_array(features).alias("x"), F.col(target).cast("double").alias("y")).where("y is not null")
+    facts = data.agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.max(F.size("x")).alias("width")).first()
+    if facts["n"] < 3:
+        raise ValueError("a Gaussian process needs 3 labelled rows")
+    mean, std, width = facts["mean"], facts["std"] or 1.0, facts["width"]
+    spread = data.agg(*(F.var_pop(F.get("x", F.lit(i))) for i in range(width))).first()
+    length = length or float(np.sqrt(2 * sum(spread))) or 1.0
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, 1 / length, (width, waves)), rng.uniform(0, 2 * np.pi, waves)
+
+    def waved(x: pd.Series) -> np.ndarray:
+        return np.sqrt(2 / waves) * np.cos(np.stack(x.to_numpy()) @ w + b)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((waves, waves + 1))
+        for pdf in batches:
+            p = waved(pdf["x"])
+            total += p.T @ np.c_[p, (pdf["y"].to_numpy() - mean) / std]
+        yield pd.DataFrame({"place": np.arange(total.size), "v": total.ravel()})
+
+    sums = data.mapInPandas(products, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toPandas()
+    total = np.zeros(waves * (waves + 1))
+    total[sums["place"].to_numpy()] = sums["v"].to_numpy()
+    total = total.reshape(waves, waves + 1)
+    chol = np.linalg.cholesky(total[:, :waves] + noise * np.eye(waves))
+    weights = np.linalg.solve(chol.T, np.linalg.solve(chol, total[:, waves]))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for v in batches:
-            q = np.stack(v.to_numpy())
-            k = np.exp(-0.5 * np.maximum(((q[:, None] - x[None]) ** 2).sum(2), 0) / length**2)
-            w = np.linalg.solve(chol, k.T)
-            yield pd.DataFrame({"mu": k @ alpha * std + mean, "sigma": np.sqrt(np.maximum(1 + noise - (w**2).sum(0), 1e-12)) * std})
+            p = waved(v)
+            u = np.linalg.solve(chol, p.T)
+            yield pd.DataFrame({"mu": p @ weights * std + mean, "sigma": np.sqrt(noise * (1 + (u**2).sum(0))) * std})
 
     scored = candidates.withColumn("gp\x00", F.pandas_udf(score, "mu double, sigma double")(vector_to_array(features)))
     return scored.withColumns({"al_mu": F.col("gp\x00.mu"), "al_sigma": F.col("gp\x00.sigma")}).drop("gp\x00")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.physics import clamp
 from ..functions.text import first_number, plain_number
 from .profile import numeric_columns, text_columns, value_counts
+from .quantiles import quantiles
 
 
 def with_row_of(df: DataFrame, facts: DataFrame) -> DataFrame:
@@ -23,6 +24,39 @@ def hash_order(*keys: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+#: Rows of one hash range, on average: what one task ranks.
+RANGE_ROWS = 50_000
+
+
+def hash_ranked(df: DataFrame, key: str, seed: int = 42, name: str = "rank", by: str | None = None) -> DataFrame:
+    """``df`` with the rank (from 1) of each row by hash of ``key``, an integer or text, within each value of ``by``.
+
+    Ranks are counts of lower hash ranges plus ranks within the range. There are as many ranges as the
+    counted rows need, so no task sorts much more than RANGE_ROWS rows, however large a value of ``by`` is.
+    """
+    n = df.count()
+    digits = 2 + sum(n > RANGE_ROWS * 16**d for d in range(2, 8))
+    own = ["by\x00"] * bool(by)
+    hashed = df.withColumn("h\x00", hash_order(key, seed=seed)).withColumn("range\x00", F.substring("h\x00", 1, digits))
+    hashed = hashed.withColumn("by\x00", F.col(by)) if by else hashed
+    counts = hashed.groupBy(*own, "range\x00").agg(F.count("*").alias("n\x00")).withColumn("top\x00", F.substring("range\x00", 1, 2))
+    tops = counts.groupBy(*own, "top\x00").agg(F.sum("n\x00").alias("t\x00"))
+    tops = tops.withColumn("below\x00", F.sum("t\x00").over(Window.partitionBy(*own).orderBy("top\x00")) - F.col("t\x00")).drop("t\x00")
+    inside = F.sum("n\x00").over(Window.partitionBy(*own, "top\x00").orderBy("range\x00")) - F.col("n\x00")
+    before = _beside(counts.withColumn("inside\x00", inside), tops, [*own, "top\x00"])
+    before = before.select(*own, "range\x00", (F.col("inside\x00") + F.col("below\x00")).alias("before\x00"))
+    within = hashed.withColumn("w\x00", F.row_number().over(Window.partitionBy(*own, "range\x00").orderBy("h\x00", key)))
+    return _beside(within, before, [*own, "range\x00"]).select(*df.columns, (F.col("before\x00") + F.col("w\x00")).alias(name))
+
+
+def _beside(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """``left`` with the columns of its row of ``right``, nulls being equal."""
+    right, on = right.withColumnsRenamed({c: f"{c}of" for c in columns}), F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}of"))
+    return left.join(right, on).drop(*(f"{c}of" for c in columns))
+
+
 def pseudo_numeric(df: DataFrame, order_by: str, share: float = 0.5, first: int = 200) -> DataFrame:
     """(column, method) of text columns that hold numbers (C01): ``direct``, or ``regex_number`` by their first texts."""
     columns = text_columns(df)
@@ -60,10 +94,10 @@ def fill_missing(df: DataFrame, strategy: str, columns: list[str] | None = None,
     columns = columns or numeric_columns(df)
     if strategy == "constant":
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(value or 0)) for c in columns})
-    if strategy == "mode":
-        facts = modes(df, columns)
-    else:
-        facts = df.agg(*((F.percentile(c, 0.5) if strategy == "median" else F.avg(c)).alias(c) for c in columns))
+    if strategy == "median":
+        middle = quantiles(df, columns, [0.5])
+        return df.withColumns({c: F.coalesce(F.col(c), F.lit(middle[(c,)][0])) for c in columns})
+    facts = modes(df, columns) if strategy == "mode" else df.agg(*(F.avg(c).alias(c) for c in columns))
     facts = facts.withColumnsRenamed({c: f"{c}\x00" for c in columns})
     return with_row_of(df, facts).withColumns({c: F.coalesce(F.col(c), F.col(f"{c}\x00")) for c in columns}).select(*df.columns)
 
@@ -103,18 +137,22 @@ def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5, donors:
     return with_row_of(df, means).withColumns({c: F.coalesce(c, f"{c}\x00mean") for c in columns}).drop(*means.columns)
 
 
-def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 1.5) -> DataFrame:
-    """One row: the bounds, median and spread of each column. ``iqr``, ``zscore_pop`` or ``zscore_samp``."""
+def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 1.5, medians: bool = False) -> DataFrame:
+    """One row: the bounds and spread of each column, with ``medians`` these too. ``iqr``, ``zscore_pop`` or ``zscore_samp``."""
+    shares = [0.25, 0.75] * (method == "iqr") + [0.5] * medians
+    found = quantiles(df, columns, shares) if shares else {}
     out = []
     for c in columns:
         if method == "iqr":
-            low, high = F.percentile(c, 0.25), F.percentile(c, 0.75)
+            low, high = (F.lit(x).cast("double") for x in found[(c,)][:2])
             spread = high - low
         else:
             low = high = F.avg(c)
             spread = F.stddev_pop(c) if method == "zscore_pop" else F.stddev_samp(c)
-        out += [(low - spread * threshold).alias(f"{c}\x00low"), (high + spread * threshold).alias(f"{c}\x00high"), F.percentile(c, 0.5).alias(f"{c}\x00median"), spread.alias(f"{c}\x00spread")]
-    return df.agg(*out)
+        out += [(low - spread * threshold).alias(f"{c}\x00low"), (high + spread * threshold).alias(f"{c}\x00high"), spread.alias(f"{c}\x00spread")]
+        if medians:
+            out.append(F.lit(found[(c,)][-1]).cast("double").alias(f"{c}\x00median"))
+    return df.agg(*out) if method != "iqr" else df.sparkSession.range(1).select(*out)
 
 
 def _outside(c: str) -> Column:
@@ -133,7 +171,7 @@ def treat_outliers(df: DataFrame, columns: list[str], action: str = "clip", meth
 
     Bounds come from the columns as given. ``skip_flat`` leaves columns without spread alone.
     """
-    both = with_row_of(df, outlier_bounds(df, columns, method, threshold))
+    both = with_row_of(df, outlier_bounds(df, columns, method, threshold, medians=action not in ("remove", "clip")))
     bad = {c: F.coalesce(_outside(c), F.lit(False)) & (F.col(f"{c}\x00spread") != 0 if skip_flat else F.lit(True)) for c in columns}
     if action == "remove":
         anywhere = F.lit(False)
@@ -174,16 +212,16 @@ def reduce_repetition(df: DataFrame, column: str, key: str, target: float = 0.5,
     both = with_row_of(df, facts).withColumn("is\x00", F.coalesce(F.col(column) == F.col("top\x00"), F.lit(False)))
     other = F.col("all\x00") - F.col("n\x00")
     wanted = F.when(other == 0, F.floor(F.col("all\x00") * target)).otherwise(F.floor(other * target / (1 - target)))
-    rank = F.row_number().over(Window.partitionBy("is\x00").orderBy(hash_order(key, seed=seed), key))
-    thin = both.withColumn("rank\x00", rank)
-    return thin.where(~F.col("is\x00") | (F.col("n\x00") <= wanted) | (F.col("rank\x00") <= wanted)).select(*df.columns)
+    kept = ~F.col("is\x00") | (F.col("n\x00") <= wanted)
+    thin = hash_ranked(both.where(~kept).select(*df.columns, wanted.alias("wanted\x00")), key, seed, "rank\x00")
+    return both.where(kept).select(*df.columns).unionByName(thin.where("`rank\x00` <= `wanted\x00`").select(*df.columns))
 
 
 def balance_categories(df: DataFrame, column: str, key: str, most: int, seed: int = 42, keep_null: bool = False) -> DataFrame:
     """At most ``most`` rows of each category, chosen by hash of ``key`` (C12). Rows without a category go, unless kept."""
-    rank = F.row_number().over(Window.partitionBy(column).orderBy(hash_order(key, seed=seed), key))
-    kept = df.withColumn("rank\x00", rank).where((F.col("rank\x00") <= most) | F.col(column).isNull())
-    return (kept if keep_null else kept.where(F.col(column).isNotNull())).drop("rank\x00")
+    ranked = hash_ranked(df.where(F.col(column).isNotNull()), key, seed, "rank\x00", by=column)
+    kept = ranked.where(F.col("rank\x00") <= most).drop("rank\x00")
+    return kept.unionByName(df.where(F.col(column).isNull())) if keep_null else kept
 
 
 def aggregate_by_keys(df: DataFrame, keys: list[str], target: str, order_by: str, how: str = "median", drop_null: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clean import with_row_of
+from .quantiles import quantiles
 from .select import assembled
 
 
@@ -43,7 +44,7 @@ def augment(df: DataFrame, columns: list[str], n: int, seed: int = 42) -> DataFr
     """
     full = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     grid = [i / 100 for i in range(101)]
-    quantiles = full.agg(*(F.percentile(c, F.array(*map(F.lit, grid))).alias(c) for c in columns)).first()
+    steps_of = quantiles(full, columns, grid)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     found = full.agg(*(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)), F.count("*").alias("n")).first()
     matrix = np.eye(len(columns))
@@ -60,7 +61,7 @@ def augment(df: DataFrame, columns: list[str], n: int, seed: int = 42) -> DataFr
     for j, c in enumerate(columns):
         z = sum((F.col(f"z{i}") * float(root[j, i]) for i in range(len(columns))), F.lit(0.0))
         place = F.least(F.greatest(normal_cdf(z), F.lit(0.0)), F.lit(1.0)) * 100
-        steps = F.array(*[F.lit(float(q)) for q in quantiles[c]])
+        steps = F.array(*[F.lit(float(q)) for q in steps_of[(c,)]])
         low = F.floor(place).cast("int")
         a, b = F.get(steps, low), F.coalesce(F.get(steps, low + 1), F.get(steps, low))
         made[c] = a + (b - a) * (place - low)

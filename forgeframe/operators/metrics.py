@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import union_all, with_row_of
+from .quantiles import quantiles
 
 
 def r2(y: Column, p: Column) -> Column:
@@ -36,11 +37,11 @@ def parity(train: DataFrame, test: DataFrame, truth: str, prediction: str) -> Da
 
 def standardise(train: DataFrame, columns: list[str], also: DataFrame | None = None) -> DataFrame:
     """Median-filled, then scaled to mean 0 and population deviation 1, all learned on ``train`` (M07). Flat columns become 0."""
-    medians = train.agg(*(F.percentile(c, 0.5).alias(f"{c}\x00d") for c in columns))
-    fill = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}\x00d")) for c in columns}
-    facts = with_row_of(train, medians).withColumns(fill).agg(*(F.avg(c).alias(f"{c}\x00m") for c in columns), *(F.stddev_pop(c).alias(f"{c}\x00s") for c in columns))
+    medians = quantiles(train, columns, [0.5])
+    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[(c,)][0])) for c in columns}
+    facts = train.withColumns(fill).agg(*(F.avg(c).alias(f"{c}\x00m") for c in columns), *(F.stddev_pop(c).alias(f"{c}\x00s") for c in columns))
     df = also if also is not None else train
-    both = with_row_of(with_row_of(df, medians).withColumns(fill), facts)
+    both = with_row_of(df.withColumns(fill), facts)
     return both.withColumns({c: (F.col(c) - F.col(f"{c}\x00m")) / F.coalesce(F.nullif(F.col(f"{c}\x00s"), F.lit(0.0)), F.lit(1.0)) for c in columns}).select(*df.columns)
 
 

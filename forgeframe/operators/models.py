@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.physics import glass_transition
 from .metrics import scores, standardise
-from .select import assembled
-from .splits import folds, nested_prefixes, random_split
+from .select import assembled, eliminate
+from .splits import folds, group_folds, nested_prefixes, random_split
 
 FEATURES, PREDICTION = "features", "prediction"
 
@@ -290,18 +290,51 @@ def train(df: DataFrame, columns: list[str], target: str, key: str, model: str =
     return fitted, seen[1], both
 
 
-def cross_validate(df: DataFrame, columns: list[str], target: str, key: str, model: str = "ridge", k: int = 5, seed: int = 42, **params) -> tuple[DataFrame, DataFrame]:
-    """(out-of-fold predictions, scores by fold)."""
-    rows = folds(df.where(F.col(target).isNotNull()), key, k, seed).cache()
-    out = None
-    for fold in range(k):
-        inner, outer = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+def cross_validate(df: DataFrame, columns: list[str], target: str, key: str, model: str = "ridge", k: int = 5, seed: int = 42, stratum: str | None = None, group: str | None = None, fold: str | None = None, **params) -> tuple[DataFrame, DataFrame]:
+    """(out-of-fold predictions, scores by fold).
+
+    Folds go by hash of ``key``, within each ``stratum`` where one is named; by whole groups of ``group``;
+    or they are given in the column ``fold``.
+    """
+    rows = df.where(F.col(target).isNotNull())
+    if fold is not None:
+        rows = rows.withColumn("fold", F.col(fold).cast("int"))
+        numbers = sorted(r[0] for r in rows.select("fold").distinct().collect())
+    else:
+        rows, numbers = group_folds(rows, group, k, seed) if group else folds(rows, key, k, seed, stratum), range(k)
+    rows, out = rows.cache(), None
+    for number in numbers:
+        inner, outer = rows.where(F.col("fold") != number), rows.where(F.col("fold") == number)
         a, b = (assembled(standardise(inner, columns, s), columns) for s in (inner, outer))
         seen = make(model, a, target, seed=seed, **params).fit(a).transform(b).select(key, "fold", target, PREDICTION)
         out = seen if out is None else out.unionByName(seen)
     return out, scores(out, target, PREDICTION, ["fold"])
 
 
+def eliminate_validated(df: DataFrame, columns: list[str], target: str, key: str, model: str = "linear", k: int = 5, least: int = 1, metric: str = "r2", seed: int = 42, **params) -> tuple[DataFrame, DataFrame]:
+    """Recursive elimination with the number of features by cross-validation.
+
+    ((column, ranking): kept ones have 1; (n_features, score): mean over folds for each number of features).
+    The lightest feature of a fit on standardised columns goes each time; equal scores keep fewer features.
+    """
+
+    def weights(d: DataFrame, left: list[str], y: str):
+        z = assembled(standardise(d, left), left)
+        fitted = make(model, z, y, seed=seed, **params).fit(z)
+        return (fitted.coefficients if hasattr(fitted, "coefficients") else fitted.featureImportances).toArray()
+
+    ranking = {r["column"]: r["ranking"] for r in eliminate(df, columns, target, weights, keep=1).collect()}
+    tried = {}
+    for n in range(least, len(columns) + 1):
+        kept = [c for c in columns if ranking[c] <= n]
+        _, by_fold = cross_validate(df, kept, target, key, model, k, seed, **params)
+        tried[n] = by_fold.agg(F.avg(metric)).first()[0] * (1 if metric == "r2" else -1)
+    best = max(tried, key=lambda n: (tried[n], -n))
+    spark = df.sparkSession
+    table = spark.createDataFrame([(c, max(1, ranking[c] - best + 1)) for c in columns], "column string, ranking int")
+    return table, spark.createDataFrame([(n, float(s)) for n, s in tried.items()], "n_features int, score double")
+
+
 def learning_curve(df: DataFrame, test: DataFrame, columns: list[str], target: str, key: str, sizes: list[int], model: str = "ridge", **params) -> DataFrame:
     """Test scores by size of nested training sets."""
     nested, out = nested_prefixes(df, key, sizes).cache(), None

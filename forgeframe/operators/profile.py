@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import quantiles
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -17,6 +19,14 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+def one_of(column: str, values: dict[str, float | None]) -> Column:
+    """The number that goes with the name in ``column``."""
+    out = F.lit(None).cast("double")
+    for name, value in values.items():
+        out = F.when(F.col(column) == name, F.lit(value).cast("double")).otherwise(out)
+    return out
+
+
 def by_column(df: DataFrame, columns: list[str], facts: dict) -> DataFrame:
     """One row a column with ``facts`` (name: function of a column giving an aggregate), from one aggregation."""
     rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}\x00{n}").alias(n) for n in facts]) for c in columns])
@@ -43,11 +53,12 @@ def summary(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of each numeric column."""
-    return by_column(df, columns or numeric_columns(df), {
-        "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"),
-        "q25": lambda c: F.percentile(c, 0.25), "q50": lambda c: F.percentile(c, 0.5), "q75": lambda c: F.percentile(c, 0.75),
-        "max": lambda c: F.max(c).cast("double"),
-    })
+    columns = columns or numeric_columns(df)
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75])
+    out = by_column(df, columns, {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")})
+    for k, name in enumerate(("q25", "q50", "q75")):
+        out = out.withColumn(name, one_of("column", {c: quartiles[(c,)][k] for c in columns}))
+    return out.select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def missing_table(df: DataFrame, only_missing: bool = True) -> DataFrame:
@@ -100,7 +111,9 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 1
 
 def box_statistics(df: DataFrame, column: str, by: list[str], reach: float = 1.5) -> DataFrame:
     """Quartiles by group, and whiskers: the outermost values within ``reach`` quartile ranges."""
-    quartiles = df.groupBy(*by).agg(*(F.percentile(column, q).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))))
+    found = quantiles(df, [column], [0.25, 0.5, 0.75], by)
+    kinds = T.StructType([*(df.schema[c] for c in by), *(T.StructField(n, T.DoubleType()) for n in ("q25", "q50", "q75"))])
+    quartiles = df.sparkSession.createDataFrame([(*key[1:], *q) for key, q in found.items()], kinds)
     span = (F.col("q75") - F.col("q25")) * reach
     inside = F.col(column).between(F.col("q25") - span, F.col("q75") + span)
     joined = df.join(F.broadcast(quartiles), by) if len(by) else df.crossJoin(quartiles)
@@ -157,7 +170,8 @@ def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
 
 def count_statistics(df: DataFrame, column: str) -> DataFrame:
     """Distinct values, largest and median count."""
-    return value_counts(df, column).agg(F.count("*").alias("n_unique"), F.max("n").alias("largest"), F.percentile("n", 0.5).alias("median"))
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return counts.agg(F.count("*").alias("n_unique"), F.max("n").alias("largest"), F.lit(quantiles(counts, ["n"], [0.5])[("n",)][0]).cast("double").alias("median"))
 
 
 def infinite_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

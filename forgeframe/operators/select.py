@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .clean import repair_infinite, with_row_of
 from .profile import by_column, feature_validity, numeric_columns, target_correlations
+from .quantiles import quantiles
 
 
 def by_name(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -99,8 +100,10 @@ def feature_table(df: DataFrame, key: str) -> DataFrame:
     """A table of computed features made fit for use (F00): numeric columns only, without all-null and
     constant ones, missing values by the median."""
     columns = [c for c in numeric_columns(df) if c != key]
-    facts = by_column(df, columns, {"n": F.count, "v": F.var_samp, "m": lambda c: F.percentile(c, 0.5)}).collect()
-    kept = {r["column"]: r["m"] for r in facts if r["n"] and (r["v"] or 0.0) > 0}
+    facts = by_column(df, columns, {"n": F.count, "v": F.var_samp}).collect()
+    varied = [r["column"] for r in facts if r["n"] and (r["v"] or 0.0) > 0]
+    medians = quantiles(df, varied, [0.5]) if varied else {}
+    kept = {c: medians[(c,)][0] for c in varied}
     return df.select(key, *[F.coalesce(c, F.lit(m)).alias(c) for c, m in kept.items()])
 
 

@@ -6,23 +6,11 @@ rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clean import hash_order, with_row_of
-
-#: Hash ranges of a whole-table rank: the first two hex digits of the hash.
-RANGE_DIGITS = 2
-
-
-def hash_ranked(df: DataFrame, key: str, seed: int = 42, name: str = "rank") -> DataFrame:
-    """``df`` with the rank (from 1) of each row by hash of ``key``, an integer or text."""
-    hashed = df.withColumn("h\x00", hash_order(key, seed=seed)).withColumn("range\x00", F.substring("h\x00", 1, RANGE_DIGITS))
-    counts = hashed.groupBy("range\x00").agg(F.count("*").alias("n\x00"))
-    before = counts.select("range\x00", (F.sum("n\x00").over(Window.orderBy("range\x00")) - F.col("n\x00")).alias("before\x00"))
-    within = F.row_number().over(Window.partitionBy("range\x00").orderBy("h\x00", key))
-    return hashed.withColumn("w\x00", within).join(F.broadcast(before), "range\x00").select(*df.columns, (F.col("before\x00") + F.col("w\x00")).alias(name))
-
+from .clean import hash_ranked, with_row_of
+from .quantiles import quantiles
 
 def random_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with ``is_test`` for the ceil(n * test_size) rows of the smallest hashes."""
@@ -33,16 +21,17 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42
 
 def quantile_bins(df: DataFrame, target: str, bins: int) -> DataFrame:
     """``df`` with ``bin`` from 0: quantile bins closed on the right, equal edges made one."""
-    edges = df.agg(F.array_distinct(F.percentile(target, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges\x00"))
-    above = F.size(F.filter("edges\x00", lambda e: e < F.col(target))) - 1
-    return with_row_of(df, edges).withColumn("bin", F.greatest(above, F.lit(0))).select(*df.columns, "bin")
+    found = quantiles(df, [target], [i / bins for i in range(bins + 1)])[(target,)]
+    edges = F.array(*[F.lit(e).cast("double") for e in dict.fromkeys(found)])
+    above = F.size(F.filter(edges, lambda e: e < F.col(target))) - 1
+    return df.withColumn("bin", F.greatest(above, F.lit(0)))
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """As ``random_split``, within each stratum (M04): round(size * test_size) test rows of each."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(key, seed=seed), key))
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("n\x00"))
-    both = df.withColumn("rank\x00", rank).join(F.broadcast(sizes), stratum)
+    sizes = df.groupBy(F.col(stratum).alias("of\x00")).agg(F.count("*").alias("n\x00"))
+    ranked = hash_ranked(df, key, seed, "rank\x00", by=stratum)
+    both = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("of\x00")))
     return both.withColumn("is_test", F.col("rank\x00") <= F.floor(F.col("n\x00") * test_size + 0.5)).select(*df.columns, "is_test")
 
 
@@ -54,10 +43,8 @@ def group_split(df: DataFrame, group: str, test_size: float = 0.2, seed: int = 4
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratum: str | None = None) -> DataFrame:
     """``df`` with ``fold`` 0..k-1 of sizes at most one apart, over the table or within each stratum."""
-    if stratum is None:
-        return hash_ranked(df, key, seed, "rank\x00").withColumn("fold", F.pmod(F.col("rank\x00") - 1, F.lit(k)).cast("int")).drop("rank\x00")
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(key, seed=seed), key))
-    return df.withColumn("fold", F.pmod(rank - 1, F.lit(k)).cast("int"))
+    ranked = hash_ranked(df, key, seed, "rank\x00", by=stratum)
+    return ranked.withColumn("fold", F.pmod(F.col("rank\x00") - 1, F.lit(k)).cast("int")).drop("rank\x00")
 
 
 def repeated_folds(df: DataFrame, key: str, k: int = 5, repeats: int = 5, seed: int = 42) -> DataFrame:
@@ -68,23 +55,46 @@ def repeated_folds(df: DataFrame, key: str, k: int = 5, repeats: int = 5, seed:
     return out
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, most_groups: int = 1_000_000) -> DataFrame:
+def dealt(sizes: dict[int, int], k: int) -> list[tuple[int, int, int, int]]:
+    """(size, first rank, end rank, fold): groups by size, largest first, each to the lightest fold.
+
+    ``sizes`` counts the groups of each size. Groups of a size are alike, so as many as all folds can take
+    in turn are dealt at once.
+    """
+    load, out = [0] * k, []
+    for size in sorted(sizes, reverse=True):
+        rank, left = 0, sizes[size]
+        while left:
+            order = sorted(range(k), key=lambda i: (load[i], i))
+            turns = left // k if load[order[-1]] - load[order[0]] <= size else 0
+            if turns:
+                for fold in order:
+                    out.append((size, rank, rank + turns, fold))
+                    load[fold] += turns * size
+                    rank += turns
+                left -= turns * k
+                continue
+            fold = order[0]
+            n = min(left, max(1, (load[order[1]] - load[fold]) // size)) if k > 1 else left
+            out.append((size, rank, rank + n, fold))
+            load[fold] += n * size
+            rank, left = rank + n, left - n
+    return out
+
+
+def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Folds of whole groups, balanced: largest group first, each to the lightest fold.
 
-    The greedy rule is sequential over groups, so their sizes, not their rows, come to the driver, up to
-    ``most_groups``; more groups are dealt by rank of size, which balances them as well.
+    Only the histogram of group sizes comes to the driver; groups of a size are told apart by rank of
+    their hash. ``group`` is an integer or text; rows without a group are dropped.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    if sizes.count() > most_groups:
-        dealt = hash_ranked(sizes, group, name="rank").withColumn("fold", F.pmod("rank", F.lit(k)).cast("int"))
-        return df.join(dealt.select(group, "fold"), group)
-    load = [0] * k
-    placed = []
-    for row in sorted(sizes.collect(), key=lambda r: (-r["n"], str(r[group]))):
-        fold = min(range(k), key=lambda i: (load[i], i))
-        load[fold] += row["n"]
-        placed.append((row[group], fold))
-    return df.join(df.sparkSession.createDataFrame(placed, f"`{group}` {df.schema[group].dataType.simpleString()}, fold int"), group)
+    sizes = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("of\x00")).agg(F.count("*").alias("n\x00"))
+    histogram = {r["n\x00"]: r["many"] for r in sizes.groupBy("n\x00").agg(F.count("*").alias("many")).collect()}
+    places = df.sparkSession.createDataFrame(dealt(histogram, k), "`size\x00` long, `first\x00` long, `end\x00` long, fold int")
+    ranked = hash_ranked(sizes, "of\x00", seed, "rank\x00", by="n\x00")
+    on = (F.col("n\x00") == F.col("size\x00")) & (F.col("rank\x00") > F.col("first\x00")) & (F.col("rank\x00") <= F.col("end\x00"))
+    folded = ranked.join(places, on).select("of\x00", "fold")
+    return df.join(folded, F.col(group) == F.col("of\x00")).select(*df.columns, "fold")
 
 
 def curve_sizes(n: int) -> list[int]:

@@ -27,6 +27,13 @@ def x05_covariances(spark, sf_dir):
     return rounded(select.covariances(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
+@query("WITH m AS (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS b, avg(l_extendedprice) AS c, stddev_pop(l_extendedprice) AS d, sign(corr(l_quantity, l_extendedprice)) AS s FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(pow((l_quantity - a) / b + s * (l_extendedprice - c) / d, 2) / 2, 4) AS square FROM lineitem, m")
+def x05_first_component(spark, sf_dir):
+    """Of two standardised columns the first component is their sum or difference (by their correlation) over the root of two, up to its sign."""
+    rows, _ = select.principal_components(table(spark, sf_dir, "lineitem").select(*LINE_KEYS, "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"], 1)
+    return rounded(rows.select(*LINE_KEYS, (F.col("PC1") * F.col("PC1")).alias("square")), 4)
+
+
 @query()
 def x05_principal_components(spark, sf_dir):
     rows, _ = select.principal_components(table(spark, sf_dir, "lineitem").select(*LINE_KEYS, "l_quantity", "l_extendedprice", "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 0.9)
@@ -43,6 +50,14 @@ def x04_elimination(spark, sf_dir):
     return select.eliminate(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice", _linear_weights, keep=1)
 
 
+@query("SELECT * FROM (VALUES ('l_quantity', 1), ('l_linenumber', 2)) t(\"column\", ranking)")
+def x04_elimination_by_validation(spark, sf_dir):
+    """The number of features by cross-validation: the quantity makes the price, the line's number says nothing."""
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_linenumber").cast("double").alias("l_linenumber"), "l_extendedprice", F.concat_ws("-", *LINE_KEYS, "l_quantity", "l_extendedprice").alias("key"))
+    ranking, _ = models.eliminate_validated(lines, ["l_quantity", "l_linenumber"], "l_extendedprice", "key", "linear", k=3)
+    return ranking
+
+
 @query()
 def x07_importance(spark, sf_dir):
     columns = ["l_quantity", "l_discount", "l_tax"]
@@ -118,14 +133,24 @@ def m10_residuals(spark, sf_dir):
     return rounded(metrics.residuals(table(spark, sf_dir, "lineitem").withColumn("p", F.expr(PRED)), "l_extendedprice", "p"))
 
 
-@query("SELECT n, [round(n * (0.2 + 0.8 * i / (p - 1)))::INTEGER for i in range(p)] AS sizes FROM (SELECT n, least(20, greatest(8, round(n / 80)))::INTEGER AS p FROM (SELECT unnest([170, 327, 248]) AS n))")
+@query("SELECT n::BIGINT AS n, [round(n * (0.2 + 0.8 * i / (p - 1)))::INTEGER for i in range(p)] AS sizes FROM (SELECT n, least(20, greatest(8, round(n / 80)))::INTEGER AS p FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment UNION ALL SELECT count(*) FROM supplier))")
 def m11_curve_sizes(spark, sf_dir):
-    return spark.createDataFrame([(n, splits.curve_sizes(n)) for n in (170, 327, 248)], "n int, sizes array<int>")
+    counts = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).select("n").union(table(spark, sf_dir, "supplier").agg(F.count("*")))
+    return spark.createDataFrame([(r["n"], splits.curve_sizes(r["n"])) for r in counts.collect()], "n long, sizes array<int>")
+
 
+@query(f"WITH s AS (SELECT *, (c_custkey % 4 = 0) AS test, row_number() OVER (PARTITION BY c_custkey % 4 = 0 ORDER BY md5('42:' || c_custkey::VARCHAR), c_custkey) AS k, count(*) OVER (PARTITION BY c_custkey % 4 = 0) AS n FROM customer), z AS (SELECT p, round((SELECT n FROM s WHERE NOT test LIMIT 1) * p)::INTEGER AS size FROM (SELECT unnest([0.2, 0.6, 1.0]) AS p)), f AS (SELECT size, regr_slope(c_acctbal, c_nationkey) AS a, regr_intercept(c_acctbal, c_nationkey) AS b FROM s, z WHERE NOT test AND k <= size GROUP BY size) SELECT size AS train_size, round(sqrt(avg(pow(c_acctbal - a * c_nationkey - b, 2))), 4) AS rmse, round(avg(abs(c_acctbal - a * c_nationkey - b)), 4) AS mae FROM f, s WHERE test GROUP BY size")
+def m11_learning_curve(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"), "c_acctbal")
+    fitted, held = c.where("c_custkey % 4 <> 0"), c.where("c_custkey % 4 = 0")
+    n = fitted.count()
+    return rounded(models.learning_curve(fitted, held, ["x"], "c_acctbal", "c_custkey", [round(n * p) for p in (0.2, 0.6, 1.0)], "linear").select("train_size", "rmse", "mae"), 4)
 
-@query("WITH h AS (SELECT 'rmse' AS name, [3.0::DOUBLE, 2.0, 1.5] AS v), r AS (SELECT name, unnest(range(1, 4))::INTEGER AS step, unnest(v) AS value FROM h) SELECT step, name, value FROM r UNION ALL SELECT step, 'mse', value * value FROM r")
+
+@query("WITH r AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'rmse' ELSE 'mae' END || '_' || vec_id::VARCHAR AS long_name, vec_id, unnest(range(1, 65))::INTEGER AS step, unnest(embedding)::DOUBLE AS value FROM embeddings), n AS (SELECT vec_id::VARCHAR || CASE WHEN vec_id % 2 = 0 THEN '_rmse' ELSE '_mae' END AS name, step, value FROM r) SELECT step, name, round(value, 9) + 0.0 AS value FROM n UNION ALL SELECT step, regexp_replace(name, 'rmse$', 'mse'), round(value * value, 9) FROM n WHERE suffix(name, 'rmse')")
 def m13_history_table(spark, sf_dir):
-    return metrics.history_table(spark.createDataFrame([("rmse", [3.0, 2.0, 1.5])], "name string, values array<double>"))
+    name = F.concat(F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 2 == 0, "_rmse").otherwise("_mae"))
+    return rounded(metrics.history_table(table(spark, sf_dir, "embeddings").select(name.alias("name"), F.col("embedding").cast("array<double>").alias("values"))), 9)
 
 
 @query("SELECT o_custkey, round(avg(p), 6) AS p, round(any_value(y), 6) AS y FROM (SELECT o_custkey, o_totalprice AS p, o_custkey * 2.0::DOUBLE AS y FROM orders) GROUP BY 1")
@@ -179,12 +204,55 @@ def a00_available_models(spark, sf_dir):
     return spark.createDataFrame(models.available_models(), "model string, available boolean, note string")
 
 
-@query()
+def _folds_sql(fold: str) -> str:
+    """Scores of a line fitted outside each fold."""
+    return f"WITH o AS (SELECT o_orderkey, o_totalprice AS y, month(o_orderdate)::DOUBLE AS x, {fold} AS fold FROM orders), f AS (SELECT k.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM o, (SELECT DISTINCT fold FROM o) k WHERE o.fold <> k.fold GROUP BY 1) SELECT fold, round(1 - sum(pow(y - a * x - b, 2)) / (var_pop(y) * count(*)), 4) AS r2, round(sqrt(avg(pow(y - a * x - b, 2))), 4) AS rmse, round(avg(abs(y - a * x - b)), 4) AS mae FROM o JOIN f USING (fold) GROUP BY 1"
+
+
+@query(_folds_sql("((row_number() OVER (ORDER BY md5('42:' || o_orderkey::VARCHAR), o_orderkey) - 1) % 3)::INTEGER"))
 def m06_cross_validation(spark, sf_dir):
-    _, by_fold = models.cross_validate(_orders(spark, sf_dir), ["day", "month"], "o_totalprice", "o_orderkey", "linear", 3)
+    _, by_fold = models.cross_validate(_orders(spark, sf_dir), ["month"], "o_totalprice", "o_orderkey", "linear", 3)
     return rounded(by_fold, 4)
 
 
+@query(_folds_sql("((row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42:' || o_orderkey::VARCHAR), o_orderkey) - 1) % 3)::INTEGER"))
+def m06_stratified_validation(spark, sf_dir):
+    o = _orders(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    _, by_fold = models.cross_validate(o, ["month"], "o_totalprice", "o_orderkey", "linear", 3, stratum="o_orderstatus")
+    return rounded(by_fold, 4)
+
+
+@query(_folds_sql("(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END)::INTEGER"))
+def m06_group_validation(spark, sf_dir):
+    """Whole priorities held out, in folds that are given."""
+    fold = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    o = _orders(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", fold.alias("fold")), "o_orderkey")
+    _, by_fold = models.cross_validate(o, ["month"], "o_totalprice", "o_orderkey", "linear", fold="fold")
+    return rounded(by_fold, 4)
+
+
+@query("SELECT o_custkey, count(DISTINCT o_custkey) AS folds FROM orders GROUP BY 1")
+def m06_group_folds(spark, sf_dir):
+    """Each customer lies in one fold."""
+    f = splits.group_folds(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 5)
+    return f.groupBy("o_custkey").agg(F.countDistinct("fold").alias("folds"))
+
+
+@query("WITH c AS (SELECT l_quantity - (SELECT avg(l_quantity) FROM lineitem) AS x, l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS y FROM lineitem), m AS (SELECT avg(x * y) AS xy, avg(x * x) AS xx FROM c) SELECT round(sign(xy) * greatest(abs(xy) - 250, 0) / (xx + 250), 2) AS slope FROM m")
+def a04_elastic_net(spark, sf_dir):
+    data = select.assembled(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), ["l_quantity"])
+    m = models.make("elastic_net", data, "l_extendedprice", alpha=500.0, l1_ratio=0.5).fit(data)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 2),)], "slope double")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(avg(l_extendedprice) OVER (PARTITION BY l_linenumber > 3), 2) AS prediction FROM lineitem")
+def a05_tree_stump(spark, sf_dir):
+    """A tree of one split on a feature of two values predicts the mean of each side."""
+    data = select.assembled(table(spark, sf_dir, "lineitem").select(*LINE_KEYS, "l_extendedprice", (F.col("l_linenumber") > 3).cast("double").alias("late")), ["late"])
+    m = models.make("decision_tree", data, "l_extendedprice", maxDepth=1).fit(data)
+    return rounded(m.transform(data).select(*LINE_KEYS, "prediction"), 2)
+
+
 @query()
 def h01_search(spark, sf_dir):
     return models.search(_orders(spark, sf_dir), ["day", "month"], "o_totalprice", "o_orderkey", "ridge", {"alpha": [0.1, 1.0, 10.0]}, trials=2, k=2)
@@ -201,18 +269,25 @@ def e02_permutation_importance(spark, sf_dir):
     return explain.permutation_importance(o, ["day", "month"], "o_totalprice", "o_orderkey", lambda d: d.withColumn("prediction", F.col("month") * 1000 + 200_000), repeats=2)
 
 
-@query("SELECT * FROM (VALUES ('a', 1.0::DOUBLE), ('c', 0.5::DOUBLE)) t(\"column\", importance)")
+@query("SELECT p_brand AS \"column\", round(avg(p_retailprice), 6) AS importance FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def e03_top_importances(spark, sf_dir):
-    return explain.top_importances(spark.createDataFrame([("a", 1.0), ("b", 0.2), ("c", 0.5)], "column string, importance double"), 2)
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("column")).agg(F.round(F.avg("p_retailprice"), 6).alias("importance"))
+    return explain.top_importances(p, 15)
 
 
-@query("SELECT o_orderkey, round(o_totalprice / 2 + 10, 6) AS prediction FROM orders")
-def r01_predict(spark, sf_dir):
-    class Half:
-        def transform(self, df):
-            return df.withColumn("prediction", F.col("o_totalprice") / 2 + 10)
+@query("WITH m AS (SELECT avg(c_nationkey) AS a, avg(c_acctbal) AS b FROM customer) SELECT c_custkey, 'n' AS \"column\", round(30 * (c_nationkey - a), 4) + 0.0 AS value FROM customer, m UNION ALL SELECT c_custkey, 'c_acctbal', round(-0.5 * (c_acctbal - b), 4) + 0.0 FROM customer, m")
+def e01_sampled_shapley(spark, sf_dir):
+    """Of a linear model sampled values are exact in every order, so SQL can say them."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("n"), "c_acctbal")
+    return rounded(explain.sampled_shapley(c, ["n", "c_acctbal"], "c_custkey", lambda d: d.withColumn("prediction", F.col("n") * 30 - F.col("c_acctbal") * 0.5 + 7), orders=4), 4)
 
-    return rounded(models.predict(Half(), table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "fp_1"], pad=True).select("o_orderkey", "prediction"))
+
+@query("WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem) SELECT p_partkey, round(a * p_size + b, 2) AS prediction FROM part, f")
+def r01_predict(spark, sf_dir):
+    """A model of prices by quantity, fitted on lines, applied to rows of another table that lack a fingerprint column."""
+    lines = select.assembled(table(spark, sf_dir, "lineitem").select("l_extendedprice", F.col("l_quantity").alias("q"), F.lit(0.0).alias("fp_1")), ["q", "fp_1"])
+    fitted = models.make("linear", lines, "l_extendedprice").fit(lines)
+    return rounded(models.predict(fitted, table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("q")), ["q", "fp_1"], pad=True).select("p_partkey", "prediction"), 2)
 
 
 BITS = "SELECT vec_id, [(x > 0)::INTEGER for x in embedding] AS b FROM embeddings"
@@ -253,7 +328,8 @@ def l02_recommend(spark, sf_dir):
 @query()
 def l01_gaussian_process(spark, sf_dir):
     s = select.assembled(table(spark, sf_dir, "supplier").withColumn("x", F.col("s_nationkey").cast("double")), ["x"])
-    return active.gaussian_process(s.where("s_suppkey <= 50"), s.where("s_suppkey > 50"), "s_acctbal").select("s_suppkey", "al_mu", "al_sigma")
+    measured = F.crc32(F.col("s_suppkey").cast("string")) % 2 == 0
+    return active.gaussian_process(s.where(measured), s.where(~measured), "s_acctbal").select("s_suppkey", "al_mu", "al_sigma")
 
 
 @query()
@@ -292,8 +368,10 @@ def runs_folder(spark) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/forgeframe/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder: executors need one that all of them share")
+    return f"{(base or tempfile.gettempdir()).rstrip('/')}/forgeframe/{uuid.uuid4().hex}"
 
 
 @query("SELECT c_custkey, try_cast(nullif(regexp_extract(c_name, '(\\d+)', 1), '') AS BIGINT) AS number FROM customer")
@@ -306,9 +384,9 @@ def k08_record_shards(spark, sf_dir):
     return files.record_shards(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 128)
 
 
-@query("SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 4000)::INTEGER AS chunk FROM orders, (SELECT count(*) AS n FROM orders) QUALIFY chunk < n // 4000")
+@query("SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 400)::INTEGER AS chunk FROM orders, (SELECT count(*) AS n FROM orders) QUALIFY chunk < n // 400")
 def k09_caption_chunks(spark, sf_dir):
-    return files.caption_chunks(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 4000)
+    return files.caption_chunks(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 400)
 
 
 @query(r"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents) WHERE w <> '' GROUP BY 1 ORDER BY n DESC, w LIMIT 500")
@@ -318,17 +396,39 @@ def t20_vocabulary(spark, sf_dir):
     return vocabulary(table(spark, sf_dir, "documents"), "text", 500).select("word", "n")
 
 
-@query("SELECT 3::BIGINT AS total, 2::BIGINT AS success, 0::BIGINT AS warning, 1::BIGINT AS error")
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS success, count(*) FILTER (o_orderstatus = 'O') AS warning, count(*) FILTER (o_orderstatus = 'P') AS error FROM orders")
 def g01_step_counts(spark, sf_dir):
-    t = runs.Tracker()
-    for status in ("success", "success", "error"):
-        t.log("clean", status=status)
-    return runs.status_counts(t.table(spark))
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "warning").otherwise("error")
+    return runs.status_counts(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step_id"), status.alias("status")))
 
 
-@query("SELECT 'r' || i AS run_id FROM range(10, 15) t(i) ORDER BY 1 DESC LIMIT 3")
+@query("SELECT strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey::VARCHAR AS run_id FROM orders ORDER BY 1 DESC LIMIT 200")
 def s11_list_runs(spark, sf_dir):
-    return runs.list_runs(spark.range(10, 15).select(F.concat(F.lit("r"), "id").alias("run_id")), 3)
+    """A top-k report: the newest runs by id."""
+    return runs.list_runs(table(spark, sf_dir, "orders").select(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), F.col("o_orderkey").cast("string")).alias("run_id")), 200)
+
+
+@query("SELECT o_orderkey AS step_id, '{\"step_id\":' || o_orderkey::VARCHAR || ',\"operation\":\"' || o_orderpriority || '\"}' AS json FROM orders")
+def k03_steps_json(spark, sf_dir):
+    return runs.steps_json(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step_id"), F.col("o_orderpriority").alias("operation")))
+
+
+@query(r"WITH v AS (SELECT w, (row_number() OVER (ORDER BY n DESC, w) + 1)::INTEGER AS id FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents) WHERE w <> '' GROUP BY 1 ORDER BY n DESC, w LIMIT 50)), m AS (SELECT map_from_entries(list((w, id))) AS m FROM v), d AS (SELECT p_partkey, [coalesce(m[w], 1) for w in list_filter(regexp_split_to_array(lower(p_name), '\s+'), lambda x: x <> '')] AS ids FROM part, m) SELECT p_partkey, list_concat(ids[1:4], [0 for i in range(greatest(0, 4 - len(ids)))])::INTEGER[] AS ids FROM d")
+def t20_encode(spark, sf_dir):
+    from ..operators.vocabulary import encode, vocabulary
+
+    words = vocabulary(table(spark, sf_dir, "documents"), "text", 50)
+    return encode(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", words, 4).select("p_partkey", F.col("ids").cast("array<int>").alias("ids"))
+
+
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n FROM orders) SELECT o_orderkey, k <= n - n // 5 AS train FROM r")
+def t20_train_validation(spark, sf_dir):
+    from ..operators.vocabulary import train_validation
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    n = o.count()
+    first, rest = train_validation(o, "o_orderkey", n - n // 5)
+    return first.withColumn("train", F.lit(True)).unionByName(rest.withColumn("train", F.lit(False)))
 
 
 @query()

@@ -15,8 +15,6 @@ def connection(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, sf_dir, connection, name):
-    if name == "k09_caption_chunks":
-        pytest.skip("fewer rows than a chunk")
     same(QUERIES[name](spark, sf_dir), connection, SQL[name])
 
 
