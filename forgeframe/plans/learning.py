@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.predictions import key_description, normal_prediction
 from ..operators import active, cluster, domain, explain, metrics, models, select, splits, structures
 from ..sources import files, runs, synthetic
 from .registry import query, rounded, table
@@ -431,6 +432,28 @@ def t20_train_validation(spark, sf_dir):
     return first.withColumn("train", F.lit(True)).unionByName(rest.withColumn("train", F.lit(False)))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size > 45 THEN 'Invalid Key' WHEN p_size = 1 THEN 'ISOTOPE' WHEN p_size = 14 THEN 'S-S' WHEN p_size = 17 THEN 'C#C' WHEN p_size = 27 THEN 'I' WHEN p_size = 41 THEN 'C#N' ELSE 'Unknown Fragment' END AS name FROM part WHERE p_size > 45 OR p_size IN (1, 14, 17, 27, 41) OR p_size = 2")
+def t19_key_descriptions(spark, sf_dir):
+    """Numbers, one beyond the last key, and texts that are no numbers."""
+    key = F.when(F.col("p_size") > 45, F.col("p_name")).when(F.col("p_size") == 2, "167").otherwise(F.col("p_size").cast("string"))
+    p = table(spark, sf_dir, "part").where("p_size > 45 OR p_size IN (1, 14, 17, 27, 41) OR p_size = 2")
+    return p.select("p_partkey", key_description(key).alias("name"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN 'C' || (p_size % 10)::VARCHAR || 'O' END AS structure, round(CASE p_partkey % 4 WHEN 0 THEN p_size / 100 WHEN 1 THEN p_size / 50 WHEN 2 THEN (1 + p_size / 100 + 0.5) / 3 END, 6) AS confidence FROM part")
+def t18_normal_predictions(spark, sf_dir):
+    """A text with its confidence, candidates, tokens, nothing."""
+    size, kind = F.col("p_size").cast("double"), F.col("p_partkey") % 4
+
+    def part(text, confidence):
+        return F.struct(text.alias("text"), confidence.alias("confidence"))
+
+    tokens = F.array(part(F.lit("C"), F.lit(1.0)), part((F.col("p_size") % 10).cast("string"), size / 100), part(F.lit("O"), F.lit(0.5)))
+    parts = F.when(kind == 1, F.array(part(F.col("p_name"), size / 50), part(F.lit("second"), F.lit(0.1)))).when(kind == 2, tokens)
+    answer = normal_prediction(F.when(kind == 0, F.col("p_name")), F.when(kind == 0, size / 100), parts)
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", answer.alias("a")).select("p_partkey", "a.structure", "a.confidence"))
+
+
 @query()
 def capabilities(spark, sf_dir):
     return structures.capability_table(spark)
