@@ -54,7 +54,8 @@ def history_table(history: DataFrame) -> DataFrame:
 
 def model_history(model) -> list[float]:
     """The recorded curve of a fitted model, by what it has."""
-    for holder in (model, getattr(model, "summary", None)):
+    summary = model.summary if getattr(model, "hasSummary", False) else None
+    for holder in (model, summary):
         for name in ("history", "objectiveHistory", "losses"):
             values = getattr(holder, name, None)
             if values is not None and not callable(values):
