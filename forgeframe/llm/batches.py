@@ -1,13 +1,16 @@
 """Whole texts through Arrow in batches whose bytes are bounded, so a worker's memory doesn't depend on the texts.
 
 Spark closes a batch by rows and by bytes; its own limit of bytes is 64 MB, of which an executor holds
-several copies for each task (both sides of the pipe, and what is made of it).
+several copies for each task (both sides of the pipe, and what is made of it). Workers live on after a
+task, more of them than there are cores, so each gives its free memory back when its task ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -16,10 +19,28 @@ BATCH_BYTES = 2 << 20
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def give_back() -> None:
+    """Returns what Arrow and the C library hold free to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _tidy(function: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow(function, schema)``; lowers the session's limit of bytes a batch to BATCH_BYTES, if it is higher."""
     conf = df.sparkSession.conf
     now = int(conf.get(_SETTING).rstrip("b"))
     if now <= 0 or now > BATCH_BYTES:
         conf.set(_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidy(function), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import release, staged
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -14,13 +14,13 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, root) for every id on an edge of ``edges`` (a, b); root is the smallest id reachable.
+    """(id, root) for every id on an edge of ``edges`` (a, b), staged; root is the smallest id reachable.
 
     Alternates two star contractions: every node hands its larger neighbours to its smallest neighbour,
     then its smaller neighbours too. Each round at least halves long chains; a node with very many
     neighbours costs one minimum (combined before the shuffle) and one join that Spark may split. Each
-    round's edges are a table in the shared folder, so no lineage grows and nothing is collected.
-    Loops are ignored. An id without edges has no row. No edges: no rows.
+    round's edges are a table in the shared folder that the next one replaces, so no lineage grows and
+    nothing is collected. Loops are ignored. An id without edges has no row. No edges: no rows.
     """
     a, b = F.col("a"), F.col("b")
     now = edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
@@ -35,7 +35,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = staged(large, "large-star")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = staged(small.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
+        old, now = now, staged(small.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
+        release(old, large)
         after = _signature(now)
         if after == before:
             break
@@ -43,4 +44,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("id"), "root")
-    return roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
+    out = staged(roots.union(roots.select(F.col("root").alias("id"), "root").distinct()), "components")
+    release(now)
+    return out

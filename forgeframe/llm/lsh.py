@@ -19,24 +19,44 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import map_batches
 from .graph import components
-from .storage import staged
+from .storage import release, staged
 
 #: Items of one bucket that one task compares with as many others.
-BLOCK = 512
-#: Ids up to which a filter is sent to the executors whole (16 MB); beyond, the join is shuffled.
-BROADCAST_IDS = 1 << 20
-
-
-def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``df``, marked for broadcast if its counted rows are at most ``limit``. Call on staged tables."""
-    return F.broadcast(df) if df.count() <= limit else df
+BLOCK = 1024
+#: Comparisons that a row of a block costs besides its own, comparisons of one task, and most tasks.
+ROW_WORK, TASK_WORK, MOST_TASKS = 128, 1 << 20, 100_000
+#: Bytes up to which a table is sent to the executors whole; beyond, the join is shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def _bytes(column, kind: T.DataType):
+    """(bytes of any value of ``kind``, bytes that this one has besides)."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16, F.octet_length(column)
+    if isinstance(kind, T.StructType):
+        parts = [_bytes(column[f.name], f.dataType) for f in kind]
+        return 16 + sum(n for n, _ in parts), sum((x for _, x in parts if x is not None), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        n, more = _bytes(F.lit(None).cast(kind.elementType), kind.elementType)
+        if not isinstance(kind.elementType, (T.NumericType, T.StructType)):
+            raise TypeError(f"no bound of bytes for {kind.simpleString()}")
+        return 16, F.size(column) * n
+    return 8, None
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if its rows, measured, have at most ``limit`` bytes. Call on staged tables."""
+    parts = [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]
+    more = sum((F.coalesce(F.sum(x), F.lit(0)) for _, x in parts if x is not None), F.lit(0))
+    rows, own = df.agg(F.count("*"), more).first()
+    return F.broadcast(df) if rows * (32 + sum(n for n, _ in parts)) + own <= limit else df
 
 
 @dataclass(frozen=True)
@@ -86,14 +106,15 @@ def _compared(kind: Sketch):
     earlier band comes out there, and not here.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch = kind.rows(pdf["sketch"])
+    def run(cell: pa.Table) -> pa.Table:
+        sketch = kind.rows(cell.column("sketch").to_pylist())
         has = (sketch > 0).sum(1)
         order = np.argsort(has, kind="stable")
         sketch, has = sketch[order], has[order]
-        ids, label, block, n = (pdf[c].to_numpy()[order] for c in ("id", "label", "block", "n"))
-        earlier = np.stack(pdf["keys"].to_numpy()[order])[:, : pdf["band"].iat[0]]
-        alone = pdf["low"].iat[0] == pdf["high"].iat[0]
+        ids, label, block, n = (cell.column(c).to_numpy()[order] for c in ("id", "label", "block", "n"))
+        keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        earlier = keys[order][:, : cell.column("band")[0].as_py()]
+        alone = cell.column("low")[0] == cell.column("high")[0]
         quarter = max(1, kind.width // 4)
         found = [np.zeros((0, 2), np.int64)]
         for i in range(len(ids)):
@@ -110,7 +131,7 @@ def _compared(kind: Sketch):
                 other = other[kind.possible(sketch[i : i + 1], sketch[other], n[other] + n[i])]
                 found.append(np.c_[np.full(len(other), ids[i]), ids[other]])
         pairs = np.sort(np.concatenate(found), axis=1)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -121,14 +142,14 @@ def _connected(percent: int):
     One pass over the blocks' elements gives the intersections of one member with all others.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = pdf["shingles"].to_numpy()
-        n = np.fromiter(map(len, sets), np.int64, len(sets))
-        of = np.r_[0, np.cumsum(n)]
-        ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
-        _, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
-        unique, element = np.unique(np.concatenate(sets), return_inverse=True)
-        alone = pdf["low"].iat[0] == pdf["high"].iat[0]
+    def run(cell: pa.Table) -> pa.Table:
+        sets = cell.column("shingles").combine_chunks()
+        of = sets.offsets.to_numpy().astype(np.int64)
+        n = np.diff(of)
+        ids, block = cell.column("id").to_numpy(), cell.column("block").to_numpy()
+        _, label = np.unique(cell.column("label").to_numpy(), return_inverse=True)
+        unique, element = np.unique(sets.values.to_numpy(), return_inverse=True)
+        alone = cell.column("low")[0] == cell.column("high")[0]
         has, found = np.zeros(len(unique), np.int64), []
         for i in range(len(ids)):
             other = (label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (alone | (block != block[i]))
@@ -142,7 +163,8 @@ def _connected(percent: int):
                 if label[j] != label[i]:
                     found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
                     label[label == label[j]] = label[i]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -155,7 +177,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def clusters(items: DataFrame, kind: Sketch, sets_of: Callable[[DataFrame], DataFrame], percent: int, whole_blocks: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((id, root) of every linked item, links (a, b)) of staged ``items`` (id, n, bands, sketch).
+    """((id, root) of every linked item, links (a, b)), both staged, of staged ``items`` (id, n, bands, sketch).
 
     ``n`` is the size of the item's set. ``bands`` holds one value a band, null where the band says
     nothing; ``sketch`` is as ``kind`` says. ``sets_of`` takes staged ids (id) and returns their whole sets
@@ -166,7 +188,16 @@ def clusters(items: DataFrame, kind: Sketch, sets_of: Callable[[DataFrame], Data
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-        return staged(linked(pairs, staged(sets_of(ids), "sets"), percent), "linked")
+        sets = staged(sets_of(ids), "sets")
+        out = staged(linked(pairs, sets, percent), "linked")
+        release(ids, sets, pairs)
+        return out
+
+    def grown(links: DataFrame, more: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links, and their components in place of ``found``."""
+        both = staged(links.union(more).distinct(), "links")
+        release(links, more, found)
+        return both, components(both)
 
     rows = items.select("id", F.posexplode("bands").alias("band", "key")).where("key is not null")
     buckets = staged(rows.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.min(F.struct(F.xxhash64("id", "band", "key"), "id"))["id"].alias("other"), F.count("*").alias("m")).where("m > 1"), "buckets")
@@ -182,33 +213,44 @@ def clusters(items: DataFrame, kind: Sketch, sets_of: Callable[[DataFrame], Data
 
     def still_open(found: DataFrame) -> DataFrame:
         """Members, with their labels, of the buckets of three or more that hold several components."""
-        several = shared.where("m > 2").join(found, "id", "left").withColumn("label", F.coalesce("root", "id"))
+        several = shared.where("m > 2").join(small(found), "id", "left").withColumn("label", F.coalesce("root", "id"))
         mixed = several.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "key")
-        return staged(several.join(mixed, ["band", "key"], "left_semi").drop("root"), "open")
+        mixed = staged(mixed, "mixed")  # so that the join below reads plain shuffles, which Spark splits where a key is hot
+        out = staged(several.join(small(mixed), ["band", "key"], "left_semi").drop("root"), "open")
+        release(mixed)
+        return out
 
     links = star(shared, "pivot")
-    found = staged(components(links), "components")
+    found = components(links)
     rest = still_open(found)
+    release(buckets)
     if rest.isEmpty():
+        release(shared, rest)
         return found, links
-    labels = rest.select(F.col("id").alias("other"), "band", "key", F.col("label").alias("its"))
-    links = links.union(star(rest.join(labels, ["band", "key", "other"]).where("label <> its"), "other"))
-    found = staged(components(links), "components")
+    labels = rest.where("id = other").select("other", "band", "key", F.col("label").alias("its"))
+    links, found = grown(links, star(rest.join(labels, ["band", "key", "other"]).where("label <> its"), "other"), found)
+    release(rest)
     rest = still_open(found)
+    release(shared)
     if rest.isEmpty():
+        release(rest)
         return found, links
+    opened, work = rest, rest.agg(F.sum(F.lit(ROW_WORK) + F.col("m") / 2)).first()[0]
+    tasks = int(min(max(1, work // TASK_WORK), MOST_TASKS))
+    cell = ["band", "key", "low", "high"]
     rest = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("next", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumns({"low": F.least("block", "next"), "high": F.greatest("block", "next")})
     if whole_blocks:
         sets = sets_of(staged(rest.select("id").distinct(), "wanted"))
-        rest = rest.join(sets, "id").select("band", "key", "low", "high", "block", "id", "label", "shingles")
-        more = staged(rest.groupBy("band", "key", "low", "high").applyInPandas(_connected(percent), "a long, b long").distinct(), "linked")
-        links = staged(links.union(more).distinct(), "links")
-        return staged(components(links), "components"), links
+        rest = rest.join(sets, "id").select(*cell, "block", "id", "label", "shingles").repartition(tasks, *cell)
+        more = staged(rest.groupBy(*cell).applyInArrow(_connected(percent), "a long, b long").distinct(), "linked")
+        links, found = grown(links, more, found)
+        release(opened)
+        return found, links
     keys = F.transform("bands", lambda k: F.coalesce(k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(0)))
-    rest = rest.join(items.select("id", "n", "sketch", keys.alias("keys")), "id").select("band", "key", "low", "high", "block", "id", "label", "n", "keys", "sketch")
-    pairs = rest.groupBy("band", "key", "low", "high").applyInPandas(_compared(kind), "a long, b long").distinct()
-    more = verify(staged(pairs, "pairs"))
-    links = staged(links.union(more).distinct(), "links")
-    return staged(components(links), "components"), links
+    rest = rest.join(items.select("id", "n", "sketch", keys.alias("keys")), "id").select(*cell, "block", "id", "label", "n", "keys", "sketch")
+    pairs = rest.repartition(tasks, *cell).groupBy(*cell).applyInArrow(_compared(kind), "a long, b long").distinct()
+    links, found = grown(links, verify(staged(pairs, "pairs")), found)
+    release(opened)
+    return found, links

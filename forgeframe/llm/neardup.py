@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .batches import map_batches
 from .lsh import Sketch, clusters, small
-from .storage import staged
-from .textops import SPACED, U64, distinct_sorted, list_array, mix, runs, windows, words
+from .storage import free_names, release, staged, with_row_ids
+from .textops import SPACED, U64, distinct_sorted, list_array, mix, runs, set_digests, windows, words
 
 SHINGLE = 5
 BUCKET_BITS = 8
@@ -91,13 +91,11 @@ def _sketched(rows: int):
                 values, of = shingles(texts)
                 table = registers(values, of)
                 keys, filled = bands(table, rows)
-                sums = [np.r_[U64(0), np.cumsum(v)] for v in (values, mix(values))]
-                k1, k2 = (s[of[1:]] - s[of[:-1]] for s in sums)
                 flat = pa.array(keys.reshape(-1).view(np.int64), mask=~filled.reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * keys.shape[1], pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(texts.first, len(texts)), pa.array(np.diff(of)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, pa.array([r.tobytes() for r in stored(table)], pa.binary())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                    [batch.column("doc_id").slice(texts.first, len(texts)), pa.array(np.diff(of)), set_digests(values, of), lists, pa.array([r.tobytes() for r in stored(table)], pa.binary())],
+                    names=["doc_id", "n_shingles", "whole", "bands", "sketch"],
                 )
 
     return run
@@ -110,6 +108,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(texts.first, len(texts)), list_array(values, of)], names=["id", "shingles"])
 
 
+def keep_first(docs: DataFrame, percent: int) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row, that of the smallest doc_id, of each group of near duplicates.
+
+    Groups are as in ``near_duplicates``, with each row as a document of its own: of equal rows one stays, of
+    different texts under one doc_id each is judged by itself, and null doc_ids come last in a group. Rows
+    without words all stay. Other columns may have any names.
+    """
+    row = free_names(docs, "row")[0]
+    numbered = with_row_ids(docs, row)
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), percent)
+    gone = staged(found.where("not kept").select(F.col("doc_id").alias(row)), "gone")
+    release(found)
+    return numbered.join(small(gone), row, "left_anti").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -119,12 +132,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     linked with nothing, kept. A null doc_id keeps its row, a null component and kept = true. Rows that
     repeat a doc_id share a component. Other columns of ``docs`` are ignored.
 
-    Documents of equal sets (compared by count and 128 bits over the whole set) form a class; only one
-    of a class is banded, so a group of copies of any size costs a minimum.
+    Documents of equal sets (by a cryptographic hash over the whole sorted set, so none is taken for a
+    copy that isn't) form a class; only one of a class is banded, so a group of copies of any size costs
+    a minimum. The result is a staged table; those it is made from are deleted.
     """
     docs = docs.select("doc_id", "text")
-    table = staged(map_batches(docs, _sketched(tuned_rows(percent)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "sketches")
-    key = ["k1", "k2", "n_shingles"]
+    table = staged(map_batches(docs, _sketched(tuned_rows(percent)), "doc_id long, n_shingles long, whole binary, bands array<long>, sketch binary"), "sketches")
+    key = ["whole", "n_shingles"]
     slim = table.select("doc_id", *key)
     classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = staged(classes.where("copies > 1").drop("copies"), "classes")
@@ -136,8 +150,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         wanted = docs.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
         return map_batches(wanted.select("doc_id", "text"), _sets, "id long, shingles array<long>")
 
-    found, _ = clusters(items, Sketch(BUCKETS, "<u2", percent / 100 - SLACK, ACCIDENT, (100 - percent) / (100 + percent)), sets_of, percent)
-    roots = small(staged(found.withColumnRenamed("id", "rep"), "roots"))
-    out = slim.join(copies, key, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(roots, "rep", "left")
+    found, links = clusters(items, Sketch(BUCKETS, "<u2", percent / 100 - SLACK, ACCIDENT, (100 - percent) / (100 + percent)), sets_of, percent)
+    out = slim.join(copies, key, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(small(found.withColumnRenamed("id", "rep")), "rep", "left")
     component = F.coalesce("root", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = staged(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "documents")
+    release(table, classes, items, found, links)
+    return out

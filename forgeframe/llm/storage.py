@@ -2,25 +2,31 @@
 
 A step that is read more than once, or that ends a loop's lineage, is written as Parquet under
 ``spark.checkpoint.dir`` and read again, so a lost executor costs a re-read and never a re-run.
+Operators release the tables that their result doesn't read.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Folder by application, for sessions that name none (tests on one machine).
+#: Folder by application, for local sessions that name none (tests on one machine).
 _own_folders: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one, but only if all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir names no folder: executors need one that all of them share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="forgeframe-")
@@ -31,11 +37,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/forgeframe/{name}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has such columns of its own."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: same rows, no lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` (long) that tells its rows apart, in the order of doc_id.
+
+    That is doc_id itself, unless ids are null or repeat: then the rows are numbered, nulls last, in a
+    staged copy, as a number is only stable once it is written.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if again.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    nth = free_names(docs.withColumn(name, F.lit(0)), "nth")[0]
+    order = [F.col("doc_id").asc_nulls_last(), F.col(nth)]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.withColumn(nth, F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return staged(ordered.withColumn(name, F.monotonically_increasing_id()).drop(nth), "numbered")
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of staged ``tables``; nothing may read them, or frames made from them, any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

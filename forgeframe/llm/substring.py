@@ -1,6 +1,7 @@
 """Substring dedup: paragraphs that nearly repeat, and passages that repeat word for word anywhere.
 
-A paragraph is a line of at least 20 words. Its MinHash values are banded, colliding paragraphs are
+A paragraph is a line of at least 20 words, or a run of shorter lines (hard-wrapped text, say) between
+blank or long ones that has 20 words or more. Its MinHash values are banded, colliding paragraphs are
 joined and verified by exact Jaccard similarity, and of each connected component all but the first
 paragraph go. In what is left, every window of 30 words that also lies at an earlier place goes,
 wherever it begins and whatever lines or sentences it crosses. Each window is marked by the least hash
@@ -22,8 +23,8 @@ from .batches import map_batches
 from .decontam import cut
 from .lsh import Sketch, clusters, small
 from .neardup import SHINGLE
-from .storage import staged
-from .textops import SPACED, U64, Texts, distinct_sorted, list_array, mix, ragged, runs, windows, words
+from .storage import free_names, release, staged, with_row_ids
+from .textops import SPACED, U64, Texts, distinct_sorted, list_array, mix, ragged, runs, set_digests, windows, words
 
 #: Words of the least paragraph, of a window, and of the grams that mark windows.
 PARAGRAPH, RUN, GRAM = 20, 30, 16
@@ -38,12 +39,17 @@ def tuned_bands(percent: int, rows: int = ROWS, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows))
 
 
-def _lines(texts: Texts):
-    """Words, offsets of each line's words, text of each line."""
+def _paragraph_words(texts: Texts):
+    """Words, offsets of each paragraph's words, text of each paragraph; paragraphs of any size."""
     found = words(texts, SPACED)
     edges = np.union1d(np.flatnonzero(texts.data == 0x0A) + 1, texts.offsets)
     of = np.searchsorted(found.starts, edges)
-    return found, of, np.searchsorted(texts.offsets, edges[:-1], "right") - 1
+    text, n = np.searchsorted(texts.offsets, edges[:-1], "right") - 1, np.diff(of)
+    short = (n > 0) & (n < PARAGRAPH)
+    goes_on = np.zeros(len(n), bool)
+    goes_on[1:] = short[1:] & short[:-1] & (text[1:] == text[:-1])
+    first = np.flatnonzero((n > 0) & ~goes_on)
+    return found, np.r_[of[first], len(found.starts)], text[first]
 
 
 def minhashes(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -57,12 +63,12 @@ def minhashes(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def _units(n_hashes: int):
-    names = ["doc_id", "start", "end", "words", "n", "k1", "k2", "sketch"]
+    names = ["doc_id", "start", "end", "words", "n", "whole", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in runs(batch.column("text")):
-                found, of, text = _lines(texts)
+                found, of, text = _paragraph_words(texts)
                 long = np.flatnonzero(np.diff(of) >= PARAGRAPH)
                 if not len(long):
                     continue
@@ -70,14 +76,12 @@ def _units(n_hashes: int):
                 size = np.diff(of)[long]
                 picked = np.repeat(of[long], size) + ragged(size)
                 values, sets = distinct_sorted(*windows(hashes[picked], np.r_[0, np.cumsum(size)], SHINGLE))
-                sums = [np.r_[U64(0), np.cumsum(v)] for v in (values, mix(values))]
-                k1, k2 = (s[sets[1:]] - s[sets[:-1]] for s in sums)
                 sketch = pa.array([r.tobytes() for r in minhashes(values, sets, n_hashes)], pa.binary())
                 first, last, which = of[long], of[long + 1], text[long]
                 base = texts.offsets[which]
-                made = [found.starts[first] - base, found.ends[last - 1] - base, size, np.diff(sets), k1.view(np.int64), k2.view(np.int64)]
+                made = [found.starts[first] - base, found.ends[last - 1] - base, size, np.diff(sets)]
                 ids = batch.column("doc_id").slice(texts.first, len(texts))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *map(pa.array, made), sketch], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *map(pa.array, made), set_digests(values, sets), sketch], names=names)
 
     return run
 
@@ -85,7 +89,7 @@ def _units(n_hashes: int):
 def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in runs(batch.column("text")):
-            found, of, text = _lines(texts)
+            found, of, text = _paragraph_words(texts)
             values, sets = distinct_sorted(*windows(found.hashes(), of, SHINGLE))
             long = np.flatnonzero(np.diff(of) >= PARAGRAPH)
             start = found.starts[of[long]] - texts.offsets[text[long]] if len(long) else np.zeros(0, np.int64)
@@ -95,29 +99,35 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _paragraphs(docs: DataFrame, units: DataFrame, percent: int, bands: int) -> DataFrame:
     """(doc_id, start, end, words, kept_doc_id) of each paragraph that goes."""
-    key = ["k1", "k2", "n"]
+    key = ["whole", "n"]
     paragraphs = units
     classes = paragraphs.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = small(staged(classes.drop("copies"), "classes"))
+    classes = staged(classes.drop("copies"), "classes")
+    copies = small(classes)
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(F.substring(F.col("sketch"), j * 4 * ROWS + 1, F.lit(4 * ROWS))))
     items = paragraphs.join(copies, key, "left").where("rep is null or rep = id").select("id", "n", band.alias("bands"), "sketch")
     items = staged(items, "paragraphs")
     places = paragraphs.select("id", "doc_id", "start")
 
+    wanted: list[DataFrame] = []
+
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = staged(places.join(small(ids), "id", "left_semi"), "wanted-places")
-        of = docs.join(small(staged(wanted.select("doc_id").distinct(), "wanted-docs")), "doc_id", "left_semi")
-        sets = map_batches(of.select("doc_id", "text"), _paragraph_sets, "doc_id long, start long, shingles array<long>")
-        return sets.join(small(wanted), ["doc_id", "start"]).select("id", "shingles")
+        there = staged(places.join(small(ids), "id", "left_semi"), "wanted-places")
+        of = staged(there.select("doc_id").distinct(), "wanted-docs")
+        wanted.extend((there, of))
+        sets = map_batches(docs.join(small(of), "doc_id", "left_semi").select("doc_id", "text"), _paragraph_sets, "doc_id long, start long, shingles array<long>")
+        return sets.join(small(there), ["doc_id", "start"]).select("id", "shingles")
 
-    found, _ = clusters(items, Sketch(ROWS * bands, "<u4", percent / 100 - SLACK), sets_of, percent, whole_blocks=True)
+    found, links = clusters(items, Sketch(ROWS * bands, "<u4", percent / 100 - SLACK), sets_of, percent, whole_blocks=True)
     placed = paragraphs.select("id", "doc_id", "start", "end", "words", *key).join(copies, key, "left").withColumn("rep", F.coalesce("rep", "id"))
-    placed = placed.join(small(staged(found.select(F.col("id").alias("rep"), "root"), "roots")), "rep", "left")
+    placed = placed.join(small(found.select(F.col("id").alias("rep"), "root")), "rep", "left")
     placed = placed.withColumn("root", F.coalesce("root", "rep"))
     keepers = placed.groupBy("root").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("m")).where("m > 1").select("root", "kept")
-    keepers = small(staged(keepers, "keepers"))
-    gone = placed.join(keepers, "root").where(F.struct("doc_id", "start") != F.col("kept"))
-    return gone.select("doc_id", "start", "end", F.col("words").cast("long").alias("words"), F.col("kept.doc_id").alias("kept_doc_id"))
+    keepers = staged(keepers, "keepers")
+    gone = placed.join(small(keepers), "root").where(F.struct("doc_id", "start") != F.col("kept"))
+    out = staged(gone.select("doc_id", "start", "end", F.col("words").cast("long").alias("words"), F.col("kept.doc_id").alias("kept_doc_id")), "paragraphs-gone")
+    release(classes, items, found, links, keepers, *wanted)
+    return out
 
 
 def marks(hashes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,22 +197,27 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     overlap it. Windows with one kept document that touch or overlap make one row, so a row has no word
     that isn't in a repeated window.
     """
-    gone = staged(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
+    tables = [gone := staged(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")]
     found = map_batches(docs.join(small(gone), "doc_id", "left").select("doc_id", "text", "gone"), _marks, "doc_id long, word long, n long, mark long")
-    found = staged(found, "marks")
-    twice = small(staged(found.groupBy("mark").agg(F.count("*").alias("m")).where("m > 1").select("mark"), "twice"))
-    named = found.join(twice, "mark", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("word", "n")).alias("marks"))
-    named = docs.join(small(staged(named, "named")), "doc_id").select("doc_id", "text", "marks")
-    spans = staged(map_batches(named, _windows, "doc_id long, word long, start long, end long, k1 long, k2 long"), "windows")
+    tables += [found := staged(found, "marks")]
+    tables += [twice := staged(found.groupBy("mark").agg(F.count("*").alias("m")).where("m > 1").select("mark"), "twice")]
+    named = found.join(small(twice), "mark", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("word", "n")).alias("marks"))
+    named = staged(named, "named")
+    release(*tables)
+    tables, named = [named], docs.join(small(named), "doc_id").select("doc_id", "text", "marks")
+    tables += [spans := staged(map_batches(named, _windows, "doc_id long, word long, start long, end long, k1 long, k2 long"), "windows")]
     place = F.struct("doc_id", "word")
     repeated = spans.groupBy("k1", "k2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").drop("last")
-    again = spans.join(small(staged(repeated, "repeated")), ["k1", "k2"])
+    tables += [repeated := staged(repeated, "repeated")]
+    again = spans.join(small(repeated), ["k1", "k2"])
     again = again.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("word") - F.col("kept.word") >= RUN)).withColumn("kept_doc_id", F.col("kept.doc_id"))
     before = F.expr("lag(word) OVER (PARTITION BY doc_id, kept_doc_id ORDER BY word)")
     again = again.withColumn("begins", F.when(F.col("word") - before <= RUN, 0).otherwise(1))
     again = again.withColumn("run", F.expr("sum(begins) OVER (PARTITION BY doc_id, kept_doc_id ORDER BY word ROWS UNBOUNDED PRECEDING)"))
     made = again.groupBy("doc_id", "kept_doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + RUN).alias("words"))
-    return made.select("doc_id", "start", "end", "words", "kept_doc_id")
+    out = staged(made.select("doc_id", "start", "end", "words", "kept_doc_id"), "passages")
+    release(*tables)
+    return out
 
 
 def repeated_spans(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -215,24 +230,26 @@ def repeated_spans(docs: DataFrame, percent: int = 80) -> DataFrame:
     lower-cased, any white space between words) outside the paragraphs that go. Repeats within a
     document count too.
 
-    Null or wordless texts and texts of short lines without long repeated passages have no rows; nor have
-    rows of null doc_id, which are left alone. Rows that repeat a doc_id count as one document. Empty
-    table: no rows. Other columns are ignored.
+    Null or wordless texts and texts of few words without long repeated passages have no rows; nor have
+    rows of null doc_id, which are left alone. Rows that repeat a doc_id count as one document, and a span
+    lies in any of them (``remove_repeats`` tells rows apart). Empty table: no rows. Other columns are
+    ignored. The result reads staged tables; those they were made from are deleted.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     bands = tuned_bands(percent)
-    schema = "doc_id long, start long, end long, words long, n long, k1 long, k2 long, sketch binary"
+    schema = "doc_id long, start long, end long, words long, n long, whole binary, sketch binary"
     units = map_batches(docs, _units(ROWS * bands), schema).withColumn("id", F.monotonically_increasing_id())
     units = staged(units, "units")
-    paragraphs = staged(_paragraphs(docs, units, percent, bands).withColumn("kind", F.lit("paragraph")), "gone")
+    paragraphs = _paragraphs(docs, units, percent, bands).withColumn("kind", F.lit("paragraph"))
+    release(units)
     passages = _passages(docs, paragraphs).withColumn("kind", F.lit("passage"))
     return paragraphs.unionByName(passages).select("doc_id", "start", "end", "words", "kind", "kept_doc_id")
 
 
-def _without(names: list[str]):
+def _without(names: list[str], spans: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [cut(t, merged(s)) for t, s in zip(batch.column("text").to_pylist(), batch.column("repeated spans").to_pylist(), strict=True)]
+            text = [cut(t, merged(s)) for t, s in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
     return run
@@ -249,10 +266,19 @@ def merged(spans: list[dict] | None) -> list[dict]:
     return out
 
 
-def remove_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with the parts that ``repeated_spans`` finds cut out of ``text``; all rows and columns stay."""
-    spans = repeated_spans(docs, percent).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("repeated spans"))
-    spans = staged(spans, "spans")
-    whole = docs.join(small(spans), "doc_id", "left").select(*docs.columns, "repeated spans")
-    changed = map_batches(whole.where(F.col("repeated spans").isNotNull()), _without(docs.columns), docs.schema)
-    return whole.where(F.col("repeated spans").isNull()).select(*docs.columns).unionByName(changed)
+def remove_repeats(docs: DataFrame, percent: int = 80, keep_emptied: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the parts that repeat cut out of ``text``; all columns stay.
+
+    What repeats is as in ``repeated_spans``, with each row as a document of its own: rows of null or
+    repeated doc_ids are told apart, and the first of repeating parts by doc_id (nulls last) and place
+    stays. Null text stays null. A row of which nothing is left stays too, with an empty text, unless
+    ``keep_emptied`` is false. Other columns may have any names.
+    """
+    row, spans = free_names(docs, "row", "spans")
+    numbered = with_row_ids(docs, row)
+    found = repeated_spans(numbered.select(F.col(row).alias("doc_id"), "text"), percent)
+    found = staged(found.groupBy(F.col("doc_id").alias(row)).agg(F.collect_list(F.struct("start", "end")).alias(spans)), "spans")
+    whole = numbered.join(small(found), row, "left").select(*docs.columns, spans)
+    changed = map_batches(whole.where(F.col(spans).isNotNull()), _without(docs.columns, spans), docs.schema)
+    changed = changed if keep_emptied else changed.where("text <> ''")
+    return whole.where(F.col(spans).isNull()).select(*docs.columns).unionByName(changed)

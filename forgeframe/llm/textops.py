@@ -11,6 +11,7 @@ A-Z are lower-cased in either; nothing else is changed.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,7 +53,7 @@ class Texts:
         return len(self.offsets) - 1
 
 
-def runs(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[Texts]:
+def runs(column: pa.Array, max_bytes: int = 512 << 10) -> Iterator[Texts]:
     """The texts of an Arrow string column (null: empty) in runs of about ``max_bytes``; one longer text is a run alone."""
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
@@ -177,6 +178,12 @@ def distinct_sorted(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.
     return flat[fresh], np.r_[0, np.cumsum(fresh)][of]
 
 
+def set_digests(values: np.ndarray, of: np.ndarray) -> pa.Array:
+    """128 bits of a cryptographic hash over each whole set (sorted values): equal only for equal sets."""
+    raw = np.ascontiguousarray(values).view(np.uint8)
+    return pa.array([hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)], pa.binary())
+
+
 def list_array(values: np.ndarray, of: np.ndarray) -> pa.Array:
     """Arrow lists of bigint over ``values`` (unsigned values keep their bits)."""
     return pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(values.view(np.int64)))

@@ -18,7 +18,7 @@ from .textops import Texts, ragged, span_hashes
 REMEMBERED = 1 << 18
 LONGEST = 48
 #: Pieces that the tokenizer gets at once; its results hold far more than the ids.
-TOGETHER = 2048
+TOGETHER = 512
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
