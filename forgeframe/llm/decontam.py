@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import map_batches
 from .fmindex import FMIndex
-from .textops import ALNUM, runs, windows, words
+from .storage import free_names, release, staged
+from .textops import ALNUM, Texts, Words, runs, windows, words
 
 WINDOW = 10
-#: Characters of benchmark text in one broadcast block (some 20 MB of windows); more text makes more blocks.
-BLOCK_CHARS = 1_000_000
+#: Bytes of benchmark text in one block of phrases (some 20 MB of windows), up to twice that; more text makes more blocks.
+BLOCK_BYTES = 1 << 20
+#: Words of an item that stay together; longer items are cut into pieces that overlap by a window.
+PIECE_WORDS = 1 << 14
 #: Bytes of texts in one index.
 SHARD_BYTES = 2 << 20
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 @dataclass
@@ -46,7 +52,7 @@ def phrases(items: list[tuple[str, str]], size: int) -> Phrases:
     start = np.repeat(found.of[:-1], n_windows) + np.arange(len(rolled)) - np.repeat(of[:-1], n_windows)
     length = np.repeat(np.minimum(counts, size), n_windows)
     _, first, same = np.unique(rolled, return_index=True, return_inverse=True)
-    rows = np.zeros((len(first), size), np.int64)
+    rows = np.zeros((len(first), size), np.int32)
     for j in range(size):
         inside = length[first] > j
         rows[inside, j] = ids[start[first][inside] + j] + 1
@@ -54,16 +60,53 @@ def phrases(items: list[tuple[str, str]], size: int) -> Phrases:
     return Phrases(vocabulary, rows, length[first], pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)), [i for i, _ in items])
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[Phrases]:
-    held, n = [], 0
-    for item_id, text in benchmark.select("item_id", "text").where("item_id is not null and text is not null").selectExpr("cast(item_id as string)", "text").toLocalIterator():
-        if held and n + len(text) > BLOCK_CHARS:
-            yield phrases(held, size)
-            held, n = [], 0
-        held.append((item_id, text))
-        n += len(text)
-    if held:
-        yield phrases(held, size)
+def _pieces(size: int):
+    """Items in pieces of at most PIECE_WORDS words and ``size`` - 1 more, which begin the next piece again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in runs(batch.column("text")):
+                found = words(texts, ALNUM)
+                item, text = [], []
+                ids = batch.column("item_id").slice(texts.first, len(texts)).to_pylist()
+                for name, a, b in zip(ids, found.of[:-1].tolist(), found.of[1:].tolist(), strict=True):
+                    for at in range(a, b, PIECE_WORDS):
+                        to = min(b, at + PIECE_WORDS + size - 1)
+                        if at == a or to - at >= size:
+                            item.append(name)
+                            text.append(found.lower[found.starts[at] : found.ends[to - 1]].tobytes().decode())
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(text, pa.string())], names=["item_id", "text"])
+
+    return run
+
+
+def _blocked(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(phrases(held, size))], pa.binary())], names=["block"])
+
+        held, n = [], 0
+        for batch in batches:
+            for item in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if held and n + len(item[1]) > 2 * BLOCK_BYTES:
+                    yield block(held)
+                    held, n = [], 0
+                held.append(item)
+                n += len(item[1])
+        if held:
+            yield block(held)
+
+    return run
+
+
+def phrase_blocks(benchmark: DataFrame, size: int) -> DataFrame:
+    """(block): the windows of ``benchmark`` (item_id, text), made by tasks, in staged blocks of a bounded size."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    cut_up = staged(map_batches(items, _pieces(size), "item_id string, text string"), "benchmark")
+    n_bytes = cut_up.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    out = staged(map_batches(cut_up.repartition(max(1, -(-n_bytes // BLOCK_BYTES))), _blocked(size), "block binary"), "phrases")
+    release(cut_up)
+    return out
 
 
 def search(found, block: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -91,46 +134,147 @@ def search(found, block: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return phrase, word[place]
 
 
-def _hits(texts, blocks) -> tuple[np.ndarray, np.ndarray, list, list]:
-    """For each text: words, hit words, items as strings in order, spans of bytes to cut."""
-    found = words(texts, ALNUM)
-    n = len(found.starts)
-    change, items = np.zeros(n + 1, np.int64), [[] for _ in range(len(texts))]
-    for shared in blocks:
-        block = shared.value
-        phrase, word = search(found, block)
-        np.add.at(change, word, 1)
-        np.add.at(change, word + block.lengths[phrase], -1)
-        text = np.searchsorted(found.of, word, "right") - 1
-        pairs = np.unique(np.c_[text, phrase], axis=0)
-        for t, p in pairs.tolist():
-            items[t].extend(block.item_ids[i] for i in block.item_of[block.item_offsets[p] : block.item_offsets[p + 1]])
-    hit = np.cumsum(change[:-1]) > 0
-    n_hit = np.diff(np.r_[0, np.cumsum(hit)][found.of])
+@dataclass
+class Found:
+    """What is known of a run of texts: their words, +1 and -1 where hits begin and end, the items of each text."""
+
+    words: Words
+    change: np.ndarray
+    items: list[list[str]]
+
+
+def _of_block(shared) -> Callable[[Texts, pa.RecordBatch], Found]:
+    """Found by search for the phrases of one broadcast block; none: nothing is found."""
+    opened: list[Phrases] = []
+
+    def found(texts: Texts, part: pa.RecordBatch) -> Found:
+        if shared is not None and not opened:
+            opened.append(pickle.loads(shared.value))
+        own = words(texts, ALNUM)
+        change, items = np.zeros(len(own.starts) + 1, np.int64), [[] for _ in range(len(texts))]
+        for block in opened:
+            phrase, word = search(own, block)
+            np.add.at(change, word, 1)
+            np.add.at(change, word + block.lengths[phrase], -1)
+            text = np.searchsorted(own.of, word, "right") - 1
+            pairs = np.unique(np.c_[text, phrase], axis=0)
+            for t, p in pairs.tolist():
+                items[t].extend(block.item_ids[i] for i in block.item_of[block.item_offsets[p] : block.item_offsets[p + 1]])
+        return Found(own, change, items)
+
+    return found
+
+
+def _of_columns(runs_name: str, items_name: str) -> Callable[[Texts, pa.RecordBatch], Found]:
+    """Found earlier, block by block, and joined to the rows."""
+
+    def found(texts: Texts, part: pa.RecordBatch) -> Found:
+        own = words(texts, ALNUM)
+        change = np.zeros(len(own.starts) + 1, np.int64)
+        for base, hit in zip(own.of.tolist(), part.column(runs_name).to_pylist(), strict=False):
+            for r in hit or ():
+                change[base + r["first"]] += 1
+                change[base + r["last"]] -= 1
+        return Found(own, change, [x or [] for x in part.column(items_name).to_pylist()])
+
+    return found
+
+
+def _hit_runs(found: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hit words of each text; text, first and last word of each maximal run of hits within a text)."""
+    own, n = found.words, len(found.words.starts)
+    hit = np.cumsum(found.change[:-1]) > 0
+    upto = np.r_[0, np.cumsum(hit)]
     edge = np.r_[True, ~hit[:-1]] & hit if n else hit
-    edge[found.of[:-1][found.of[:-1] < n]] |= hit[found.of[:-1][found.of[:-1] < n]]
+    first_words = own.of[:-1][own.of[:-1] < n]
+    edge[first_words] |= hit[first_words]
     begin = np.flatnonzero(edge)
-    length = np.diff(np.r_[0, np.cumsum(hit)][np.r_[begin, n]]) if len(begin) else np.zeros(0, np.int64)
-    text = np.searchsorted(found.of, begin, "right") - 1
+    length = np.diff(upto[np.r_[begin, n]]) if len(begin) else np.zeros(0, np.int64)
+    return np.diff(upto[own.of]), np.searchsorted(own.of, begin, "right") - 1, begin, begin + length
+
+
+def _byte_spans(texts: Texts, found: Found) -> tuple[np.ndarray, list[list[dict]]]:
+    n_hit, text, begin, end = _hit_runs(found)
     base = texts.offsets[text]
-    spans = [[] for _ in range(len(texts))]
-    for t, a, b in zip(text.tolist(), (found.starts[begin] - base).tolist(), (found.ends[begin + length - 1] - base).tolist(), strict=True):
+    spans: list[list[dict]] = [[] for _ in range(len(texts))]
+    for t, a, b in zip(text.tolist(), (found.words.starts[begin] - base).tolist(), (found.words.ends[end - 1] - base).tolist(), strict=True):
         spans[t].append({"start": a, "end": b})
-    return found.counts, n_hit, [sorted(set(x)) for x in items], spans
+    return n_hit, spans
+
+
+def _facts(names: list[str]):
+    def made(part: pa.RecordBatch, texts: Texts, found: Found) -> pa.RecordBatch:
+        n_hit, spans = _byte_spans(texts, found)
+        columns = [pa.array(found.words.counts), pa.array(n_hit), pa.array([sorted(set(x)) for x in found.items], pa.list_(pa.string())), pa.array(spans, _SPANS)]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], names=[*names, "n_words", "n_hit", "items", "spans"])
+
+    return made
+
+
+def _cut_texts(names: list[str], keep_emptied: bool):
+    def made(part: pa.RecordBatch, texts: Texts, found: Found) -> pa.RecordBatch:
+        _, spans = _byte_spans(texts, found)
+        text = pa.array([cut(t, s) for t, s in zip(part.column("text").to_pylist(), spans, strict=True)], pa.string())
+        out = pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in names], names=names)
+        return out if keep_emptied else out.filter(pa.array([not s or t != "" for t, s in zip(text.to_pylist(), spans, strict=True)], pa.bool_()))
+
+    return made
+
+
+def _only_hits(row: str):
+    """Rows with hits: their number, items, runs of hit words."""
 
+    def made(part: pa.RecordBatch, texts: Texts, found: Found) -> pa.RecordBatch:
+        _, text, begin, end = _hit_runs(found)
+        hits: list[list[dict]] = [[] for _ in range(len(texts))]
+        for t, a, b in zip(text.tolist(), (begin - found.words.of[text]).tolist(), (end - found.words.of[text]).tolist(), strict=True):
+            hits[t].append({"first": a, "last": b})
+        any_hit = np.flatnonzero([bool(h) for h in hits])
+        columns = [part.column(row).take(pa.array(any_hit)), pa.array([sorted(set(found.items[t])) for t in any_hit], pa.list_(pa.string())), pa.array([hits[t] for t in any_hit], _RUNS)]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "items", "runs"])
 
-def _searched(blocks, names: list[str]):
+    return made
+
+
+def _searched(found_by: Callable, made: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in runs(batch.column("text"), SHARD_BYTES):
-                n_words, n_hit, items, spans = _hits(texts, blocks)
                 part = batch.slice(texts.first, len(texts))
-                made = [pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, "n_words", "n_hit", "items", "spans"])
+                yield made(part, texts, found_by(texts, part))
 
     return run
 
 
+def _over_blocks(docs: DataFrame, benchmark: DataFrame, size: int, made: Callable, schema: T.StructType) -> DataFrame:
+    """``made`` of every row of ``docs`` and what was found in it.
+
+    One block (a benchmark of up to a megabyte or two) is sent to the executors and searched in the pass
+    that makes the result. Of several, each is sent and searched in a pass of its own and dropped again,
+    so neither the driver nor a worker ever holds two; hits are joined to the rows by number.
+    """
+    sc = docs.sparkSession.sparkContext
+    blocks = phrase_blocks(benchmark, size)
+    several = blocks.count() > 1
+    if not several:
+        only = blocks.first()
+        release(blocks)
+        return map_batches(docs, _searched(_of_block(sc.broadcast(bytes(only["block"])) if only else None), made), schema)
+    row, items, hit = free_names(docs, "row", "items found", "runs found")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits = []
+    for block in blocks.toLocalIterator():
+        shared = sc.broadcast(bytes(block["block"]))
+        hits.append(staged(map_batches(numbered.select(row, "text"), _searched(_of_block(shared), _only_hits(row)), "row long, items array<string>, runs array<struct<first:long,last:long>>"), "hits"))
+        shared.destroy()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.union(more)
+    merged = every.groupBy(F.col("row").alias(row)).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias(items), F.flatten(F.collect_list("runs")).alias(hit))
+    release(blocks)
+    return map_batches(numbered.join(merged, row, "left"), _searched(_of_columns(hit, items), made), schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_hit, items, spans: where the windows of ``benchmark`` occur in its texts.
 
@@ -141,16 +285,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
     Null or wordless text: no words, no hits. Items without words, null items and items of null id are
     skipped; rows that repeat an item_id count as one item. Columns of ``docs`` named like a result are
-    replaced. Empty tables: no rows, or no hits.
+    replaced. Rows of null or repeated doc_ids are searched like others. Empty tables: no rows, or no hits.
 
-    Each task indexes its texts in shards of SHARD_BYTES; no text is shuffled. Benchmark windows reach
-    the tasks in broadcast blocks of a bounded number of words; each block is searched in turn.
+    Each task indexes its texts in shards of SHARD_BYTES; no text is shuffled, unless the benchmark has
+    several blocks of windows.
     """
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark, size)]
     made = T.StructType.fromDDL(HITS)
     docs = docs.drop(*made.names)
-    return map_batches(docs, _searched(blocks, docs.columns), T.StructType([*docs.schema.fields, *made.fields]))
+    return _over_blocks(docs, benchmark, size, _facts(docs.columns), T.StructType([*docs.schema.fields, *made.fields]))
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, keep_emptied: bool = True) -> DataFrame:
+    """``docs`` (text, ...) with the spans that ``contamination`` finds cut out of ``text``; all columns stay, whatever their names.
+
+    Null text stays null. A row of which nothing is left stays, with an empty text, unless ``keep_emptied`` is false.
+    """
+    return _over_blocks(docs, benchmark, size, _cut_texts(docs.columns, keep_emptied), docs.schema)
 
 
 def cut(text: str | None, spans: list | None) -> str | None:
