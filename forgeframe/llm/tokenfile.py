@@ -3,12 +3,15 @@
 A file set is two tables in one folder:
 
 * ``dictionary``: (hash, content), one row;
-* ``blocks``: (part, block, before, doc_ids, n_tokens, ends, dictionary, payload), ordered by part, then
-  block. ``payload`` holds the frames of some consecutive documents, ``ends`` where each frame ends,
-  ``before`` the ids of the part's earlier blocks. Each frame holds one document's ids, little-endian,
-  two bytes each if the vocabulary allows, else four, and names its width in its first byte.
-
-A single document is read by slicing its frame out of its block: nothing else is decompressed.
+* ``blocks``: (part, block, before, first_id, last_id, doc_ids, n_tokens, ends, dictionary, payload), ordered
+  by part, then block. ``payload`` holds the frames of some consecutive documents, ``ends`` where each frame
+  ends, ``before`` the ids of the part's earlier blocks, ``first_id`` and ``last_id`` the block's least and
+  largest doc_id. Each frame holds one document's ids, little-endian, two bytes each if the vocabulary
+  allows, else four, and names its width in its first byte.
+
+All columns but ``payload`` are the index; as columns are stored apart, reading it reads no payload.
+``read_document`` looks a document up there: files whose ids don't span it are skipped by their
+statistics, and one frame is cut out of one block and decompressed.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ END_ID = 0
 SAMPLE_DOCS, SAMPLE_BYTES = 512, 32 << 10
 DICTIONARY_BYTES = 64 << 10
 #: A block is closed at so many documents, or bytes of frames.
-BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1024, 256 << 10
 LEVEL = 3
-BLOCKS = "part int, block int, before long, doc_ids array<long>, n_tokens array<long>, ends array<long>, dictionary string, payload binary"
+BLOCKS = "part int, block int, before long, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, ends array<long>, dictionary string, payload binary"
 
 
 def serialized(ids: np.ndarray, width: int) -> bytes:
@@ -75,8 +78,9 @@ def _written(path: str, content: bytes, name: str, width: int):
 
         def closed() -> pa.RecordBatch:
             ids, counts, frames = zip(*held, strict=True)
-            made = [[part], [block], [before], [ids], [counts], [np.cumsum([len(f) for f in frames]).tolist()], [name], [b"".join(frames)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
+            known = [i for i in ids if i is not None]
+            made = [[part], [block], [before], [min(known, default=None)], [max(known, default=None)], [ids], [counts], [np.cumsum([len(f) for f in frames]).tolist()], [name], [b"".join(frames)]]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3, pa.string(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -108,12 +112,21 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
     width = 2 if encoder(path).vocabulary <= 1 << 16 else 4
     content = train(_sample(docs, path, width))
     name = hashlib.sha256(content).hexdigest()
-    spark.createDataFrame([(name, bytearray(content))], "hash string, content binary").write.parquet(f"{folder}/dictionary")
+    spark.createDataFrame(pa.table({"hash": [name], "content": pa.array([content], pa.binary())})).write.parquet(f"{folder}/dictionary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "nth").sortWithinPartitions("doc_id", "nth")
     map_batches(ordered.select("doc_id", "text"), _written(path, content, name, width), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
+def _dictionaries(spark: SparkSession, folder: str) -> dict[str, bytes]:
+    return {r["hash"]: bytes(r["content"]) for r in spark.read.parquet(f"{folder}/dictionary").collect()}
+
+
+def _part_totals(blocks: DataFrame) -> DataFrame:
+    """(part, ids): one row for each of the parts that the writer's tasks made."""
+    return blocks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n)).alias("ids"))
+
+
 def _read(contents: dict[str, bytes], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = {k: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(v)) for k, v in contents.items()}
@@ -141,13 +154,33 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     ``start`` counts the ids of all documents before it, ``ids`` are little-endian 32-bit integers.
     Part totals are the only thing gathered over the whole set.
     """
-    contents = {r["hash"]: bytes(r["content"]) for r in spark.read.parquet(f"{folder}/dictionary").collect()}
+    contents = _dictionaries(spark, folder)
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    size = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n)
-    totals = staged(blocks.groupBy("part").agg(F.sum(size).alias("ids")), "part-totals")
+    totals = staged(_part_totals(blocks), "part-totals")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids_before"))
     placed = blocks.join(F.broadcast(starts), "part").withColumn("before", F.col("before") + F.col("ids_before"))
     columns = ["before", "doc_ids", "n_tokens", "ends", "dictionary", "payload"]
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     return map_batches(placed.select(columns), _read(contents, with_ids), out)
+
+
+def read_document(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): the documents of that id in a file set, one row each; none: no rows.
+
+    The index columns of the blocks whose ids span ``doc_id`` say where its frames lie; only those bytes
+    of the payload are handed on and decompressed.
+    """
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    at = F.filter(F.sequence(F.lit(1), F.size("doc_ids")), lambda i: F.element_at("doc_ids", i) == doc_id)
+    found = blocks.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).withColumn("i", F.explode(at))
+    begin = F.coalesce(F.get("ends", F.col("i") - 2), F.lit(0))
+    inside = F.aggregate(F.slice("n_tokens", F.lit(1), F.col("i") - 1), F.lit(0).cast("long"), lambda a, n: a + n)
+    frame = F.substring("payload", (begin + 1).cast("int"), (F.element_at("ends", F.col("i")) - begin).cast("int"))
+    found = found.select("part", (F.col("before") + inside).alias("before"), F.array(F.lit(doc_id).cast("long")).alias("doc_ids"), F.array(F.element_at("n_tokens", F.col("i"))).alias("n_tokens"), F.array(F.length(frame).cast("long")).alias("ends"), "dictionary", frame.alias("payload"))
+    totals = _part_totals(blocks).withColumnRenamed("part", "other")
+    earlier = found.select("part").distinct().join(F.broadcast(totals), F.col("other") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("ids"), F.lit(0)).alias("ids_before"))
+    placed = found.join(F.broadcast(earlier), "part").withColumn("before", F.col("before") + F.col("ids_before"))
+    columns = ["before", "doc_ids", "n_tokens", "ends", "dictionary", "payload"]
+    read = map_batches(placed.select(columns), _read(_dictionaries(spark, folder), True), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return read.select("doc_id", "start", "n_tokens", "ids")
