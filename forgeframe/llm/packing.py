@@ -95,26 +95,46 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, i
     return out
 
 
+def widths(places: list[tuple[int, int, int, int, int]]) -> dict[int, int]:
+    """Ranks in a tile of each length: its pieces by its ranges, so all tiles together are twice the ranges at most."""
+    pieces: dict[int, int] = {}
+    ranges: dict[int, int] = {}
+    for size, _, end, _, _ in places:
+        pieces[size], ranges[size] = max(pieces.get(size, 0), end), ranges.get(size, 0) + 1
+    return {size: -(-n // ranges[size]) for size, n in pieces.items()}
+
+
+def _table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A table of integers from the driver, handed over by Arrow."""
+    columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+    return spark.createDataFrame(pa.table(dict(zip(names, map(pa.array, columns), strict=True))))
+
+
 def packed(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     """``cut`` (doc_id, start, length, ...) with sequence_id and offset: every piece in one sequence.
 
     ``cut`` must be staged: it is read twice. Pieces of a length are ranked by doc_id and start within
     salted groups, so a length that very many pieces have is ranked by many tasks; only the histogram of
     lengths (at most ``length`` rows) comes to the driver. The plan goes back as ranges of ranks, sent
-    whole up to a checked number of rows and shuffled beyond. Pieces that repeat (doc_id, start) are
-    packed like any others. Empty table: no rows.
+    whole up to a checked size and shuffled beyond; ranges are cut into tiles of ranks, so a piece meets
+    a few of its length's ranges, not all. Pieces that repeat (doc_id, start) are packed like any others.
+    Other columns stay; own columns sequence_id and offset are replaced. Empty table: no rows.
     """
     spark: SparkSession = cut.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = cut.columns
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    salted = cut.select("length", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).alias("salt"), F.struct(*names).alias("piece"))
     counts = staged(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "length-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.createDataFrame(slots(plan(histogram, length)), "length long, first long, end long, sequence long, offset long")
-    places = small(staged(places, "places"))
+    places = slots(plan(histogram, length))
+    wide = widths(places)
+    tiles = [(*place, tile) for place in places for tile in range(place[1] // wide[place[0]], (place[2] - 1) // wide[place[0]] + 1)]
+    places = small(staged(_table(spark, ["length", "first", "end", "sequence", "offset", "tile"], tiles), "places"))
     before = F.expr("coalesce(sum(n) OVER (PARTITION BY length ORDER BY salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     bases = counts.select("length", "salt", before.alias("base"))
+    bases = bases.join(F.broadcast(_table(spark, ["length", "width"], sorted(wide.items()))), "length")
     ranked = salted.join(bases, ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, start)") - 1)
-    found = ranked.join(places, "length").where("rank >= first AND rank < end")
-    return found.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).select(*names, "sequence_id", "offset")
+    ranked = ranked.withColumn("rank", F.col("base") + F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY piece.doc_id, piece.start)") - 1)
+    ranked = ranked.withColumn("tile", F.expr("rank div width"))
+    found = ranked.join(places, ["length", "tile"]).where("rank >= first AND rank < end")
+    return found.select("piece.*", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
