@@ -74,6 +74,34 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return whole.select("conv_id", formatted.alias("formatted"), F.concat(runs, F.array(run(F.lit(END), F.lit(False)))).alias("loss"))
 
 
+def learned_texts(chats: DataFrame) -> DataFrame:
+    """``chats`` (formatted, loss) with a column learned array<string>: what ``formatted`` holds under each learned run, unescaped.
+
+    Only the runs' lengths say where a text lies. ``formatted`` is first cut at every SEGMENT runs, so that
+    a very long conversation isn't walked from its start for each run.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.size("loss") - 1, F.lit(SEGMENT)), lambda i: F.slice("loss", i + 1, F.lit(SEGMENT)))
+
+    def chars(of: Column) -> Column:
+        return F.aggregate(of, F.lit(0), lambda n, run: n + run["chars"])
+
+    def before(sizes: Column, k: Column) -> Column:
+        return F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda n, x: n + x)
+
+    def learned(part: Column) -> Column:
+        def text(run: Column, j: Column) -> Column:
+            return F.when(run["learned"], unescape(F.substring(part["text"], chars(F.slice(part["runs"], F.lit(1), j)) + 1, run["chars"])))
+
+        return F.transform(part["runs"], text)
+
+    out = chats.withColumn("runs\x00", runs)
+    out = out.withColumn("sizes\x00", F.transform("runs\x00", chars))
+    parts = F.transform("runs\x00", lambda r, k: F.struct(r.alias("runs"), F.substring("formatted", before(F.col("sizes\x00"), k) + 1, F.get("sizes\x00", k)).alias("text")))
+    out = out.withColumn("parts\x00", parts)
+    texts = F.filter(F.flatten(F.transform("parts\x00", learned)), lambda t: t.isNotNull())
+    return out.select(*chats.columns, texts.alias("learned"))
+
+
 def parse_chats(formatted: DataFrame) -> DataFrame:
     """``formatted`` with a column turns array<(role, text)>, read from its column formatted alone."""
     blocks = F.slice(F.split("formatted", "<\\|begin\\|>"), 2, F.size(F.split("formatted", "<\\|begin\\|>")))

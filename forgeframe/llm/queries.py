@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_chats, parse_chats
+from .chat import format_chats, learned_texts, parse_chats
 from .decontam import contamination
 from .langid import detect, fit
 from .neardup import near_duplicates
@@ -31,10 +31,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoting = spark.range(1).selectExpr("-7L AS conv_id", "explode(array(named_struct('turn', 0L, 'role', 'user'), named_struct('turn', 1L, 'role', 'assistant'))) AS t").selectExpr("conv_id", "t.turn AS turn", "t.role AS role", "'</s>[INST] ok [/INST]' AS text")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoting)
     chats = format_chats(turns)
-    read = parse_chats(chats)
-    learned = F.filter("turns", lambda t, k: F.get("loss", k * 2 + 1)["learned"])
+    read = learned_texts(parse_chats(chats))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learned_text = F.array_join(F.transform(learned, lambda t: t["text"]), "")
+    learned_text = F.array_join("learned", "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
