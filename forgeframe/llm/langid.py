@@ -25,7 +25,8 @@ CELLS = 1 << 16
 SMOOTHING = 0.5
 #: Languages that can be learned; the model has CELLS numbers for each.
 MOST_LANGUAGES = 256
-ROUNDS, TOLERANCE = 12, 1e-3
+#: A text's EM ends when none of its shares moves by TOLERANCE any more, or after so many rounds.
+ROUNDS, TOLERANCE = 50, 1e-3
 FOUND = "lang_pred string, score double, langs array<string>, shares array<double>"
 
 _LETTER = np.zeros(256, bool)
@@ -90,16 +91,22 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def _em(p: np.ndarray, of: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Proportions of each text whose words p[:, of[i]:of[i + 1]] (likelihoods, one row a language) has any."""
-    n = np.diff(of)
+    """Proportions of each text whose words p[:, of[i]:of[i + 1]] (likelihoods, one row a language) has any.
+
+    Each text stops by itself, so its shares don't depend on the texts beside it.
+    """
+    n, share, moving = np.diff(of), share.copy(), np.arange(len(of) - 1)
     for _ in range(ROUNDS):
-        weight = p * np.repeat(share, n, axis=1)
+        weight = p * np.repeat(share[:, moving], n[moving], axis=1)
         weight /= np.maximum(weight.sum(0), np.float32(1e-30))
-        new = np.add.reduceat(weight, of[:-1], axis=1) / n.astype(np.float32)
-        moved = np.abs(new - share).max()
-        share = new
-        if moved < TOLERANCE:
+        new = np.add.reduceat(weight, of[:-1], axis=1) / n[moving].astype(np.float32)
+        on = np.abs(new - share[:, moving]).max(0) >= TOLERANCE
+        share[:, moving] = new
+        if not on.any():
             break
+        if not on.all():
+            p, moving = p[:, np.repeat(on, n[moving])], moving[on]
+            of = np.r_[0, np.cumsum(n[moving])]
     return share
 
 
@@ -112,6 +119,8 @@ def _fitted(p: np.ndarray, of: np.ndarray, share: np.ndarray) -> np.ndarray:
 def mixtures(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(proportions, number of words) of each text; proportions of languages outside the chosen set are 0.
 
+    EM runs until no share of the text moves by TOLERANCE, ROUNDS times at most.
+
     The penalty of a language is the logarithm of the number of words, as for a free parameter.
     """
     cell, first, of, _ = _trigrams(texts)
