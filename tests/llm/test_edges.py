@@ -16,6 +16,7 @@ N = 12
 def test_chat(spark):
     rows = [(1, 1, "user", "a"), (1, 2, "user", "b<|end|>"), (1, 3, "assistant", "c\\"), (2, None, None, None), (2, 0, "assistant", "<|turn|>"), (2, 0, "assistant", "<|turn|>"), (None, 5, "we<|says|>ird", "<\\|"), (3, 1, "assistant", "x")]
     turns = spark.createDataFrame(rows + [(4, i, "user" if i % 2 else "assistant", f"t{i}<") for i in range(200)], "conv_id long, turn long, role string, text string")
+    marked = {r.conv_id: r.learned for r in chat.learned_texts(chat.format_chats(turns)).collect()}
     out = {r.conv_id: r for r in chat.parse_chats(chat.format_chats(turns.withColumn("formatted", F.lit("mine")))).collect()}
     assert [tuple(t) for t in out[1].turns] == [("user", "a"), ("user", "b<|end|>"), ("assistant", "c\\")]
     assert [tuple(t) for t in out[2].turns] == [("", ""), ("assistant", "<|turn|>"), ("assistant", "<|turn|>")]
@@ -31,6 +32,7 @@ def test_chat(spark):
         assert at == len(r.formatted)
         undone = [t.replace("<\\|", "<|").replace("\\\\", "\\") for t in learned]
         assert undone == [t.text for t in r.turns if t.role == "assistant"]
+        assert marked[r.conv_id] == undone
     assert chat.format_chats(turns.where("conv_id = 77")).count() == 0
 
 
@@ -69,7 +71,6 @@ def test_token_files(spark, odd, none):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     folder = new_path(spark, "test")
     tokenfile.write_tokens(odd, path, folder)
     out = tokenfile.read_tokens(spark, folder, with_ids=True).orderBy("start").collect()
@@ -80,9 +81,29 @@ def test_token_files(spark, odd, none):
         ids = plain.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0]
         assert list(memoryview(bytes(r.ids)).cast("I")) == ids and r.start == at and r.ids_crc32 == zlib.crc32(bytes(r.ids))
         at += len(ids)
+    for d in (5, 9, 10, 77):
+        one = tokenfile.read_document(spark, folder, d).orderBy("start").collect()
+        assert [(r.start, r.n_tokens, r.ids) for r in one] == [(r.start, r.n_tokens, r.ids) for r in out if r.doc_id == d]
     folder = new_path(spark, "test")
     tokenfile.write_tokens(none, path, folder)
-    assert tokenfile.read_tokens(spark, folder).count() == 0
+    assert tokenfile.read_tokens(spark, folder).count() == 0 and tokenfile.read_document(spark, folder, 5).count() == 0
+
+
+def test_document_of_a_block(spark, monkeypatch):
+    """Documents of many blocks and parts, one by one, against plain encoding."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfile, "BLOCK_DOCS", 7)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [f"document {i} of some " + "words " * (i % 13) for i in range(120)]
+    folder = new_path(spark, "test")
+    tokenfile.write_tokens(spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string"), path, folder)
+    ids = [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    for i in (0, 6, 7, 50, 119):
+        (r,) = tokenfile.read_document(spark, folder, 3 * i).collect()
+        assert list(memoryview(bytes(r.ids)).cast("I")) == ids[i] and r.start == sum(map(len, ids[:i]))
+    assert tokenfile.read_document(spark, folder, 1).count() == 0
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -119,13 +140,31 @@ def test_decontamination(spark, odd, none):
     assert out[1].n_words == 0 and out[1].items == [] and out[7].n_hit == 0 and out[5].score == "mine"
     assert decontam.contamination(none, items).count() == 0
     assert decontam.contamination(odd, items.where("item_id = 77")).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontam.remove_contamination(odd, items).columns == odd.columns
+    assert {r.doc_id: r.text for r in decontam.remove_contamination(odd, items).collect()}[5] == "" and decontam.remove_contamination(odd, items, keep_emptied=False).count() == N - 4
     assert decontam.cut("keep this, drop that. End", [{"start": 11, "end": 20}]) == "keep this, . End"
 
 
+def test_blocks_of_phrases(spark, sf_dir, monkeypatch):
+    """A benchmark of many blocks, and items of many pieces, give what one block gives."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("items found", F.lit("mine"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = items.unionByName(docs.where("doc_id % 50 = 0").selectExpr("-doc_id AS item_id", "text"))
+    once = sorted(map(tuple, decontam.contamination(docs, items).collect()))
+    cut_once = sorted(map(tuple, decontam.remove_contamination(docs, items, keep_emptied=False).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 5_000)
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 25)
+    assert decontam.phrase_blocks(items, 10).count() > 3
+    assert sorted(map(tuple, decontam.contamination(docs, items).collect())) == once
+    assert sorted(map(tuple, decontam.remove_contamination(docs, items, keep_emptied=False).collect())) == cut_once
+
+
 def test_packing(spark, odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
-    cut = staged(packing.pieces(odd, path, 64).select("doc_id", "start", "length", "doc_tokens"), "test")
+    own = {c: F.lit("mine") for c in ("rank", "salt", "base", "n", "first", "end", "sequence", "tile", "width", "piece")}
+    cut = staged(packing.pieces(odd, path, 64).select("doc_id", "start", "length", "doc_tokens").withColumns(own), "test")
     out = packing.packed(cut, 64).collect()
+    assert all(r[c] == "mine" for r in out for c in own)
     assert sum(r.length for r in out) == cut.agg(F.sum("length")).first()[0] and len(out) == cut.count()
     by = {}
     for r in out:
@@ -159,12 +198,46 @@ def test_nearest(spark):
     assert vptree.nearest(v.where("vec_id = 77"), "true").count() == 0
 
 
-@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES[:-1]])
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
 def test_stages(spark, odd, none, stage, tmp_path):
+    """All columns of odd rows, whatever their names, come back as they were."""
     spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     run = dict(corpus_pipeline.STAGES)[stage]
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    assert run(spark, docs, str(tmp_path)).columns == docs.columns
-    assert run(spark, none, str(tmp_path)).count() == 0
+    docs = odd.withColumns({c: F.lit("mine") for c in ("lang_pred", "langs", "shares", "n_hit", "items", "row", "rank", "salt", "base", "first", "end", "sequence", "repeated spans", "own 1")})
+    out = run(spark, docs, str(tmp_path))
+    assert run(spark, docs.where("doc_id = 77"), str(tmp_path)).count() == 0
+    if stage == "packing":
+        assert {r.doc_id for r in out.collect()} == {r.doc_id for r in odd.collect()}
+        return
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(r[c] == "mine" for r in rows for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars"))
+    assert {r.text for r in rows} >= {None, ""} or stage == "language_id"
+
+
+TWO = " ".join(f"w{i}" for i in range(60))
+
+
+def test_rows_of_one_id(spark, tmp_path):
+    """Rows that share a doc_id keep their own texts: spans of one never cut another, and letters stay whole."""
+    rows = [(1, TWO), (2, "xyz. " + TWO), (2, "é" * 400), (2, "other prose " * 3), (None, "ä " + TWO), (None, "ö ü")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(r.text for r in substring.remove_repeats(docs).collect())
+    assert left == sorted([TWO, "", "é" * 400, "other prose " * 3, "", "ö ü"])
+    mid = " ".join(f"m{i}" for i in range(45))
+    rows = [(1, f"{mid} {TWO} one"), (2, "é" * 301 + f" tail {TWO} more words of its own"), (2, "ü" * 350 + " of other prose, as long as the first")]
+    left = sorted(r.text for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == sorted([rows[0][1], "é" * 301 + " tail more words of its own", rows[2][1]])
+    kept = sorted((str(r.doc_id), r.text) for r in neardup.keep_first(docs.union(docs), 80).collect())
+    assert kept == sorted([("1", TWO), ("2", "é" * 400), ("2", "other prose " * 3), ("None", "ö ü")])
+
+
+def test_storage_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
 
+    from forgeframe.llm.storage import shared_dir
 
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master in ("spark://one:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
