@@ -98,13 +98,16 @@ class AdaBoost:
 
     def fit(self, df: DataFrame) -> AdaBoostModel:
         df = df.withColumn("weight\x00", F.lit(1.0))
-        trees, powers = [], []
+        trees, powers, before = [], [], None
         for r in range(self.rounds):
             tree = DecisionTreeRegressor(featuresCol=FEATURES, labelCol=self.target, weightCol="weight\x00", maxDepth=self.depth, seed=self.seed + r).fit(df)
             seen = tree.transform(df).withColumn("loss\x00", F.abs(F.col(PREDICTION) - F.col(self.target))).drop(PREDICTION).cache()
             most, total, lost = seen.agg(F.max("loss\x00"), F.sum("weight\x00"), F.sum(F.col("weight\x00") * F.col("loss\x00"))).first()
             mean = lost / total / most if most else 0.0
             trees.append(tree)
+            if before is not None:
+                before.unpersist()
+            before = seen
             if mean <= 0:
                 powers.append(1.0)
                 break
@@ -114,6 +117,7 @@ class AdaBoost:
             beta = mean / (1 - mean)
             powers.append(math.log(1 / beta))
             df = seen.withColumn("weight\x00", F.col("weight\x00") * F.pow(F.lit(beta), 1 - F.col("loss\x00") / most)).drop("loss\x00")
+        before.unpersist()
         return AdaBoostModel(trees, powers)
 
 

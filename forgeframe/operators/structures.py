@@ -1,14 +1,12 @@
 """Structures written as text: component columns, composition counts, molecular graphs, classes.
 
-A bounded reader of the SMILES notation (organic subset, brackets, bonds, branches, rings, dots) counts
-atoms, bonds and rings. What needs a chemistry library is named in ``capabilities`` as unavailable.
+A bounded reader of the SMILES notation (organic subset, brackets, bonds, branches, rings, dots), a fold in
+column expressions, gives atoms, bonds and rings. What needs a chemistry library is named in ``capabilities`` as unavailable.
 """
 
 from __future__ import annotations
 
 import importlib.util
-import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +17,13 @@ from ..functions.text import composition_key, split_fragments
 # Standard atomic weights of the elements that the reader knows, and usual valences.
 WEIGHTS = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Na": 22.990, "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "K": 39.098, "Br": 79.904, "I": 126.904}
 VALENCES = {"B": [3], "C": [4], "N": [3, 5], "O": [2], "P": [3, 5], "S": [2, 4, 6], "F": [1], "Cl": [1], "Br": [1], "I": [1]}
-_TOKEN = re.compile(r"\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops]|%\d\d|\d|[-=#:/\\().]")
-_BRACKET = re.compile(r"\[(\d*)([A-Za-z][a-z]?)(@*)(H\d*)?([+-]\d*|\++|-+)?(?::\d+)?\]")
 ORDERS = {"-": 1, "=": 2, "#": 3, ":": 1, "/": 1, "\\": 1}
+# Places of an atom's symbol among its features, and numbers of the elements that the reader knows.
+ATOM_SYMBOLS = ["C", "N", "O", "S", "F", "Si", "P", "Cl", "Br", "I", "B", "H", "Fe", "Zn", "Cu", "Mn", "Unknown"]
+NUMBERS = {"H": 1, "B": 5, "C": 6, "N": 7, "O": 8, "F": 9, "Na": 11, "Si": 14, "P": 15, "S": 16, "Cl": 17, "K": 19, "Br": 35, "I": 53}
+#: A token; a bracket atom: isotope, symbol, chirality, hydrogens, charge, class.
+TOKEN = r"\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops]|%\d\d|\d|[-=#:/\\().]"
+BRACKET = r"\[(\d*)([A-Za-z][a-z]?)(@*)(H\d*)?([+-]\d*|\++|-+)?(?::\d+)?\]"
 
 #: What each optional feature needs.
 NEEDS = {
@@ -49,107 +51,126 @@ def split_column(df: DataFrame, column: str, most: int = 6) -> DataFrame:
     return parts.withColumns(made | {f"{column}_n_components": F.size("parts\x00"), f"{column}_key": composition_key(F.col("parts\x00"))}).drop("parts\x00")
 
 
-def read_structure(text: str | None):
-    """(atoms as (element, aromatic, hydrogens), bonds as (i, j, order)) of a structure text; None if it can't be read."""
-    if not text:
-        return None
-    atoms, bonds, stack, rings = [], [], [], {}
-    last, order, at = None, None, 0
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            return None
-        t, at = m.group(0), m.end()
-        if t in ORDERS:
-            order = ORDERS[t]
-        elif t == "(":
-            stack.append(last)
-        elif t == ")":
-            if not stack:
-                return None
-            last = stack.pop()
-        elif t == ".":
-            last, order = None, None
-        elif t[0] == "%" or t.isdigit():
-            if last is None:
-                return None
-            if t in rings:
-                other, o = rings.pop(t)
-                bonds.append((other, last, order or o or 1))
-            else:
-                rings[t] = (last, order)
-            order = None
-        else:
-            hydrogens = None
-            if t[0] == "[":
-                b = _BRACKET.fullmatch(t)
-                if not b:
-                    return None
-                symbol, hydrogens = b.group(2), int((b.group(4) or "H0")[1:] or 1) if b.group(4) else 0
-            else:
-                symbol = t
-            element = symbol[0].upper() + symbol[1:]
-            if element not in WEIGHTS:
-                return None
-            atoms.append([element, symbol[0].islower(), hydrogens])
-            if last is not None:
-                bonds.append((last, len(atoms) - 1, order or 1))
-            last, order = len(atoms) - 1, None
-    if stack or rings or not atoms:
-        return None
-    used = [0.0] * len(atoms)
-    for i, j, o in bonds:
-        used[i] += o
-        used[j] += o
-    for k, a in enumerate(atoms):
-        if a[2] is None:
-            need = used[k] + (1 if a[1] else 0)
-            a[2] = int(next((v - need for v in VALENCES[a[0]] if v >= need), 0))
-    return [tuple(a) for a in atoms], bonds
-
-
-def structure_facts(text: str | None) -> dict | None:
-    """Graph counts, weight, epoxide rings and hydrogens on nitrogen of a structure."""
-    read = read_structure(text)
-    if read is None:
-        return None
-    atoms, bonds = read
-    n, e = len(atoms), len(bonds)
-    near: list[set[int]] = [set() for _ in atoms]
-    for i, j, _ in bonds:
-        near[i].add(j)
-        near[j].add(i)
-    seen, parts = set(), 0
-    for start in range(n):
-        if start not in seen:
-            parts += 1
-            todo = [start]
-            while todo:
-                x = todo.pop()
-                if x not in seen:
-                    seen.add(x)
-                    todo += near[x] - seen
-    epoxides = sum(1 for k, a in enumerate(atoms) if a[0] == "O" for i in near[k] for j in near[k] if i < j and j in near[i] and atoms[i][0] == atoms[j][0] == "C")
-    return {
-        "n_atoms": n, "n_bonds": e, "avg_degree": 2 * e / n, "density": 2 * e / (n * (n - 1)) if n > 1 else 0.0, "n_rings": e - n + parts, "n_aromatic": sum(a[1] for a in atoms),
-        "weight": sum(WEIGHTS[a[0]] + a[2] * WEIGHTS["H"] for a in atoms), "n_epoxides": epoxides, "n_active_hydrogens": sum(a[2] for a in atoms if a[0] == "N"),
-    }
+def molecular_graph(text: Column) -> Column:
+    """(atoms array<(element, aromatic, hydrogens)>, bonds array<(i, j, order)>) of a structure text; null if it can't be read.
+
+    One fold over the text's tokens, with the open branches as a stack and the open rings as a list.
+    Hydrogens of atoms outside brackets fill up the usual valence.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    zero = F.expr(f"named_struct('atoms', cast(array() as {_ATOMS}), 'bonds', cast(array() as {_BONDS}), 'stack', cast(array() as array<int>), 'rings', cast(array() as {_BONDS}), 'marks', cast(array() as array<string>), 'last', -1, 'order', 0, 'ok', true)")
+
+    def step(s: Column, t: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        bracket, ring = first == "[", first.rlike("[0-9%]")
+        opens, closes, dot = t == "(", t == ")", t == "."
+        order_of = F.try_element_at(_map(ORDERS), t)
+        atom = ~(ring | opens | closes | dot | order_of.isNotNull())
+        symbol = F.when(bracket, F.regexp_extract(t, BRACKET, 2)).otherwise(t)
+        element = F.concat(F.upper(F.substring(symbol, 1, 1)), F.substring(symbol, 2, 2))
+        count = F.regexp_extract(t, BRACKET, 4)
+        hydrogens = F.when(bracket, F.when(count == "", 0).when(count == "H", 1).otherwise(F.substring(count, 2, 9).try_cast("int")))
+        n, last, order = F.size(s["atoms"]), s["last"], s["order"]
+        place = F.array_position(s["marks"], t).cast("int")
+        other = F.get(s["rings"], place - 1)
+
+        def bond(i: Column, j: Column, o: Column) -> Column:
+            return F.array(F.struct(i.alias("i"), j.alias("j"), o.alias("order")))
+
+        def without(items: Column) -> Column:
+            return F.filter(items, lambda _, k: k != place - 1)
+
+        known = F.greatest(order, F.lit(1))
+        closing = F.greatest(F.when(order > 0, order).otherwise(other["order"]), F.lit(1))
+        return F.struct(
+            F.when(atom, F.concat(s["atoms"], F.array(F.struct(element.alias("element"), symbol.rlike("^[a-z]").alias("aromatic"), hydrogens.alias("hydrogens"))))).otherwise(s["atoms"]).alias("atoms"),
+            F.when(atom & (last >= 0), F.concat(s["bonds"], bond(last, n, known))).when(ring & (place > 0), F.concat(s["bonds"], bond(other["i"], last, closing))).otherwise(s["bonds"]).alias("bonds"),
+            F.when(opens, F.concat(s["stack"], F.array(last))).when(closes, F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"]).alias("stack"),
+            F.when(ring & (place > 0), without(s["rings"])).when(ring, F.concat(s["rings"], bond(last, last, order))).otherwise(s["rings"]).alias("rings"),
+            F.when(ring & (place > 0), without(s["marks"])).when(ring, F.concat(s["marks"], F.array(t))).otherwise(s["marks"]).alias("marks"),
+            F.when(atom, n).when(closes, F.coalesce(F.get(s["stack"], F.size(s["stack"]) - 1), F.lit(-1))).when(dot, F.lit(-1)).otherwise(last).alias("last"),
+            F.when(order_of.isNotNull(), order_of).when(atom | ring | dot, F.lit(0)).otherwise(order).alias("order"),
+            (s["ok"] & F.when(atom, F.array_contains(F.array(*map(F.lit, WEIGHTS)), element) & (~bracket | t.rlike(f"^{BRACKET}$"))).when(ring, last >= 0).when(closes, F.size(s["stack"]) > 0).otherwise(True)).alias("ok"),
+        )
+
+    def finish(s: Column) -> Column:
+        def filled(a: Column, k: Column) -> Column:
+            used = F.aggregate(s["bonds"], F.lit(0), lambda n, b: n + F.when(b["i"] == k, b["order"]).otherwise(0) + F.when(b["j"] == k, b["order"]).otherwise(0))
+            need = used + a["aromatic"].cast("int")
+            usual = F.get(F.filter(F.try_element_at(_map({e: F.array(*map(F.lit, v)) for e, v in VALENCES.items()}), a["element"]), lambda v: v >= need), F.lit(0))
+            return F.struct(a["element"].alias("element"), a["aromatic"].alias("aromatic"), F.coalesce(a["hydrogens"], usual - need, F.lit(0)).alias("hydrogens"))
+
+        whole = s["ok"] & (F.size(s["stack"]) == 0) & (F.size(s["rings"]) == 0) & (F.size(s["atoms"]) > 0)
+        return F.when(whole, F.struct(F.transform(s["atoms"], filled).alias("atoms"), s["bonds"].alias("bonds")))
+
+    return F.when(F.array_join(tokens, "") == text, F.aggregate(tokens, zero, step, finish))
+
 
+def _map(values: dict) -> Column:
+    return F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in values.items() for x in pair])
 
-FACTS = "n_atoms int, n_bonds int, avg_degree double, density double, n_rings int, n_aromatic int, weight double, n_epoxides int, n_active_hydrogens int"
+
+_ATOMS, _BONDS = "array<struct<element:string,aromatic:boolean,hydrogens:int>>", "array<struct<i:int,j:int,order:int>>"
+
+
+def _facts(atoms: Column, bonds: Column) -> dict[str, Column]:
+    """Graph counts, weight, epoxide rings and hydrogens on nitrogen."""
+    n, e = F.size(atoms), F.size(bonds)
+    labels = F.aggregate(bonds, F.sequence(F.lit(0), n - 1), lambda own, b: F.transform(own, lambda x: F.when(x == F.get(own, b["j"]), F.get(own, b["i"])).otherwise(x)))
+    carbons = F.filter(bonds, lambda b: (F.get(atoms, b["i"])["element"] == "C") & (F.get(atoms, b["j"])["element"] == "C"))
+    edges = F.array_distinct(F.transform(carbons, lambda b: F.struct(F.least(b["i"], b["j"]).alias("i"), F.greatest(b["i"], b["j"]).alias("j"))))
+
+    def touches(k: Column, i: Column) -> Column:
+        return F.exists(bonds, lambda b: ((b["i"] == k) & (b["j"] == i)) | ((b["i"] == i) & (b["j"] == k)))
+
+    def bridges(edge: Column) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda k: (F.get(atoms, k)["element"] == "O") & touches(k, edge["i"]) & touches(k, edge["j"])))
+
+    weight = F.aggregate(atoms, F.lit(0.0), lambda w, a: w + F.try_element_at(_map(WEIGHTS), a["element"]) + a["hydrogens"] * WEIGHTS["H"])
+    return {
+        "n_atoms": n, "n_bonds": e, "avg_degree": e * 2.0 / n, "density": F.when(n > 1, e * 2.0 / (n * (n - 1))).otherwise(0.0), "n_rings": e - n + F.size(F.array_distinct(labels)),
+        "n_aromatic": F.size(F.filter(atoms, lambda a: a["aromatic"])), "weight": weight, "n_epoxides": F.aggregate(edges, F.lit(0), lambda x, edge: x + bridges(edge)),
+        "n_active_hydrogens": F.aggregate(atoms, F.lit(0), lambda x, a: x + F.when(a["element"] == "N", a["hydrogens"]).otherwise(0)),
+    }
 
 
 def graph_features(df: DataFrame, column: str, keep_all: bool = True) -> DataFrame:
     """``df`` with the facts of the structure in ``column`` (F03, F08): null where it can't be read, or without those rows."""
+    out = df.withColumn("graph\x00", molecular_graph(F.col(column))).select(*df.columns, F.col("graph\x00.atoms").alias("atoms\x00"), F.col("graph\x00.bonds").alias("bonds\x00"))
+    there = F.col("atoms\x00").isNotNull()
+    out = out.select(*df.columns, *[F.when(there, c).alias(name) for name, c in _facts(F.col("atoms\x00"), F.col("bonds\x00")).items()])
+    return out if keep_all else out.where("n_atoms is not null")
 
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FACTS.split(", ")]
-        for texts in batches:
-            yield pd.DataFrame([structure_facts(t) or dict.fromkeys(names) for t in texts], columns=names).convert_dtypes()
 
-    facts = F.pandas_udf(read, FACTS)
-    out = df.withColumn("facts\x00", facts(F.col(column))).select(*df.columns, "facts\x00.*")
-    return out if keep_all else out.where("n_atoms is not null")
+def atom_rows(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, atom, element, features): an atom a row, its features as an array.
+
+    A place for each of ATOM_SYMBOLS, 1 at the atom's own (the last one for others); then the number of the
+    element over 100, neighbours over 10, aromatic or not, hydrogens over 5, valence over 8. Hydrogens are
+    counted, not rows; structures that can't be read have no rows.
+    """
+    graph = df.select(key, molecular_graph(F.col(column)).alias("g")).where("g is not null").select(key, "g.bonds", F.posexplode("g.atoms").alias("atom", "a"))
+    own = F.filter("bonds", lambda b: (b["i"] == F.col("atom")) | (b["j"] == F.col("atom")))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ATOM_SYMBOLS)), F.col("a.element")), F.lit(0)), F.lit(len(ATOM_SYMBOLS)))
+    symbols = F.transform(F.sequence(F.lit(1), F.lit(len(ATOM_SYMBOLS))), lambda k: (k == place).cast("double"))
+    valence = F.aggregate(own, F.col("a.hydrogens"), lambda n, b: n + b["order"])
+    numbers = F.array(F.try_element_at(_map(NUMBERS), F.col("a.element")) / 100.0, F.size(own) / 10.0, F.col("a.aromatic").cast("double"), F.col("a.hydrogens") / 5.0, valence / 8.0)
+    return graph.select(key, "atom", F.col("a.element").alias("element"), F.concat(symbols, numbers).alias("features"))
+
+
+def bond_rows(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, i, j, features): a bond a row; single, double, triple, aromatic, in a ring or not, as 0 or 1.
+
+    A bond lies in a ring if its ends stay connected without it.
+    """
+    graph = df.select(key, molecular_graph(F.col(column)).alias("g")).where("g is not null").select(key, "g.atoms", "g.bonds", F.posexplode("g.bonds").alias("nth", "b"))
+    start = F.sequence(F.lit(0), F.size("atoms") - 1)
+    labels = F.aggregate(F.filter("bonds", lambda _, k: k != F.col("nth")), start, lambda own, b: F.transform(own, lambda x: F.when(x == F.get(own, b["j"]), F.get(own, b["i"])).otherwise(x)))
+    graph = graph.withColumn("labels", labels)
+    in_ring = F.get("labels", F.col("b.i")) == F.get("labels", F.col("b.j"))
+    aromatic = F.get("atoms", F.col("b.i"))["aromatic"] & F.get("atoms", F.col("b.j"))["aromatic"] & in_ring & (F.col("b.order") == 1)
+    kinds = [(F.col("b.order") == 1) & ~aromatic, F.col("b.order") == 2, F.col("b.order") == 3, aromatic, in_ring]
+    return graph.select(key, F.col("b.i").alias("i"), F.col("b.j").alias("j"), F.array(*[k.cast("double") for k in kinds]).alias("features"))
 
 
 def lifetimes(values: Column) -> Column:
