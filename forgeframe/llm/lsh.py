@@ -195,7 +195,7 @@ def clusters(items: DataFrame, kind: Sketch, sets_of: Callable[[DataFrame], Data
 
     def grown(links: DataFrame, more: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """All links, and their components in place of ``found``."""
-        both = staged(links.union(more).distinct(), "links")
+        both = staged(links.union(more), "links")
         release(links, more, found)
         return both, components(both)
 
@@ -244,13 +244,13 @@ def clusters(items: DataFrame, kind: Sketch, sets_of: Callable[[DataFrame], Data
     if whole_blocks:
         sets = sets_of(staged(rest.select("id").distinct(), "wanted"))
         rest = rest.join(sets, "id").select(*cell, "block", "id", "label", "shingles").repartition(tasks, *cell)
-        more = staged(rest.groupBy(*cell).applyInArrow(_connected(percent), "a long, b long").distinct(), "linked")
+        more = staged(rest.groupBy(*cell).applyInArrow(_connected(percent), "a long, b long"), "linked")
         links, found = grown(links, more, found)
         release(opened)
         return found, links
     keys = F.transform("bands", lambda k: F.coalesce(k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(0)))
     rest = rest.join(items.select("id", "n", "sketch", keys.alias("keys")), "id").select(*cell, "block", "id", "label", "n", "keys", "sketch")
-    pairs = rest.repartition(tasks, *cell).groupBy(*cell).applyInArrow(_compared(kind), "a long, b long").distinct()
+    pairs = rest.repartition(tasks, *cell).groupBy(*cell).applyInArrow(_compared(kind), "a long, b long")
     links, found = grown(links, verify(staged(pairs, "pairs")), found)
     release(opened)
     return found, links

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from forgeframe.llm import fmindex, langid, lsh, neardup, packing, quality, queries, substring, vptree
+from forgeframe.llm import fmindex, graph, langid, lsh, neardup, packing, quality, queries, substring, vptree
 from forgeframe.llm.graph import components
 from forgeframe.llm.sql import ORACLES
 from forgeframe.llm.textops import ALNUM, LOWER, SPACED, mix, runs, span_hashes, words
@@ -38,12 +38,18 @@ def roots(pairs):
     return {x: find(x) for x in parent}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [1 << 18, 40])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK_EDGES", block)
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [tuple(map(int, rng.integers(200, 400, 2))) for _ in range(120)]
     pairs = [(a, b) for a, b in pairs if a != b]
     got = {r.id: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == roots(pairs)
+    chain = rng.permutation(3000)
+    ids, root = graph.contracted(chain[:-1], chain[1:])
+    assert len(ids) == 3000 and (root == 0).all()
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def shingles(text):
