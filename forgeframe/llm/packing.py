@@ -13,7 +13,7 @@ from .batches import map_batches
 from .lsh import small
 from .storage import staged
 from .textops import runs
-from .tokenize import encoder
+from .tokenize import RUN_BYTES, encoder
 
 LENGTH = 2048
 END_ID = 1
@@ -23,7 +23,7 @@ PIECES = "start long, length long, doc_tokens long, ids binary"
 def _cut(path: str, length: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in runs(batch.column("text")):
+            for texts in runs(batch.column("text"), RUN_BYTES):
                 tokens, of = encoder(path).encode_with_end(texts, END_ID)
                 sizes = np.diff(of)
                 n = -(-sizes // length)

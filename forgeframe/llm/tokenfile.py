@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .batches import map_batches
 from .storage import staged
 from .textops import runs
-from .tokenize import encoder
+from .tokenize import RUN_BYTES, encoder
 
 END_ID = 0
 #: The dictionary is trained on this many documents at most, those of the smallest hash of doc_id, of
@@ -84,7 +84,7 @@ def _written(path: str, content: bytes, name: str, width: int):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for texts in runs(batch.column("text")):
+            for texts in runs(batch.column("text"), RUN_BYTES):
                 tokens, of = encoder(path).encode_with_end(texts, END_ID)
                 doc_ids = batch.column("doc_id").slice(texts.first, len(texts)).to_pylist()
                 for doc_id, a, b in zip(doc_ids, of[:-1].tolist(), of[1:].tolist(), strict=True):
