@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from forgeframe.functions import physics as N
 from forgeframe.functions import text as X
-from forgeframe.operators.structures import read_structure, structure_facts
+from forgeframe.operators.structures import graph_features
 
 
 def values(spark, column, rows, kind="string"):
@@ -38,10 +38,13 @@ def test_physics(spark):
     assert values(spark, N.clamp, [None, -1.0, 2.0], "double") == [None, 0, 1]
 
 
-def test_structures():
-    facts = structure_facts("C1OC1")
-    assert (facts["n_atoms"], facts["n_bonds"], facts["n_rings"], facts["n_epoxides"]) == (3, 3, 1, 1)
-    assert structure_facts("CCO")["weight"] == pytest.approx(46.07, abs=0.01)
-    assert structure_facts("NCCN")["n_active_hydrogens"] == 4
-    assert structure_facts("c1ccccc1")["weight"] == pytest.approx(78.11, abs=0.02)
-    assert all(read_structure(t) is None for t in ("C1CC", "C(", "", None, "C)", "Xx"))
+def test_structures(spark):
+    texts = ["C1OC1", "CCO", "NCCN", "c1ccccc1", "C1CC", "C(", "", None, "C)", "Xx"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    facts = {r.s: r for r in graph_features(df, "s").collect()}
+    assert (facts["C1OC1"].n_epoxides, facts["C1OC1"].n_rings) == (1, 1)
+    assert facts["CCO"].weight == pytest.approx(46.07, abs=0.01)
+    assert facts["NCCN"].n_active_hydrogens == 4
+    assert facts["c1ccccc1"].weight == pytest.approx(78.11, abs=0.02)
+    assert all(facts[t].n_atoms is None for t in texts[4:])
+    assert graph_features(df, "s", keep_all=False).count() == 4
