@@ -42,7 +42,7 @@ def test_structures(spark):
     texts = ["C1OC1", "CCO", "NCCN", "c1ccccc1", "C1CC", "C(", "", None, "C)", "Xx"]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     facts = {r.s: r for r in graph_features(df, "s").collect()}
-    assert (facts["C1OC1"].n_epoxides, facts["C1OC1"].n_rings) == (1, 1)
+    assert (facts["C1OC1"].n_atoms, facts["C1OC1"].n_bonds, facts["C1OC1"].n_rings, facts["C1OC1"].n_epoxides) == (3, 3, 1, 1)
     assert facts["CCO"].weight == pytest.approx(46.07, abs=0.01)
     assert facts["NCCN"].n_active_hydrogens == 4
     assert facts["c1ccccc1"].weight == pytest.approx(78.11, abs=0.02)
