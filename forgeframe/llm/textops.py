@@ -27,8 +27,10 @@ LOWER[0x41:0x5B] += 0x20
 
 U64 = np.uint64
 _ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)]
-_STEP = 1 << 17
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes up to which a span is hashed block by block.
+CHAINED = 64
+#: Masks of the first 0 to 8 bytes of a block.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -105,33 +107,35 @@ def words(texts: Texts, alphabet: np.ndarray) -> Words:
     return Words(LOWER[texts.data], starts, ends, np.searchsorted(starts, texts.offsets))
 
 
-def _power_table(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier and of its inverse modulo 2**64."""
-    held = _powers.get(kind)
-    if held is None or len(held[0]) < n:
-        m = int(_ODD[kind])
-        n = max(n, _STEP + 4096)
-        held = tuple(np.multiply.accumulate(np.r_[U64(1), np.full(n - 1, U64(x))]) for x in (m, pow(m, -1, 1 << 64)))
-        if n <= 8 * _STEP:
-            _powers[kind] = held
-    return held
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
-    """64-bit hash of data[start:end] for ascending, disjoint spans. The two kinds are independent."""
-    out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + _STEP, "right")))
-        last = ends[to - 1]
-        power, inverse = _power_table(int(last - base) + 1, kind)
-        sums = np.zeros(last - base + 1, U64)
-        np.cumsum((data[base:last].astype(U64) + U64(1)) * power[: last - base], out=sums[1:])
-        s = starts[at:to] - base
-        out[at:to] = (sums[ends[at:to] - base] - sums[s]) * inverse[s]
-        at = to
-    return mix(out)
+    """64-bit hash of data[start:end] for each span. The two kinds are independent.
+
+    Spans are read in blocks of 8 bytes, each scrambled into the state, which begins with the length: one
+    block has a hash of its own among spans of its length. Spans beyond CHAINED bytes get a cryptographic
+    hash, so no periodic or otherwise regular bytes of any length meet.
+    """
+    lengths = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    loads = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(lengths.astype(U64) * _ODD[kind] + _ODD[1 - kind])
+    rest, at, left = None, starts, lengths
+    for _ in range(CHAINED // 8):
+        block = loads[at]
+        block &= _FIRST[np.minimum(left, 8)]
+        if rest is None:
+            out = mix(out ^ block)
+        else:
+            out[rest] = mix(out[rest] * _ODD[kind] ^ block)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        rest = more if rest is None else rest[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lengths > CHAINED).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, person=b"kind%d" % kind).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def windows(hashes: np.ndarray, of: np.ndarray, n: int, whole_if_short: bool = True) -> tuple[np.ndarray, np.ndarray]:
