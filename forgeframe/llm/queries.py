@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, learned_texts, parse_chats
 from .decontam import contamination
 from .langid import detect, fit
+from .lattice import near_duplicate_vectors
 from .neardup import near_duplicates
 from .packing import packed, pieces
 from .quality import assess
@@ -99,8 +100,13 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, factor=1.0)
 
 
+def op11_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings of one label at a cosine of 0.93."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_empirical_bayes, op3_paragraph_dedup, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_empirical_bayes, op3_paragraph_dedup, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search, op11_lattice_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -78,10 +78,26 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 20
 """
 
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (SELECT *, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm FROM v
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_reduce(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]), lambda x, y: x + y) / (a.norm * b.norm) >= 0.93
+), r AS (SELECT DISTINCT a AS vec_id, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.vec_id WHERE r.root < p.b
+), c AS (SELECT vec_id, min(root) AS root FROM r GROUP BY vec_id
+), l AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(l.n_links, 0)::BIGINT AS n_links, coalesce(c.root, e.vec_id) AS component_id, coalesce(c.root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN l USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
 ORACLES = {
     "op1_chat_format": OP1_SQL,
     "op6_prefix_sum_shards": OP6_SQL,
     "op7_fm_index_decontamination": OP7_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_vantage_point_search": OP10_SQL,
+    "op11_lattice_near_dedup": OP11_SQL,
 }
