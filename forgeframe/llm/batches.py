@@ -8,8 +8,10 @@ task, more of them than there are cores, so each gives its free memory back when
 from __future__ import annotations
 
 import ctypes
+import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -44,3 +46,29 @@ def map_batches(df: DataFrame, function: Callable, schema: str | T.StructType) -
     if now <= 0 or now > BATCH_BYTES:
         conf.set(_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(_tidy(function), schema)
+
+
+def _by_cell(function: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], key: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in itertools.chain(batches, [None]):
+            now = pa.concat_tables([*held, *([pa.table(batch)] if batch is not None else [])]) if held or batch is not None else None
+            if now is None or not now.num_rows:
+                continue
+            values = [now.column(c).to_numpy() for c in key]
+            begins = np.flatnonzero(np.r_[True, np.any([v[1:] != v[:-1] for v in values], axis=0)])
+            end = now.num_rows if batch is None else int(begins[-1])
+            if end:
+                yield from function(now.slice(0, end).combine_chunks(), np.r_[begins[begins < end], end])
+            held = [now.slice(end)] if end < now.num_rows else []
+
+    return run
+
+
+def map_cells(rows: DataFrame, function: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, key: tuple[str, ...] = ("cell", "dim")) -> DataFrame:
+    """``rows`` through ``function(table, offsets)``: whole cells (equal whole numbers in ``key``) at a time, one after the other.
+
+    A cell's rows meet in one task, which holds many small cells but never more than a batch and one
+    cell's rows; so keep each cell small. Null keys aren't allowed.
+    """
+    return map_batches(rows.repartition(*key).sortWithinPartitions(*key), _by_cell(function, list(key)), schema)

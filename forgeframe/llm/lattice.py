@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_batches
+from .batches import map_batches, map_cells
 from .graph import components
 from .lsh import small
 from .storage import release, staged, with_row_ids
@@ -163,25 +163,6 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("leader"), pa.array(out)], names=["id", "leader", "cosine"])
 
 
-def _by_cell(function: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]):
-    """Runs ``function`` on rows sorted by (cell, dim), with the offsets of the cells that are whole; one cell's rows wait at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in itertools.chain(batches, [None]):
-            now = pa.concat_tables([t for t in (held, batch and pa.table(batch)) if t is not None]) if held is not None or batch is not None else None
-            if now is None or not now.num_rows:
-                continue
-            cell, dim = (now.column(c).to_numpy() for c in ("cell", "dim"))
-            begins = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (dim[1:] != dim[:-1])])
-            end = now.num_rows if batch is None else int(begins[-1])
-            if end:
-                yield from function(now.slice(0, end).combine_chunks(), np.r_[begins[begins < end], end])
-            held = now.slice(end) if end < now.num_rows else None
-
-    return run
-
-
 def _near_centres(angle: float):
     """Pairs of groups of a cell of which members may be linked, as (a, b, cosine) of their centres."""
 
@@ -230,11 +211,6 @@ def _linked_members(least: float):
     return run
 
 
-def _in_cells(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``rows`` (cell, dim, ...) through ``function``, with each cell's rows in one task; a task holds many small cells."""
-    return map_batches(rows.repartition("cell", "dim").sortWithinPartitions("cell", "dim"), _by_cell(function), schema)
-
-
 def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES, points: int = POINTS, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
@@ -292,7 +268,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int
     met = met.withColumns({"low": F.least("block", "next"), "high": F.greatest("block", "next")}).withColumn("cell", F.xxhash64(*cell, "low", "high"))
     centre = items.select(F.col("id").alias("group"), "unit").join(groups.select("group", "radius"), "group")
     met = met.join(centre, "group").select("cell", "dim", "group", "home", "block", "low", "high", "radius", "unit")
-    near = _in_cells(met, _near_centres(angle), "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    near = map_cells(met, _near_centres(angle), "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     near = staged(near, "near")
     release(entries, meeting)
 
@@ -314,7 +290,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int
         return rows.select(F.xxhash64("a", "b", *place).alias("cell"), "dim", "id", "copies", F.lit(own == "a").alias("left"), F.col(f"first_{own}").alias("first"))
 
     met = side("a", "b").union(side("b", "a")).join(items.select("id", "unit"), "id").select("cell", "dim", "id", "copies", "left", "first", "unit")
-    some = staged(_in_cells(met, _linked_members(least), "id long, n long, edge long"), "some")
+    some = staged(map_cells(met, _linked_members(least), "id long, n long, edge long"), "some")
     edges = sure.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).union(some.where("edge >= 0").select("id", "edge").distinct())
     found = components(edges)
 

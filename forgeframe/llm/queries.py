@@ -14,8 +14,10 @@ from .langid import detect, fit
 from .lattice import near_duplicate_vectors
 from .neardup import near_duplicates
 from .packing import packed, pieces
+from .periodic import periodic_runs
 from .quality import assess
 from .sharding import balanced_shards
+from .spelling import spelling_variants, word_counts
 from .sql import ORACLES
 from .storage import new_path, staged
 from .substring import repeated_spans
@@ -105,8 +107,23 @@ def op11_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op12_rare_bigram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among all words of all documents, some of them misspelt by rule."""
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), least=6, often=5, spoil=199), times=5)
+
+
+def op13_repeated_gram_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which are made periodic by rule."""
+    found = periodic_runs(table(spark, sf_dir, "documents"), least=24, times=3, looped=True)
+    # Exact comparison of length / period; runs come by start, then period, so the first of equal ones stays.
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_empirical_bayes, op3_paragraph_dedup, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search, op11_lattice_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_empirical_bayes, op3_paragraph_dedup, op4_language_mixture, op5_token_files, op6_prefix_sum_shards, op7_fm_index_decontamination, op8_histogram_packing, op9_minhash_near_dedup, op10_vantage_point_search, op11_lattice_near_dedup, op12_rare_bigram_variants, op13_repeated_gram_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -93,6 +93,32 @@ SELECT e.vec_id, coalesce(l.n_links, 0)::BIGINT AS n_links, coalesce(c.root, e.v
 FROM embeddings e LEFT JOIN l USING (vec_id) LEFT JOIN c USING (vec_id)
 """
 
+#: Near words share what is left without one code point: at the same place (replaced), or one of them is what is left (inserted).
+OP12_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc FROM range(256) AS r(n)
+), w AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWERED.format("text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents
+), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) >= 6 GROUP BY ALL
+), h AS (
+  SELECT w, n, hex(encode(doc_id || ':' || w)) AS h FROM c
+), x AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda x, b: xor(x >> 8, t.crc[(xor(x, b) & 255) + 1])), 4294967295) AS h FROM h, t
+), s AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS word, n FROM x
+), v AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) AS u(i)
+), p AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest
+), b AS (SELECT word, count(*)::BIGINT AS n_near, max(n) AS form_n, first(other ORDER BY n DESC, other) AS form FROM p GROUP BY word
+), f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN b USING (word)
+), r AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.up)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) WHERE r.up IS NULL
+"""
+
 ORACLES = {
     "op1_chat_format": OP1_SQL,
     "op6_prefix_sum_shards": OP6_SQL,
@@ -100,4 +126,5 @@ ORACLES = {
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_vantage_point_search": OP10_SQL,
     "op11_lattice_near_dedup": OP11_SQL,
+    "op12_rare_bigram_variants": OP12_SQL,
 }
