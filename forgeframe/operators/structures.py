@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import composition_key, split_fragments
+from .perception import let, perceived
 
 # Standard atomic weights of the elements that the reader knows, and usual valences.
 WEIGHTS = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Na": 22.990, "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "K": 39.098, "Br": 79.904, "I": 126.904}
@@ -52,10 +53,11 @@ def split_column(df: DataFrame, column: str, most: int = 6) -> DataFrame:
 
 
 def molecular_graph(text: Column) -> Column:
-    """(atoms array<(element, aromatic, hydrogens)>, bonds array<(i, j, order)>) of a structure text; null if it can't be read.
+    """(atoms array<(element, aromatic, hydrogens, charge, isotope)>, bonds array<(i, j, order)>) of a structure text; null if it can't be read.
 
     One fold over the text's tokens, with the open branches as a stack and the open rings as a list.
-    Hydrogens of atoms outside brackets fill up the usual valence.
+    Hydrogens of atoms outside brackets fill up the usual valence; those of atoms in lower case the lowest one,
+    of which the ring takes one. ``aromatic`` says how an atom is written. Chirality and directions of bonds aren't kept.
     """
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     zero = F.expr(f"named_struct('atoms', cast(array() as {_ATOMS}), 'bonds', cast(array() as {_BONDS}), 'stack', cast(array() as array<int>), 'rings', cast(array() as {_BONDS}), 'marks', cast(array() as array<string>), 'last', -1, 'order', 0, 'ok', true)")
@@ -70,6 +72,10 @@ def molecular_graph(text: Column) -> Column:
         element = F.concat(F.upper(F.substring(symbol, 1, 1)), F.substring(symbol, 2, 2))
         count = F.regexp_extract(t, BRACKET, 4)
         hydrogens = F.when(bracket, F.when(count == "", 0).when(count == "H", 1).otherwise(F.substring(count, 2, 9).try_cast("int")))
+        sign = F.regexp_extract(t, BRACKET, 5)
+        size = F.when(F.length(sign) == 1, 1).when(sign.rlike("[0-9]"), F.substring(sign, 2, 9).try_cast("int")).otherwise(F.length(sign))
+        charge = F.when(~bracket | (sign == ""), 0).when(sign.startswith("-"), -size).otherwise(size)
+        isotope = F.when(bracket, F.coalesce(F.regexp_extract(t, BRACKET, 1).try_cast("int"), F.lit(0))).otherwise(0)
         n, last, order = F.size(s["atoms"]), s["last"], s["order"]
         place = F.array_position(s["marks"], t).cast("int")
         other = F.get(s["rings"], place - 1)
@@ -83,7 +89,7 @@ def molecular_graph(text: Column) -> Column:
         known = F.greatest(order, F.lit(1))
         closing = F.greatest(F.when(order > 0, order).otherwise(other["order"]), F.lit(1))
         return F.struct(
-            F.when(atom, F.concat(s["atoms"], F.array(F.struct(element.alias("element"), symbol.rlike("^[a-z]").alias("aromatic"), hydrogens.alias("hydrogens"))))).otherwise(s["atoms"]).alias("atoms"),
+            F.when(atom, F.concat(s["atoms"], F.array(F.struct(element.alias("element"), symbol.rlike("^[a-z]").alias("aromatic"), hydrogens.alias("hydrogens"), charge.alias("charge"), isotope.alias("isotope"))))).otherwise(s["atoms"]).alias("atoms"),
             F.when(atom & (last >= 0), F.concat(s["bonds"], bond(last, n, known))).when(ring & (place > 0), F.concat(s["bonds"], bond(other["i"], last, closing))).otherwise(s["bonds"]).alias("bonds"),
             F.when(opens, F.concat(s["stack"], F.array(last))).when(closes, F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"]).alias("stack"),
             F.when(ring & (place > 0), without(s["rings"])).when(ring, F.concat(s["rings"], bond(last, last, order))).otherwise(s["rings"]).alias("rings"),
@@ -97,8 +103,9 @@ def molecular_graph(text: Column) -> Column:
         def filled(a: Column, k: Column) -> Column:
             used = F.aggregate(s["bonds"], F.lit(0), lambda n, b: n + F.when(b["i"] == k, b["order"]).otherwise(0) + F.when(b["j"] == k, b["order"]).otherwise(0))
             need = used + a["aromatic"].cast("int")
-            usual = F.get(F.filter(F.try_element_at(_map({e: F.array(*map(F.lit, v)) for e, v in VALENCES.items()}), a["element"]), lambda v: v >= need), F.lit(0))
-            return F.struct(a["element"].alias("element"), a["aromatic"].alias("aromatic"), F.coalesce(a["hydrogens"], usual - need, F.lit(0)).alias("hydrogens"))
+            known = F.try_element_at(_map({e: F.array(*map(F.lit, v)) for e, v in VALENCES.items()}), a["element"])
+            usual = F.get(F.filter(F.when(a["aromatic"], F.slice(known, 1, 1)).otherwise(known), lambda v: v >= need), F.lit(0))
+            return a.withField("hydrogens", F.coalesce(a["hydrogens"], usual - need, F.lit(0)))
 
         whole = s["ok"] & (F.size(s["stack"]) == 0) & (F.size(s["rings"]) == 0) & (F.size(s["atoms"]) > 0)
         return F.when(whole, F.struct(F.transform(s["atoms"], filled).alias("atoms"), s["bonds"].alias("bonds")))
@@ -110,7 +117,7 @@ def _map(values: dict) -> Column:
     return F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in values.items() for x in pair])
 
 
-_ATOMS, _BONDS = "array<struct<element:string,aromatic:boolean,hydrogens:int>>", "array<struct<i:int,j:int,order:int>>"
+_ATOMS, _BONDS = "array<struct<element:string,aromatic:boolean,hydrogens:int,charge:int,isotope:int>>", "array<struct<i:int,j:int,order:int>>"
 
 
 def _facts(atoms: Column, bonds: Column) -> dict[str, Column]:
@@ -135,41 +142,59 @@ def _facts(atoms: Column, bonds: Column) -> dict[str, Column]:
 
 
 def graph_features(df: DataFrame, column: str, keep_all: bool = True) -> DataFrame:
-    """``df`` with the facts of the structure in ``column`` (F03, F08): null where it can't be read, or without those rows."""
-    out = df.withColumn("graph\x00", molecular_graph(F.col(column))).select(*df.columns, F.col("graph\x00.atoms").alias("atoms\x00"), F.col("graph\x00.bonds").alias("bonds\x00"))
+    """``df`` with the facts of the structure in ``column`` (F03, F08): null where it can't be read, or without those rows.
+
+    Atoms of aromatic rings count as such however they are written (see ``perception.perceived``).
+    """
+    out = df.withColumn("graph\x00", perceived(molecular_graph(F.col(column)))).select(*df.columns, F.col("graph\x00.atoms").alias("atoms\x00"), F.col("graph\x00.bonds").alias("bonds\x00"))
     there = F.col("atoms\x00").isNotNull()
     out = out.select(*df.columns, *[F.when(there, c).alias(name) for name, c in _facts(F.col("atoms\x00"), F.col("bonds\x00")).items()])
     return out if keep_all else out.where("n_atoms is not null")
 
 
-def atom_rows(df: DataFrame, key: str, column: str) -> DataFrame:
+def _with_hydrogens(g: Column) -> Column:
+    """A perceived structure with its hydrogens as atoms of their own, after the others, each on a single bond."""
+    owners = F.flatten(F.transform(g["atoms"], lambda a, k: F.array_repeat(k, a["hydrogens"])))
+    hydrogen = F.struct(F.lit("H").alias("element"), F.lit(False).alias("aromatic"), F.lit(0).alias("hydrogens"), F.lit(0).alias("charge"), F.lit(0).alias("isotope"))
+
+    def both(owners: Column) -> Column:
+        n = F.size(g["atoms"])
+        bonds = F.transform(owners, lambda k, nth: F.struct(k.alias("i"), (n + nth).alias("j"), F.lit(1).alias("order"), F.lit(False).alias("aromatic"), F.lit(False).alias("in_ring"), F.lit(False).alias("conjugated")))
+        return F.struct(F.concat(F.transform(g["atoms"], lambda a: a.withField("hydrogens", F.lit(0))), F.transform(owners, lambda _: hydrogen)).alias("atoms"), F.concat(g["bonds"], bonds).alias("bonds"))
+
+    return let(owners, both)
+
+
+def _perceived_rows(df: DataFrame, key: str, column: str, hydrogens: bool) -> DataFrame:
+    graph = df.select(key, perceived(molecular_graph(F.col(column))).alias("g")).where("g is not null")
+    return graph.select(key, _with_hydrogens(F.col("g")).alias("g")) if hydrogens else graph
+
+
+def atom_rows(df: DataFrame, key: str, column: str, hydrogens: bool = False) -> DataFrame:
     """(key, atom, element, features): an atom a row, its features as an array.
 
     A place for each of ATOM_SYMBOLS, 1 at the atom's own (the last one for others); then the number of the
-    element over 100, neighbours over 10, aromatic or not, hydrogens over 5, valence over 8. Hydrogens are
-    counted, not rows; structures that can't be read have no rows.
+    element over 100, neighbours over 10, aromatic or not, hydrogens over 5, valence over 8. With ``hydrogens`` these are
+    rows too, after the others, and neighbours; structures that can't be read have no rows.
     """
-    graph = df.select(key, molecular_graph(F.col(column)).alias("g")).where("g is not null").select(key, "g.bonds", F.posexplode("g.atoms").alias("atom", "a"))
+    graph = _perceived_rows(df, key, column, hydrogens).select(key, "g.bonds", F.posexplode("g.atoms").alias("atom", "a"))
     own = F.filter("bonds", lambda b: (b["i"] == F.col("atom")) | (b["j"] == F.col("atom")))
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ATOM_SYMBOLS)), F.col("a.element")), F.lit(0)), F.lit(len(ATOM_SYMBOLS)))
     symbols = F.transform(F.sequence(F.lit(1), F.lit(len(ATOM_SYMBOLS))), lambda k: (k == place).cast("double"))
-    valence = F.aggregate(own, F.col("a.hydrogens"), lambda n, b: n + b["order"])
+    # An aromatic atom that gives one electron to its ring has a double bond there, written or not.
+    degree = F.size(own) + F.col("a.hydrogens")
+    gives_one = ((F.col("a.element") == "C") & (F.col("a.charge") == 0)) | (F.col("a.element").isin("N", "P") & (F.col("a.charge") >= 0) & (degree == 2 + F.col("a.charge")))
+    unwritten = F.col("a.aromatic") & gives_one & ~F.exists(own, lambda b: b["order"] > 1)
+    valence = F.aggregate(own, F.col("a.hydrogens") + unwritten.cast("int"), lambda n, b: n + b["order"])
     numbers = F.array(F.try_element_at(_map(NUMBERS), F.col("a.element")) / 100.0, F.size(own) / 10.0, F.col("a.aromatic").cast("double"), F.col("a.hydrogens") / 5.0, valence / 8.0)
     return graph.select(key, "atom", F.col("a.element").alias("element"), F.concat(symbols, numbers).alias("features"))
 
 
-def bond_rows(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, i, j, features): a bond a row; single, double, triple, aromatic, in a ring or not, as 0 or 1.
-
-    A bond lies in a ring if its ends stay connected without it.
-    """
-    graph = df.select(key, molecular_graph(F.col(column)).alias("g")).where("g is not null").select(key, "g.atoms", "g.bonds", F.posexplode("g.bonds").alias("nth", "b"))
-    start = F.sequence(F.lit(0), F.size("atoms") - 1)
-    labels = F.aggregate(F.filter("bonds", lambda _, k: k != F.col("nth")), start, lambda own, b: F.transform(own, lambda x: F.when(x == F.get(own, b["j"]), F.get(own, b["i"])).otherwise(x)))
-    graph = graph.withColumn("labels", labels)
-    in_ring = F.get("labels", F.col("b.i")) == F.get("labels", F.col("b.j"))
-    aromatic = F.get("atoms", F.col("b.i"))["aromatic"] & F.get("atoms", F.col("b.j"))["aromatic"] & in_ring & (F.col("b.order") == 1)
-    kinds = [(F.col("b.order") == 1) & ~aromatic, F.col("b.order") == 2, F.col("b.order") == 3, aromatic, in_ring]
+def bond_rows(df: DataFrame, key: str, column: str, hydrogens: bool = False) -> DataFrame:
+    """(key, i, j, features): a bond a row; single, double, triple, aromatic, in a ring, conjugated or not, as 0 or 1."""
+    graph = _perceived_rows(df, key, column, hydrogens).select(key, F.explode("g.bonds").alias("b"))
+    plain = ~F.col("b.aromatic")
+    kinds = [(F.col("b.order") == 1) & plain, (F.col("b.order") == 2) & plain, (F.col("b.order") == 3) & plain, F.col("b.aromatic"), F.col("b.in_ring"), F.col("b.conjugated")]
     return graph.select(key, F.col("b.i").alias("i"), F.col("b.j").alias("j"), F.array(*[k.cast("double") for k in kinds]).alias("features"))
 
 
