@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, learning, profiling, scalars  # noqa: F401  (each registers its queries)
+from . import chemistry, cleaning, learning, profiling, scalars  # noqa: F401  (each registers its queries)
 from .registry import QUERIES, SQL
 
 

@@ -91,36 +91,6 @@ def f10_first_class(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", structures.first_class(name, {"red": name.contains("red"), "with e": name.contains("e")}).alias("class"))
 
 
-RESIN_SQL = "SELECT p_partkey, CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(synthetic.RESINS)) + " END AS resin FROM part"
-ATOMS_SQL = r"regexp_extract_all(resin, '\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops]')"
-
-
-def _resins(spark, sf_dir):
-    resin = F.get(F.array(*map(F.lit, synthetic.RESINS)), (F.col("p_partkey") % len(synthetic.RESINS)).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", resin.alias("resin"))
-
-
-@query()
-def f03_graph_features(spark, sf_dir):
-    return rounded(structures.graph_features(_resins(spark, sf_dir), "resin"))
-
-
-@query(f"WITH r AS ({RESIN_SQL}), n AS (SELECT p_partkey, len({ATOMS_SQL})::INTEGER AS n_atoms, (len(regexp_extract_all(resin, '[0-9]')) // 2)::INTEGER AS n_rings, len(regexp_extract_all(resin, '\\.'))::INTEGER + 1 AS parts, len(regexp_extract_all(resin, '[bcnops]'))::INTEGER AS n_aromatic FROM r) SELECT p_partkey, n_atoms, n_atoms - parts + n_rings AS n_bonds, n_rings, n_aromatic FROM n")
-def f03_graph_counts(spark, sf_dir):
-    """A forest of so many parts has that many fewer bonds than atoms; each pair of ring marks adds a bond and a ring."""
-    return structures.graph_features(_resins(spark, sf_dir), "resin").select("p_partkey", "n_atoms", "n_bonds", "n_rings", "n_aromatic")
-
-
-@query(f"WITH r AS ({RESIN_SQL}), a AS (SELECT p_partkey, {ATOMS_SQL} AS a FROM r) SELECT p_partkey, (i - 1)::INTEGER AS atom, CASE WHEN length(a[i]) > 1 THEN a[i] ELSE upper(a[i]) END AS element FROM a, unnest(range(1, len(a) + 1)) AS t(i)")
-def f12_atoms(spark, sf_dir):
-    return structures.atom_rows(_resins(spark, sf_dir), "p_partkey", "resin").select("p_partkey", "atom", "element")
-
-
-@query()
-def f12_bonds(spark, sf_dir):
-    return structures.bond_rows(_resins(spark, sf_dir), "p_partkey", "resin")
-
-
 @query("SELECT o_custkey AS sample, round(sum(o_totalprice), 4) AS energy, round(avg(o_totalprice / 1000), 9) AS force_mean, round(max(o_totalprice / 1000), 9) AS force_max, round(stddev_pop(o_totalprice / 1000), 9) AS force_std FROM orders GROUP BY 1")
 def f07_sample_energies(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_totalprice").alias("energy"), (F.col("o_totalprice") / 1000).alias("force_norm"))
@@ -481,11 +451,3 @@ def t18_normal_predictions(spark, sf_dir):
 @query()
 def capabilities(spark, sf_dir):
     return structures.capability_table(spark)
-
-
-@query()
-def t05_canonical_structure(spark, sf_dir):
-    """Structures that the bounded reader accepts, as they are; canonical forms need a chemistry library."""
-    resin = F.get(F.array(*map(F.lit, [*synthetic.RESINS, "C1CC("])), (F.col("p_partkey") % 6).cast("int"))
-    p = structures.graph_features(table(spark, sf_dir, "part").select("p_partkey", resin.alias("resin")), "resin")
-    return p.select("p_partkey", F.when(F.col("n_atoms").isNotNull(), X.clean_raw(F.col("resin"))).alias("structure"))
