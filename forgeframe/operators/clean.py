@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.physics import clamp
 from ..functions.text import first_number, plain_number
+from .blocks import block_pairs
 from .profile import numeric_columns, text_columns, value_counts
 from .quantiles import quantiles
 
+#: Distances that one pass over two blocks holds.
+PASS = 1 << 20
+
 
 def with_row_of(df: DataFrame, facts: DataFrame) -> DataFrame:
     """``df`` beside the single row ``facts``; one row is always small enough to send."""
@@ -113,28 +119,65 @@ def clean_missing(df: DataFrame, strategy: str, methods: dict[str, str] | None =
     return df.dropna(how="any") if strategy == "drop_rows" else fill_text(fill_missing(df, strategy, columns, value))
 
 
+def _nearest_donors(key: str, columns: list[str], k: int):
+    """For each row and missing column, the ``k`` nearest donors of a block that have it: (key, column, distance, donor, value)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            x, y = (np.stack([t.column(f"{i}\x00").to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], axis=1) for t in (left, right))
+            codes = pa.chunked_array([*left.column(key).chunks, *right.column(key).chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+            own, other = codes[: len(x)], codes[len(x) :]
+            place = np.empty(len(y), np.int64)  # ties go by key
+            place[np.argsort(right.column(key).to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(y))
+            for at in range(0, len(x), max(1, PASS // len(y))):
+                rows = np.arange(at, min(at + max(1, PASS // len(y)), len(x)))
+                squares, present = np.zeros((len(rows), len(y))), np.zeros((len(rows), len(y)))
+                for i in range(len(columns)):
+                    d = x[rows, i][:, None] - y[:, i]
+                    there = ~np.isnan(d)
+                    squares += np.where(there, d * d, 0.0)
+                    present += there
+                away = np.full(squares.shape, np.inf)
+                np.divide(len(columns), present, out=away, where=(present > 0) & (own[rows][:, None] != other))
+                away = np.where(np.isinf(away), np.inf, np.sqrt(away * squares))
+                for i in range(len(columns)):
+                    gaps, able = np.flatnonzero(np.isnan(x[rows, i])), np.flatnonzero(~np.isnan(y[:, i]))
+                    if not len(gaps) or not len(able):
+                        continue
+                    part = away[np.ix_(gaps, able)]
+                    kth = np.partition(part, k - 1, axis=1)[:, k - 1] if len(able) > k else np.full(len(gaps), np.inf)
+                    who, donor = np.nonzero((part <= kth[:, None]) & np.isfinite(part))
+                    distance = part[who, donor]
+                    order = np.lexsort((place[able[donor]], distance, who))
+                    who, donor, distance = who[order], donor[order], distance[order]
+                    best = np.arange(len(who)) - np.searchsorted(who, who) < k
+                    found.append((rows[gaps[who[best]]], able[donor[best]], np.full(best.sum(), i, np.int32), distance[best], y[able[donor[best]], i]))
+        row, donor, column, distance, value = (np.concatenate(f) for f in zip(*found, strict=True))
+        return pa.table({key: left.column(key).take(pa.array(row)), "column": column, "distance": distance, "donor": right.column(key).take(pa.array(donor)), "value": value})
+
+    return run
+
+
 def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5, donors: DataFrame | None = None) -> DataFrame:
     """Missing values as means of the ``k`` nearest donors that have them.
 
     Distance: sqrt(d / present * sum of squares over columns that both rows have), d the number of
-    columns; ties by ``key``. Without a donor the column's mean is taken; an all-missing column stays so.
-    Only incomplete rows are compared with donors. Donors are all rows unless given; for large tables
-    give a bounded sample of complete rows.
+    columns; ties by ``key``, which is unique. Without a donor the column's mean is taken; an all-missing column stays so.
+    Donors are all rows unless given. Blocks of incomplete rows meet blocks of donors, all columns in one pass, and only the nearest of each
+    block are shuffled on; the products of both numbers of rows remain, so for large tables give a bounded sample of complete rows.
     """
-    donors = (donors if donors is not None else df).select(F.col(key).alias("d\x00"), *[F.col(c).alias(f"{c}\x00") for c in columns])
+    kind = df.schema[key].dataType.simpleString()
+    numbers = [F.col(c).cast("double").alias(f"{i}\x00") for i, c in enumerate(columns)]
     means = df.agg(*(F.avg(c).alias(f"{c}\x00mean") for c in columns))
-    gaps = df.where(" or ".join(f"`{c}` is null" for c in columns)).select(key, *columns)
-    both = [F.col(c).isNotNull() & F.col(f"{c}\x00").isNotNull() for c in columns]
-    present = sum((b.cast("int") for b in both), F.lit(0))
-    squares = sum((F.when(b, F.pow(F.col(c) - F.col(f"{c}\x00"), F.lit(2.0))).otherwise(0.0) for b, c in zip(both, columns, strict=True)), F.lit(0.0))
-    distance = F.sqrt(F.try_divide(F.lit(float(len(columns))), present) * squares)
-    pairs = gaps.join(donors, F.col(key) != F.col("d\x00")).withColumn("distance\x00", distance).where("`distance\x00` is not null")
-    for c in columns:
-        able = pairs.where(F.col(c).isNull() & F.col(f"{c}\x00").isNotNull())
-        rank = F.row_number().over(Window.partitionBy(key).orderBy("distance\x00", "d\x00"))
-        filled = able.withColumn("rank\x00", rank).where(F.col("rank\x00") <= k).groupBy(key).agg(F.avg(f"{c}\x00").alias("filled\x00"))
-        df = df.join(filled, key, "left").withColumn(c, F.coalesce(c, "filled\x00")).drop("filled\x00")
-    return with_row_of(df, means).withColumns({c: F.coalesce(c, f"{c}\x00mean") for c in columns}).drop(*means.columns)
+    there = f"`{key}` is not null"
+    gaps = df.where(" or ".join(f"`{c}` is null" for c in columns)).where(there).select(key, *numbers)
+    givers = (donors if donors is not None else df).where(there).select(key, *numbers)
+    found = block_pairs(gaps, givers, [key], [key], _nearest_donors(key, columns, k), f"`{key}` {kind}, column int, distance double, donor {kind}, value double")
+    rank = F.row_number().over(Window.partitionBy(key, "column").orderBy("distance", "donor"))
+    near = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    filled = near.groupBy(key).agg(*(F.avg(F.when(F.col("column") == i, F.col("value"))).alias(f"{c}\x00near") for i, c in enumerate(columns)))
+    return with_row_of(df.join(filled, key, "left"), means).select(*(F.coalesce(c, f"{c}\x00near", f"{c}\x00mean").alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 1.5, medians: bool = False) -> DataFrame:

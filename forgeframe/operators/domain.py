@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of one side that may be compared with all of the other without blocks.
-SMALL = 100_000
+from .blocks import block_pairs
+
+#: Queries that are compared with a block of rows at once; bits that one pass holds.
+AT_ONCE, PASS = 64, 1 << 24
 #: Directions in which a hull's first points are sought.
 DIRECTIONS = 64
 
@@ -26,44 +31,79 @@ def packed_bits(values: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), word)
 
 
-def tanimoto(a: Column, b: Column) -> Column:
-    """Shared bits over bits of either, of two word arrays; 0 where neither has any."""
+def _best_of_block(key: str, k: int):
+    """The ``k`` most similar rows of a block for each query.
 
-    def ones(words: Column) -> Column:
-        return F.aggregate(F.transform(words, lambda w: F.bit_count(w)), F.lit(0), lambda x, y: x + y)
+    Rows go by their number of bits: no similarity exceeds the smaller number over the larger, so rows on either side of a query's
+    number come in turn, widening, until none further can reach its k-th best.
+    """
 
-    shared = ones(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
-    either = ones(a) + ones(b) - shared
-    return F.when(either == 0, F.lit(0.0)).otherwise(shared / either)
+    def bits(words: pa.ChunkedArray) -> np.ndarray:
+        lists = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        width = len(flat) // max(1, len(lists))
+        return np.unpackbits(flat.reshape(len(lists), width).view(np.uint8), axis=1).astype(np.float32)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            a, b = bits(left.column("words")), bits(right.column("words"))
+            n_a, n_b = a.sum(1), b.sum(1)
+            rank = np.empty(right.num_rows, np.int64)  # ties go by key
+            rank[np.argsort(right.column(key).to_numpy(zero_copy_only=False), kind="stable")] = np.arange(right.num_rows)
+            order, by_count = np.argsort(n_b, kind="stable"), np.sort(n_b)
+            for at in range(0, len(a), AT_ONCE):
+                rows = np.arange(at, min(at + AT_ONCE, len(a)))
+                rows = rows[np.argsort(n_a[rows], kind="stable")]
+                low = int(np.searchsorted(by_count, n_a[rows[0]]))
+                high = int(np.searchsorted(by_count, n_a[rows[-1]], "right"))
+                step = max(4 * k, min(PASS // (AT_ONCE * max(1, a.shape[1])), len(b)))
+                low, high = max(0, low - step), min(len(b), high + step)
+                seen, similar = order[low:high], None
+                similar = _tanimoto(a[rows], b[seen], n_a[rows], n_b[seen])
+                while low > 0 or high < len(b):
+                    kth = np.partition(similar, -k, axis=1)[:, -k] if similar.shape[1] >= k else np.full(len(rows), -1.0)
+                    reach = [by_count[low - 1] / np.maximum(n_a[rows], 1) if low > 0 else None, n_a[rows] / np.maximum(by_count[high], 1) if high < len(b) else None]
+                    more = [x is not None and bool((np.minimum(x, 1.0) >= kth).any()) for x in reach]
+                    if not any(more):
+                        break
+                    begin, stop = (max(0, low - step) if more[0] else low), (min(len(b), high + step) if more[1] else high)
+                    fresh = np.r_[order[begin:low], order[high:stop]]
+                    similar = np.c_[similar, _tanimoto(a[rows], b[fresh], n_a[rows], n_b[fresh])]
+                    seen, low, high = np.r_[seen, fresh], begin, stop
+                best = np.lexsort((np.broadcast_to(rank[seen], similar.shape), -similar), axis=1)[:, :k]
+                found.append((np.repeat(rows, best.shape[1]), seen[best].ravel(), np.take_along_axis(similar, best, axis=1).ravel()))
+        who, row, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pa.table({key: left.column(key).take(pa.array(who)), f"train_{key}": right.column(key).take(pa.array(row)), "similarity": value})
+
+    return run
+
+
+def _tanimoto(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    shared = (a @ b.T).astype(np.float64)
+    either = n_a[:, None].astype(np.float64) + n_b - shared
+    return np.where(either > 0, shared / np.maximum(either, 1), 0.0)
 
 
-def similarities(queries: DataFrame, train: DataFrame, key: str, values: str) -> DataFrame:
-    """(query key, train_<key>, similarity) of the given queries against every training row.
+def most_similar(queries: DataFrame, train: DataFrame, key: str, values: str, k: int = 5) -> DataFrame:
+    """The ``k`` most similar training rows of each query, ties by key.
 
-    The reference set of a domain is bounded by the model's own training set; its fingerprints are packed
-    into words first. Up to SMALL of its rows are sent to every task, more are joined in blocks.
+    Blocks of queries meet blocks of rows, packed into words, and only the best of each block are shuffled on; within a block, rows whose
+    numbers of bits rule them out aren't compared. Keys are unique; rows of null key or values aren't compared; all fingerprints have one width.
     """
-    q = queries.select(F.col(key), packed_bits(F.col(values)).alias("a"))
-    t = train.select(F.col(key).alias(f"train_{key}"), packed_bits(F.col(values)).alias("b"))
-    n = t.count()
-    if n <= SMALL:
-        pairs = q.crossJoin(F.broadcast(t))
-    else:
-        blocks = -(-n // SMALL)
-        pairs = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(t.withColumn("block", F.pmod(F.xxhash64(f"train_{key}"), F.lit(blocks)).cast("int")), "block")
-    return pairs.select(key, f"train_{key}", tanimoto(F.col("a"), F.col("b")).alias("similarity"))
-
-
-def most_similar(queries: DataFrame, train: DataFrame, key: str, values: str, k: int = 5) -> DataFrame:
-    """The ``k`` most similar training rows of each query, ties by key."""
-    found = similarities(queries, train, key, values)
+    kind = queries.schema[key].dataType
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        raise TypeError("keys must be plain values")
+    there = f"`{key}` is not null and `{values}` is not null"
+    q, t = (d.where(there).select(key, packed_bits(F.col(values)).alias("words")) for d in (queries, train))
+    found = block_pairs(q, t, [key], [key], _best_of_block(key, k), f"`{key}` {kind.simpleString()}, `train_{key}` {train.schema[key].dataType.simpleString()}, similarity double")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), f"train_{key}"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def in_domain(queries: DataFrame, train: DataFrame, key: str, values: str, threshold: float = 0.25) -> DataFrame:
     """Largest similarity of each query, and whether it reaches ``threshold``."""
-    best = similarities(queries, train, key, values).groupBy(key).agg(F.max("similarity").alias("sim_max"))
+    best = most_similar(queries, train, key, values, 1).select(key, F.col("similarity").alias("sim_max"))
     return best.withColumn("in_domain", F.col("sim_max") >= threshold)
 
 

@@ -1,14 +1,23 @@
-"""Explanations: linear contributions, sampled Shapley values, permutation importance."""
+"""Explanations: linear and tree contributions, sampled Shapley values, permutation importance."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .clean import with_row_of
 from .metrics import scores
+from .select import assembled
 from .splits import hash_ranked
 
+#: Numbers (rows by paths by features) that one pass over a batch holds.
+PASS = 1 << 20
+
 
 def linear_contributions(df: DataFrame, columns: list[str], weights: list[float], key: list[str]) -> DataFrame:
     """Exact Shapley values of a linear model: weight * (value - mean)."""
@@ -16,6 +25,105 @@ def linear_contributions(df: DataFrame, columns: list[str], weights: list[float]
     return with_row_of(df, means).select(*key, *[(F.lit(float(w)) * (F.col(c) - F.col(f"{c}\x00"))).alias(c) for c, w in zip(columns, weights, strict=True)])
 
 
+@dataclass
+class Path:
+    """A leaf of a tree: its weighted value, and for each feature on the way to it the interval (low, high] and the share of rows that went along."""
+
+    tree: int
+    value: float
+    features: dict[int, tuple[float, float, float]]
+
+
+def tree_paths(model) -> list[Path]:
+    """All paths from the root to a leaf, of a fitted tree, forest or boosted trees (E01). Splits must be of numbers.
+
+    Splits of one feature on a path become one interval, with the product of the shares of the training rows that
+    went the path's way at each of them.
+    """
+    trees = model.trees if hasattr(model, "trees") else [model]
+    weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0]
+    if "Forest" in type(model).__name__:
+        weights = [w / sum(weights) for w in weights]
+    out = []
+    for k, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        todo = [(tree._java_obj.rootNode(), {})]
+        while todo:
+            node, on = todo.pop()
+            if node.getClass().getSimpleName() == "LeafNode":
+                out.append(Path(k, weight * node.prediction(), on))
+                continue
+            split = node.split()
+            if split.getClass().getSimpleName() != "ContinuousSplit":
+                raise ValueError("contributions need splits of numbers, not of categories")
+            low, high, share = on.get(split.featureIndex(), (-np.inf, np.inf, 1.0))
+            rows, at = node.impurityStats().count(), split.threshold()
+            for child, interval in ((node.leftChild(), (low, min(high, at))), (node.rightChild(), (max(low, at), high))):
+                todo.append((child, on | {split.featureIndex(): (*interval, share * child.impurityStats().count() / rows)}))
+    return out
+
+
+def path_table(spark: SparkSession, model, columns: list[str]) -> DataFrame:
+    """(tree, leaf, value, column, low, high, share): the paths of ``tree_paths`` as rows, a feature each."""
+    rows = [(p.tree, leaf, p.value, columns[f], low, high, share) for leaf, p in enumerate(tree_paths(model)) for f, (low, high, share) in p.features.items()]
+    return spark.createDataFrame(rows, "tree int, leaf int, value double, column string, low double, high double, share double")
+
+
+def path_contributions(x: np.ndarray, paths: list[Path]) -> np.ndarray:
+    """Shapley values of the rows of ``x``, where a feature that isn't known goes all ways of its splits by the shares of rows.
+
+    A leaf counts with the product over its features of 1 or 0 (known: whether the value goes its way) or of the share. Such
+    a product's Shapley value for a feature is the integral, over t from 0 to 1, of the others' t * known + (1 - t) * share,
+    times the difference that the feature makes; a Gauss-Legendre rule is exact for these polynomials.
+    """
+    out, x = np.zeros(x.shape), np.where(np.isnan(x), np.inf, x)
+    by_size: dict[int, list[Path]] = {}
+    for p in paths:
+        by_size.setdefault(len(p.features), []).append(p)
+    for m, group in by_size.items():
+        if not m:
+            continue
+        at, weight = np.polynomial.legendre.leggauss(m // 2 + 1)
+        at, weight = (at + 1) / 2, weight / 2
+        feature = np.array([list(p.features) for p in group])
+        low, high, share = np.array([list(p.features.values()) for p in group]).transpose(2, 0, 1)
+        value = np.array([p.value for p in group])
+        step = max(1, PASS // feature.size)
+        for a in range(0, len(x), step):
+            seen = x[a : a + step][:, feature]
+            known = ((seen > low) & (seen <= high)).astype(float)
+            others = np.zeros(known.shape)
+            for t, w in zip(at, weight, strict=True):
+                each = t * known + (1 - t) * share
+                before = np.cumprod(np.concatenate([np.ones((*each.shape[:2], 1)), each[:, :, :-1]], axis=2), axis=2)
+                after = np.cumprod(np.concatenate([np.ones((*each.shape[:2], 1)), each[:, :, :0:-1]], axis=2), axis=2)[:, :, ::-1]
+                others += w * before * after
+            gains = (known - share) * others * value[:, None]
+            for f in np.unique(feature):
+                out[a : a + step, f] += (gains * (feature == f)).sum((1, 2))
+    return out
+
+
+def tree_contributions(df: DataFrame, model, columns: list[str], key: list[str], prediction: str | None = None) -> DataFrame:
+    """(key, a value for each column, base): exact path-dependent Shapley values of a tree model.
+
+    ``model`` is a fitted tree, forest or boosted trees over ``columns``; values and base add up to its prediction, which comes along under
+    the name ``prediction``, where that is one of ``key``. A missing value counts as larger than any, as in the trees. The paths, as many as the model has leaves,
+    go to the tasks with the code; rows stay where they are.
+    """
+    paths = tree_paths(model)
+    base = sum(p.value * float(np.prod([share for _, _, share in p.features.values()])) for p in paths)
+
+    @F.pandas_udf("array<double>")
+    def values(v: pd.Series) -> pd.Series:
+        return pd.Series(list(path_contributions(np.stack(v.to_numpy()), paths))) if len(v) else pd.Series([], dtype=object)
+
+    data = df if "features" in df.columns else assembled(df, columns)
+    if prediction:
+        data = model.transform(data)
+    data = data.withColumn("values\x00", values(vector_to_array("features")))
+    return data.select(*key, *[F.get("values\x00", F.lit(i)).alias(c) for i, c in enumerate(columns)], F.lit(float(base)).alias("base"))
+
+
 def shuffled(df: DataFrame, column: str, key: str, seed: int = 42) -> DataFrame:
     """``df`` with the values of one column dealt to other rows: rank by key hash against rank by another hash."""
     here = hash_ranked(df, key, seed, "rank\x00")
@@ -48,8 +156,6 @@ def sampled_shapley(df: DataFrame, columns: list[str], key: str, predict, orders
     Every row is explained; each order puts the row's values in place of the means one by one, and all
     those variants are predicted in one pass.
     """
-    import numpy as np
-
     rng = np.random.default_rng(seed)
     means = df.agg(*(F.avg(c).alias(f"{c}\x00") for c in columns))
     both = with_row_of(df.select(key, *columns), means)

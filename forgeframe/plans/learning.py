@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.predictions import key_description, normal_prediction
+from ..functions.predictions import KEY_NAMES, key_description, normal_prediction
 from ..operators import active, cluster, domain, explain, metrics, models, select, splits, structures
 from ..sources import files, runs, synthetic
 from .registry import query, rounded, table
@@ -258,6 +258,24 @@ def e01_linear_contributions(spark, sf_dir):
     return rounded(explain.linear_contributions(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], [1500.0, -20.0], LINE_KEYS), 4)
 
 
+@query("WITH s AS (SELECT l_linenumber > 3 AS late, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(avg(l_extendedprice) OVER (PARTITION BY late) - avg(l_extendedprice) OVER (), 2) + 0.0 AS late, 0.0::DOUBLE AS l_tax, round(avg(l_extendedprice) OVER (), 2) AS base FROM s")
+def e01_tree_contributions(spark, sf_dir):
+    """Of a tree with one split all of a prediction's distance to the mean is the split feature's."""
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, "l_extendedprice", (F.col("l_linenumber") > 3).cast("double").alias("late"), "l_tax")
+    fitted = models.make("decision_tree", lines, "l_extendedprice", maxDepth=1).fit(select.assembled(lines.select("late", F.lit(0.0).alias("l_tax"), "l_extendedprice"), ["late", "l_tax"]))
+    return rounded(explain.tree_contributions(lines, fitted, ["late", "l_tax"], LINE_KEYS), 2)
+
+
+@query()
+def e01_forest_contributions(spark, sf_dir):
+    """Exact contributions to a forest's predictions; with the base they add up to these."""
+    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_KEYS[:1], *LINE_KEYS[2:], "l_extendedprice", *(F.col(c).cast("double").alias(c) for c in columns))
+    data = select.assembled(lines, columns)
+    fitted = models.make("random_forest", data, "l_extendedprice", numTrees=10, maxDepth=4).fit(data)
+    return rounded(explain.tree_contributions(data, fitted, columns, ["l_orderkey", "l_partkey", "l_suppkey", "prediction"], "prediction"), 4)
+
+
 @query()
 def e02_permutation_importance(spark, sf_dir):
     o = _orders(spark, sf_dir)
@@ -426,12 +444,14 @@ def t20_train_validation(spark, sf_dir):
     return first.withColumn("train", F.lit(True)).unionByName(rest.withColumn("train", F.lit(False)))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 45 THEN 'Invalid Key' WHEN p_size = 1 THEN 'ISOTOPE' WHEN p_size = 14 THEN 'S-S' WHEN p_size = 17 THEN 'C#C' WHEN p_size = 27 THEN 'I' WHEN p_size = 41 THEN 'C#N' ELSE 'Unknown Fragment' END AS name FROM part WHERE p_size > 45 OR p_size IN (1, 14, 17, 27, 41) OR p_size = 2")
+KEYS = ", ".join(f"({n}, '{name}')" for n, name in KEY_NAMES.items())
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size > 45 THEN 'Invalid Key' ELSE coalesce(k.name, 'Unknown Fragment') END AS name FROM part LEFT JOIN (VALUES {KEYS}) k(n, name) ON k.n = p_partkey % 170")
 def t19_key_descriptions(spark, sf_dir):
-    """Numbers, one beyond the last key, and texts that are no numbers."""
-    key = F.when(F.col("p_size") > 45, F.col("p_name")).when(F.col("p_size") == 2, "167").otherwise(F.col("p_size").cast("string"))
-    p = table(spark, sf_dir, "part").where("p_size > 45 OR p_size IN (1, 14, 17, 27, 41) OR p_size = 2")
-    return p.select("p_partkey", key_description(key).alias("name"))
+    """All numbers up to some beyond the last key, and texts that are no numbers."""
+    key = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise((F.col("p_partkey") % 170).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", key_description(key).alias("name"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN 'C' || (p_size % 10)::VARCHAR || 'O' END AS structure, round(CASE p_partkey % 4 WHEN 0 THEN p_size / 100 WHEN 1 THEN p_size / 50 WHEN 2 THEN (1 + p_size / 100 + 0.5) / 3 END, 6) AS confidence FROM part")
