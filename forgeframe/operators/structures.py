@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import importlib.util
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,24 +208,6 @@ def lifetimes(values: Column) -> Column:
     return F.struct(n.alias("count"), F.array_max(v).alias("max"), mean.alias("mean"), total.alias("sum"), spread.alias("std"), entropy.alias("entropy"))
 
 
-def merge_lifetimes(points: DataFrame, key: str, x: list[str]) -> DataFrame:
-    """(key, lifetimes): component lifetimes of each point cloud, the edge lengths of its minimum spanning tree (F11, dimension 0)."""
-    import numpy as np
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[x].to_numpy(float)
-        near, left, out = np.full(len(p), np.inf), np.ones(len(p), bool), []
-        now = 0
-        for _ in range(len(p) - 1):
-            left[now] = False
-            near = np.minimum(near, np.linalg.norm(p - p[now], axis=1))
-            now = int(np.where(left, near, np.inf).argmin())
-            out.append(float(near[now]))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "lifetimes": [sorted(out)]})
-
-    return points.groupBy(key).applyInPandas(tree, f"`{key}` {points.schema[key].dataType.simpleString()}, lifetimes array<double>")
-
-
 def mean_pooled(tokens: Column, mask: Column) -> Column:
     """Mean of token vectors where the mask is 1."""
     kept = F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda t: t["m"] == 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.predictions import KEY_NAMES, key_description, normal_prediction
-from ..operators import active, cluster, domain, explain, metrics, models, select, splits, structures
+from ..operators import active, cluster, domain, explain, metrics, models, select, spanning, splits, structures
 from ..sources import files, runs, synthetic
 from .registry import query, rounded, table
 from .scalars import USERS, users
@@ -106,8 +106,10 @@ def f11_lifetimes(spark, sf_dir):
 
 @query()
 def f11_spanning_lifetimes(spark, sf_dir):
-    p = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
-    return structures.merge_lifetimes(p, "label", ["x0", "x1", "x2"])
+    """Statistics of the lengths at which the vectors of each label merge, in all components."""
+    x = [f"x{i}" for i in range(64)]
+    p = table(spark, sf_dir, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(x)])
+    return rounded(spanning.merge_statistics(p, "label", x))
 
 
 @query("SELECT c_custkey, round((c_acctbal - m) / s, 6) + 0.0 AS c_acctbal FROM customer, (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer)")
