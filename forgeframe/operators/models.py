@@ -350,22 +350,6 @@ def learning_curve(df: DataFrame, test: DataFrame, columns: list[str], target: s
     return out
 
 
-def search(df: DataFrame, columns: list[str], target: str, key: str, model: str, space: dict[str, list], trials: int = 10, k: int = 3, seed: int = 42) -> DataFrame:
-    """Seeded random search: (trial, params, r2) by mean score of k folds, best first (H01). A failing trial scores null."""
-    import json
-
-    rng, rows = np.random.default_rng(seed), []
-    for trial in range(trials):
-        params = {n: v[int(rng.integers(len(v)))] for n, v in space.items()}
-        try:
-            _, by_fold = cross_validate(df, columns, target, key, model, k, seed, **params)
-            score = by_fold.agg(F.avg("r2")).first()[0]
-        except (ValueError, np.linalg.LinAlgError):
-            score = None
-        rows.append((trial, json.dumps(params, sort_keys=True), score))
-    return df.sparkSession.createDataFrame(rows, "trial int, params string, r2 double").orderBy(F.col("r2").desc_nulls_last(), "trial")
-
-
 def predict(model, df: DataFrame, columns: list[str], pad: bool = False) -> DataFrame:
     """Predictions for new rows (R01). Missing columns are an error, or with ``pad`` fingerprint columns 0 and others null."""
     gone = [c for c in columns if c not in df.columns]
