@@ -14,7 +14,7 @@ from ..functions.physics import clamp
 from ..functions.text import first_number, plain_number
 from .blocks import block_pairs
 from .profile import numeric_columns, text_columns, value_counts
-from .quantiles import quantiles
+from .quantiles import group_quantiles, quantiles
 
 #: Distances that one pass over two blocks holds.
 PASS = 1 << 20
@@ -267,31 +267,77 @@ def balance_categories(df: DataFrame, column: str, key: str, most: int, seed: in
     return kept.unionByName(df.where(F.col(column).isNull())) if keep_null else kept
 
 
+#: Rows of a key up to which its values may be held at once for a median.
+HELD = 100_000
+
+
 def aggregate_by_keys(df: DataFrame, keys: list[str], target: str, order_by: str, how: str = "median", drop_null: bool = True) -> DataFrame:
     """Repeated measurements as one row a key (C13): the target's median, mean, min or max, how often it
     was measured (``<p>_rep_n``) and its sample deviation (``<p>_rep_std``), and of every other column the
     first value present by ``order_by``. ``p`` is ``tg`` for targets named so, else the target's name; a
     name that is taken gets ``_agg``. Null keys are a group. Groups without a target go if ``drop_null``.
+
+    Medians of keys of more than HELD rows come from counts of ranges; both ways give the same.
     """
     y = F.col(target).try_cast("double")
-    value = {"median": F.percentile(y, 0.5), "mean": F.avg(y), "min": F.min(y), "max": F.max(y)}[how]
     prefix = "tg" if target.lower().startswith("tg") else target
     names = [n if n not in df.columns else f"{n}_agg" for n in (f"{prefix}_rep_n", f"{prefix}_rep_std")]
     others = [c for c in df.columns if c not in {*keys, target}]
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order_by))).alias(c) for c in others]
-    out = df.groupBy(*keys).agg(value.alias(target), F.count(y).alias(names[0]), F.stddev_samp(y).alias(names[1]), *first)
+    value = {"median": F.percentile(y, 0.5), "mean": F.avg(y), "min": F.min(y), "max": F.max(y)}[how]
+
+    def aggregated(rows: DataFrame, value: Column) -> DataFrame:
+        return rows.groupBy(*keys).agg(value.alias(target), F.count(y).alias(names[0]), F.stddev_samp(y).alias(names[1]), *first)
+
+    large = df.groupBy(*keys).agg(F.count("*").alias("n\x00")).where(F.col("n\x00") > HELD).drop("n\x00").collect() if how == "median" and keys else []
+    if not large:
+        out = aggregated(df, value)
+    else:  # as many as the rows hold HELD at most, and few in any table whose keys are worth a median
+        which = df.sparkSession.createDataFrame(large, df.select(*keys).schema)
+        hot, cold = _beside(df, which, keys), _without(df, which, keys)
+        medians = group_quantiles(hot.withColumn(target, y), target, [0.5], keys)
+        both = _beside(aggregated(hot, F.lit(None).cast("double")), medians, keys).withColumn(target, F.col("q0")).drop("q0")
+        out = aggregated(cold, value).unionByName(both)
     return out.where(F.col(target).isNotNull()) if drop_null else out
 
 
-def one_hot(df: DataFrame, column: str, drop_first: bool = False, with_null: bool = False, as_int: bool = False, most: int = 1000) -> DataFrame:
-    """A boolean column ``<column>_<value>`` for each value in order, in place of the column (C14)."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"{column} has more than {most} values")
+def _without(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``left`` whose ``columns`` are in no row of ``right``, nulls being equal."""
+    right, on = right.withColumnsRenamed({c: f"{c}of" for c in columns}), F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}of"))
+    return left.join(right, on, "left_anti")
+
+
+def one_hot(df: DataFrame, column: str, drop_first: bool = False, with_null: bool = False, as_int: bool = False, most: int = 1000, values: list | None = None) -> DataFrame:
+    """A boolean column ``<column>_<value>`` for each value in order, in place of the column (C14).
+
+    Without ``values`` the table's own are taken, and more than ``most`` of them are an error, as each makes a column; any number may be given as ``values``
+    (rows of others have no column that is true). ``one_hot_index`` has no columns and no limit.
+    """
+    if values is None:
+        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{column} has more than {most} values; name them in values, or use one_hot_index")
     made = {f"{column}_{v}": F.col(column).eqNullSafe(F.lit(v)) for v in values[int(drop_first) :]}
     if with_null:
         made[f"{column}_nan"] = F.col(column).isNull()
-    return df.withColumns({n: c.cast("int") if as_int else c for n, c in made.items()}).drop(column)
+    return df.select(*(c for c in df.columns if c != column), *((c.cast("int") if as_int else c).alias(n) for n, c in made.items()))
+
+
+def one_hot_index(df: DataFrame, column: str, name: str = "index") -> DataFrame:
+    """``df`` with the place of the one column that would be true, from 0 in the order of values; null for null (C14).
+
+    For any number of values: they are ranked by ranges and joined, none come to the driver.
+    """
+    values = df.select(F.col(column).alias("v\x00")).where("`v\x00` is not null").distinct()
+    parts = max(1, -(-values.count() // RANGE_ROWS))
+    ordered = values.repartitionByRange(parts, "v\x00").withColumn("part\x00", F.spark_partition_id())
+    totals = ordered.groupBy("part\x00").agg(F.count("*").alias("n\x00"))
+    before = totals.select("part\x00", (F.sum("n\x00").over(Window.orderBy("part\x00")) - F.col("n\x00")).alias("before\x00"))
+    within = F.row_number().over(Window.partitionBy("part\x00").orderBy("v\x00")) - 1
+    places = ordered.withColumn("w\x00", within).join(F.broadcast(before), "part\x00").select("v\x00", (F.col("w\x00") + F.col("before\x00")).alias(name))
+    return df.join(places, F.col(column) == F.col("v\x00"), "left").select(*df.columns, name)
 
 
 def clean_structures(df: DataFrame, columns: list[str], method, drop_invalid: bool = False) -> DataFrame:

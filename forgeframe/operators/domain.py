@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import block_pairs
+from .select import component_fit
 
 #: Queries that are compared with a block of rows at once; bits that one pass holds.
 AT_ONCE, PASS = 64, 1 << 24
-#: Directions in which a hull's first points are sought.
-DIRECTIONS = 64
+#: Tasks whose corners one task merges.
+MERGED = 16
 
 
 def packed_bits(values: Column) -> Column:
@@ -107,21 +108,41 @@ def in_domain(queries: DataFrame, train: DataFrame, key: str, values: str, thres
     return best.withColumn("in_domain", F.col("sim_max") >= threshold)
 
 
+def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The corners of a task's points; those of each batch are merged with those before."""
+    held = np.zeros((0, 2))
+    for batch in batches:
+        both = np.unique(np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)]), axis=0)
+        held = np.array(monotone_chain([tuple(p) for p in both.tolist()])).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], names=["x", "y"])
+
+
 def hull(points: DataFrame, x: str, y: str) -> list[tuple[float, float]]:
-    """Corners of the convex hull, counter-clockwise.
+    """Corners of the convex hull, counter-clockwise (D01); points with a missing or infinite coordinate are left out.
+
+    A hull of hulls: each task keeps the corners of its points, then fewer tasks those of MERGED others, until one is left, so the driver
+    gets the answer alone. Points on a line have no hull: no corners.
+    """
+    points = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    left = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    tasks = left.rdd.getNumPartitions()
+    left = left.mapInArrow(_corners, "x double, y double")
+    while tasks > 1:
+        tasks = -(-tasks // MERGED)
+        left = left.repartition(tasks).mapInArrow(_corners, "x double, y double")
+    corners = monotone_chain(sorted({(r["x"], r["y"]) for r in left.collect()}))
+    return corners if len(corners) >= 3 else []
+
+
+def component_domain(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with PC1, PC2 and in_domain: whether they lie in the hull of the training rows in the plane of their first two components.
 
-    The extreme points in DIRECTIONS directions span a polygon; the corners are among them and the few
-    points outside it. Only those come to the driver. Points on a line have no hull: no corners.
+    Components, and what fills missing values, are those of the training rows. Without a hull (fewer than three rows, or all on a line) all are inside.
     """
-    points = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    angles = [2 * math.pi * i / DIRECTIONS for i in range(DIRECTIONS)]
-    picks = points.agg(*(F.max_by(F.struct("x", "y"), F.col("x") * math.cos(a) + F.col("y") * math.sin(a)).alias(f"p{i}") for i, a in enumerate(angles))).first()
-    corners = {(p["x"], p["y"]) for p in picks if p is not None}
-    polygon = monotone_chain(sorted(corners))
-    if len(polygon) < 3:
-        return []
-    outside = points.where(~inside(F.col("x"), F.col("y"), polygon)).distinct().collect()
-    return monotone_chain(sorted(corners | {(r["x"], r["y"]) for r in outside}))
+    fit = component_fit(train, columns)
+    corners = hull(fit.rows(train.select(*columns), 2), "PC1", "PC2")
+    keys = [c for c in rows.columns if c not in columns]
+    return fit.rows(rows, 2).withColumn("in_domain", inside(F.col("PC1"), F.col("PC2"), corners)).select(*keys, "PC1", "PC2", "in_domain")
 
 
 def monotone_chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -141,9 +162,8 @@ def monotone_chain(points: list[tuple[float, float]]) -> list[tuple[float, float
 
 def inside(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
     """Whether a point lies in a convex polygon or on its rim. No polygon: everything is inside."""
-    out = F.lit(True)
     if len(corners) < 3:
-        return out
-    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
-        out = out & ((F.lit(bx - ax) * (y - ay) - F.lit(by - ay) * (x - ax)) >= -1e-12)
-    return out
+        return F.lit(True)
+    sides = [(*a, b[0] - a[0], b[1] - a[1]) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)]
+    table = F.array(*(F.array(*(F.lit(float(v)) for v in side)) for side in sides))
+    return F.forall(table, lambda s: (s[2] * (y - s[1]) - s[3] * (x - s[0])) >= -1e-12)

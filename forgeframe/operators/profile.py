@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import quantiles
+from .quantiles import group_quantiles, quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -110,13 +110,14 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 1
 
 
 def box_statistics(df: DataFrame, column: str, by: list[str], reach: float = 1.5) -> DataFrame:
-    """Quartiles by group, and whiskers: the outermost values within ``reach`` quartile ranges."""
-    found = quantiles(df, [column], [0.25, 0.5, 0.75], by)
-    kinds = T.StructType([*(df.schema[c] for c in by), *(T.StructField(n, T.DoubleType()) for n in ("q25", "q50", "q75"))])
-    quartiles = df.sparkSession.createDataFrame([(*key[1:], *q) for key, q in found.items()], kinds)
+    """Quartiles by group, and whiskers: the outermost values within ``reach`` quartile ranges (P08). Rows of null keys are left out."""
+    names = {"q0": "q25", "q1": "q50", "q2": "q75"}
+    if by:
+        joined = df.join(group_quantiles(df, column, [0.25, 0.5, 0.75], by).withColumnsRenamed(names), by)
+    else:
+        joined = df.crossJoin(df.sparkSession.createDataFrame([tuple(quantiles(df, [column], [0.25, 0.5, 0.75])[(column,)])], "q25 double, q50 double, q75 double"))
     span = (F.col("q75") - F.col("q25")) * reach
     inside = F.col(column).between(F.col("q25") - span, F.col("q75") + span)
-    joined = df.join(F.broadcast(quartiles), by) if len(by) else df.crossJoin(quartiles)
     return joined.groupBy(*by, "q25", "q50", "q75").agg(F.min(F.when(inside, F.col(column))).alias("low"), F.max(F.when(inside, F.col(column))).alias("high"), F.count_if(~inside).alias("n_outside"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Values that a global range of ``group_quantiles`` holds on average, and most ranges.
+RANGE_VALUES, MOST_RANGES = 50_000, 10_000
 #: Ranges that one pass counts within each range that still holds a wanted rank; rows from which on it counts values instead.
 RANGES, FEW = 1024, 4096
 
@@ -97,3 +99,46 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], by: list[s
         if not by:
             out.setdefault((c,), [None] * len(shares))
     return out
+
+
+def group_quantiles(df: DataFrame, column: str, shares: list[float], by: list[str]) -> DataFrame:
+    """(*by, q0, q1, ...): the quantiles at ``shares`` of each group, as ``quantiles`` gives them, for any number of groups of any size.
+
+    Null keys are a group; one without values has nulls. Values are counted by group before anything else, so equal ones are one row. The table's own
+    quantiles, roughly, divide all values into ranges of about RANGE_VALUES: a group's wanted ranks are found by the counts of its ranges, then by ranks within the ranges
+    that hold them, which no group can make large. Only the ranges' ends come to the driver.
+    """
+    names = [f"g{k}\x00" for k in range(len(by))]
+    v = F.col(column).cast("double")
+    values = df.select(*[F.col(g).alias(n) for g, n in zip(by, names, strict=True)], F.when(~F.isnan(v), v).alias("v"))
+    n = values.agg(F.count("v")).first()[0]
+    ranges = min(MOST_RANGES, max(1, n // RANGE_VALUES))
+    ends = values.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
+    above = F.size(F.filter(F.array(*map(F.lit, dict.fromkeys(ends))), lambda e: e < F.col("v"))) if ends else F.lit(0)
+    counted = values.where("v is not null").groupBy(*names, "v").agg(F.count("*").alias("n")).withColumn("range", above)
+    by_range = counted.groupBy(*names, "range").agg(F.sum("n").alias("here"))
+    order = Window.partitionBy(*names)
+    by_range = by_range.withColumns({"before": F.sum("here").over(order.orderBy("range")) - F.col("here"), "all": F.sum("here").over(order)})
+    ranks = [f(F.lit(p) * (F.col("all") - 1)).cast("long") for p in shares for f in (F.floor, F.ceil)]
+    by_range = by_range.withColumn("ranks", F.filter(F.array_distinct(F.array(*ranks)), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("here")))).where(F.size("ranks") > 0)
+    renamed = by_range.select(*(F.col(c).alias(f"{c}of") for c in names), F.col("range").alias("range of"), "before", "all", "ranks")
+    on = F.col("range") == F.col("range of")
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}of"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*names, "range").orderBy("v"))
+    found = counted.join(renamed, on).withColumn("upto", upto)
+    at = found.withColumn("rank", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))).select(*names, "all", "rank", "v")
+
+    def value(p: float, f):
+        return F.max(F.when(F.col("rank") == f(F.lit(p) * (F.col("all") - 1)).cast("long"), F.col("v")))
+
+    def between(p: float):
+        a, b, place = value(p, F.floor), value(p, F.ceil), F.lit(p) * (F.max("all") - 1)
+        return F.when(a == b, a).otherwise(a + (b - a) * (place - F.floor(place)))
+
+    out = at.groupBy(*names).agg(*(between(p).alias(f"q{k}") for k, p in enumerate(shares)))
+    keys = values.select(*names).distinct().select(*(F.col(c).alias(f"{c}of") for c in names))
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}of"))
+    return keys.join(out, on, "left").select(*(F.col(f"{c}of").alias(g) for c, g in zip(names, by, strict=True)), *(f"q{k}" for k in range(len(shares))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -68,6 +70,50 @@ def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*facts).select(F.inline(rows))
 
 
+@dataclass
+class Components:
+    """Principal components fitted on a table: what fills a column, its center and spread, and a column of loadings for each component."""
+
+    columns: list[str]
+    fill: list[float]
+    center: list[float]
+    spread: list[float]
+    loadings: np.ndarray
+    variances: np.ndarray
+
+    def standardised(self, df: DataFrame) -> DataFrame:
+        """``df`` with missing values of the columns filled and all standardised, as in the fit."""
+        facts = zip(self.columns, self.fill, self.center, self.spread, strict=True)
+        return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(f).cast("double")) - F.lit(m)) / F.lit(s) for c, f, m, s in facts})
+
+    def rows(self, df: DataFrame, n: int) -> DataFrame:
+        """``df`` with PC1 to PCn in place of the columns."""
+        parts = {f"PC{k + 1}": sum((F.col(c) * float(self.loadings[i, k]) for i, c in enumerate(self.columns)), F.lit(0.0)) for k in range(min(n, len(self.columns)))}
+        return self.standardised(df).withColumns(parts).drop(*self.columns)
+
+
+def component_fit(df: DataFrame, columns: list[str]) -> Components:
+    """Components of the standardised ``columns``, missing values mean-filled; each one's largest loading is positive.
+
+    Only sums over the columns and their products come to the driver, in two aggregations.
+    """
+    numbers = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    fill = [0.0 if x is None else float(x) for x in numbers.agg(*(F.avg(c) for c in columns)).first()]
+    filled = numbers.select(*(F.coalesce(c, F.lit(f)).alias(c) for c, f in zip(columns, fill, strict=True)))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    facts = filled.agg(*(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns), *(F.covar_pop(columns[i], columns[j]) for i, j in pairs)).first()
+    n = len(columns)
+    center, spread = [float(x or 0.0) for x in facts[:n]], [float(x or 1.0) or 1.0 for x in facts[n : 2 * n]]
+    matrix = np.zeros((n, n))
+    for k, (i, j) in enumerate(pairs):
+        matrix[i, j] = matrix[j, i] = (facts[2 * n + k] or 0.0) / spread[i] / spread[j]
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(-values)
+    values, vectors = values[order], vectors[:, order]
+    vectors *= np.sign(vectors[np.abs(vectors).argmax(0), np.arange(n)])
+    return Components(columns, fill, center, spread, vectors, values)
+
+
 def principal_components(df: DataFrame, columns: list[str], keep: int | float) -> tuple[DataFrame, DataFrame]:
     """(rows with PC1.. in place of ``columns``, scree table).
 
@@ -75,25 +121,11 @@ def principal_components(df: DataFrame, columns: list[str], keep: int | float) -
     share of variance that they must exceed. Each component's largest loading is positive. Only the
     covariances of the columns are solved on the driver.
     """
-    means = df.agg(*(F.avg(c).alias(f"{c}\x00m") for c in columns), *(F.coalesce(F.nullif(F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), F.lit(0.0)), F.lit(1.0)).alias(f"{c}\x00z") for c in columns))
-    filled = with_row_of(df, means).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}\x00m")) for c in columns}).select(*df.columns)
-    spread = filled.agg(*(F.avg(c).alias(f"{c}\x00m") for c in columns), *(F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"{c}\x00s") for c in columns))
-    z = with_row_of(filled, spread).withColumns({c: (F.col(c) - F.col(f"{c}\x00m")) / F.col(f"{c}\x00s") for c in columns}).select(*df.columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    found = z.agg(*(F.covar_pop(a, b).alias(f"v{k}") for k, (a, b) in enumerate(pairs))).first()
-    matrix = np.zeros((len(columns), len(columns)))
-    for k, (a, b) in enumerate(pairs):
-        i, j = columns.index(a), columns.index(b)
-        matrix[i, j] = matrix[j, i] = found[f"v{k}"] or 0.0
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(-values)
-    values, vectors = values[order], vectors[:, order]
-    vectors *= np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(columns))])
-    ratio = values / values.sum()
+    fit = component_fit(df, columns)
+    ratio = fit.variances / fit.variances.sum()
     n = int(keep) if keep >= 1 else int(np.searchsorted(np.cumsum(ratio), keep, "right")) + 1
-    parts = {f"PC{k + 1}": sum((F.col(c) * float(vectors[i, k]) for i, c in enumerate(columns)), F.lit(0.0)) for k in range(min(n, len(columns)))}
-    scree = df.sparkSession.createDataFrame([(f"PC{k + 1}", float(v), float(r), float(s)) for k, (v, r, s) in enumerate(zip(values, ratio, np.cumsum(ratio), strict=True))], "component string, variance double, ratio double, cumulative double")
-    return z.withColumns(parts).drop(*columns), scree
+    scree = df.sparkSession.createDataFrame([(f"PC{k + 1}", float(v), float(r), float(s)) for k, (v, r, s) in enumerate(zip(fit.variances, ratio, np.cumsum(ratio), strict=True))], "component string, variance double, ratio double, cumulative double")
+    return fit.rows(df, n), scree
 
 
 def feature_table(df: DataFrame, key: str) -> DataFrame:

@@ -325,8 +325,10 @@ def d03_in_domain(spark, sf_dir):
 
 @query()
 def d01_hull(spark, sf_dir):
-    p = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return p.withColumn("inside", domain.inside(F.col("x"), F.col("y"), domain.hull(p, "x", "y")))
+    """Each twentieth vector against the hull of all others in the plane of their first two components, of all 64 columns."""
+    x = [f"x{i}" for i in range(64)]
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(x)))
+    return rounded(domain.component_domain(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), x))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0")

@@ -45,3 +45,42 @@ def test_no_cross_join(spark, capsys):
     domain.in_domain(df, df, "k", "v").explain()
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def plain_hull(points):
+    """Corners by trying every pair of points: one is an edge if all others lie on its left."""
+    points = sorted(set(points))
+    turn = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    out = set()
+    for a in points:
+        for b in points:
+            if a != b and all(turn(a, b, p) > 0 or (turn(a, b, p) == 0 and min(a, b) <= p <= max(a, b)) for p in points):
+                out |= {a, b}
+    return out
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 40])
+def test_hull_of_hulls(spark, tasks):
+    rng = np.random.default_rng(tasks)
+    points = [(float(a), float(b)) for a, b in rng.integers(-9, 10, (80, 2))]
+    df = spark.createDataFrame([*points, *points[:9], (None, 1.0), (float("nan"), 99.0), (float("inf"), 0.0)], "x double, y double").repartition(tasks)
+    corners = domain.hull(df, "x", "y")
+    assert set(corners) == plain_hull(points) and len(corners) == len(set(corners))
+    assert domain.hull(df.where("x = 1"), "x", "y") == [] and domain.hull(df.limit(0), "x", "y") == []
+
+
+def test_component_domain(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 5
+    new = np.concatenate([x[:20] * 0.9, x[20:40] + 9])
+    frame = lambda a: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], ["id", "a", "b", "c", "d"])
+    got = {r.id: r for r in domain.component_domain(frame(x), frame(new), ["a", "b", "c", "d"]).collect()}
+    z, w = (x - x.mean(0)) / x.std(0), (new - x.mean(0)) / x.std(0)
+    _, _, axes = np.linalg.svd(z - z.mean(0), full_matrices=False)
+    plane, asked = z @ axes[:2].T, w @ axes[:2].T
+    corners = sorted(plain_hull([tuple(p) for p in plane.tolist()]), key=lambda p: np.arctan2(p[1], p[0]))
+    for i, p in enumerate(asked):
+        want = all((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) >= 0 for a, b in zip(corners, corners[1:] + corners[:1], strict=True))
+        assert got[i].in_domain == want and abs(got[i].PC1) == pytest.approx(abs(p[0])) and abs(got[i].PC2) == pytest.approx(abs(p[1]))
+    assert {r.in_domain for r in got.values()} == {True, False}
+    assert domain.component_domain(frame(x[:2]), frame(new), ["a", "b", "c", "d"]).where("not in_domain").count() == 0
