@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, block_pairs
 from .clean import with_row_of
 from .quantiles import quantiles
 from .select import assembled
 
+#: Distances that one pass over two blocks holds.
+PASS = 1 << 20
+
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled to [0, 1]; flat ones become 0."""
@@ -19,20 +25,76 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     return with_row_of(df, facts).withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}\x00a"), F.col(f"{c}\x00b") - F.col(f"{c}\x00a")), F.lit(0.0)) for c in columns}).select(*df.columns)
 
 
-def cluster(df: DataFrame, columns: list[str], k: int | None = None, most: int = 15, seed: int = 42, name: str = "Cluster_Label") -> tuple[DataFrame, int]:
-    """(``df`` with a label, k): rows with a missing feature get -1 (C15). Without ``k`` the best silhouette decides."""
+def _distance_sums(counts: list[int]):
+    """Of two blocks: for each left point and labelling, the summed distances to the right points of each label."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (np.stack(t.column("v").to_numpy(zero_copy_only=False)).astype(float) if t.num_rows else np.zeros((0, 0)) for t in (left, right))
+        out: dict[str, list] = {"v": [], "choice": [], "label": [], "total": []}
+        if len(x) and len(y):
+            labels, weight = np.stack(right.column("labels").to_numpy(zero_copy_only=False)), right.column("n").to_numpy().astype(float)
+            shares = [np.where(labels[:, c][:, None] == np.arange(k), weight[:, None], 0.0) for c, k in enumerate(counts)]
+            step = max(1, PASS // len(y))
+            totals = np.zeros((len(x), sum(counts)))
+            for at in range(0, len(x), step):
+                away = np.zeros((len(x[at : at + step]), len(y)))
+                for j in range(x.shape[1]):
+                    away += (x[at : at + step, j][:, None] - y[:, j]) ** 2
+                totals[at : at + step] = np.sqrt(away) @ np.hstack(shares)
+            choice, label = (np.concatenate(z) for z in zip(*((np.full(k, c), np.arange(k)) for c, k in enumerate(counts)), strict=True))
+            out = {"v": left.column("v").take(pa.array(np.repeat(np.arange(len(x)), len(choice)))), "choice": np.tile(choice, len(x)).astype(np.int32), "label": np.tile(label, len(x)).astype(np.int32), "total": totals.ravel()}
+        return pa.table(out, schema=pa.schema([("v", pa.list_(pa.float64())), ("choice", pa.int32()), ("label", pa.int32()), ("total", pa.float64())]))
+
+    return run
+
+
+def silhouettes(points: DataFrame, counts: list[int], block: int = BLOCK) -> dict[int, float]:
+    """The mean Euclidean silhouette of each labelling of ``points`` (v array<double>, labels array<int>, a label from 0 to counts[c] - 1 each).
+
+    Of a point: (b - a) / max(a, b), a its mean distance to the others of its label, b the least mean distance to another label's; 0 if it is alone. All pairs of
+    points count, so blocks of points meet each other once, for all labellings; equal points are one with a weight.
+    """
+    distinct = points.groupBy("v", "labels").agg(F.count("*").alias("n")).cache()
+    sums = block_pairs(distinct.groupBy(F.col("v").alias("v")).agg(F.max("n").alias("n")), distinct, ["v"], ["v"], _distance_sums(counts), "v array<double>, choice int, label int, total double", block)
+    sums = sums.groupBy("v", "choice", "label").agg(F.sum("total").alias("total"))
+    own = distinct.select("v", "n", F.posexplode("labels").alias("choice", "mine")).groupBy("v", "choice", "mine").agg(F.sum("n").alias("n"))
+    sizes = own.groupBy("choice", F.col("mine").alias("label")).agg(F.sum("n").alias("size"))
+    own = own.toDF("point", "of choice", "mine", "n")
+    both = sums.join(F.broadcast(sizes), ["choice", "label"]).join(own, (F.col("v") == F.col("point")) & (F.col("choice") == F.col("of choice")))
+    here = F.col("label") == F.col("mine")
+    a = F.max(F.when(here, F.try_divide("total", F.col("size") - 1)))
+    b = F.min(F.when(~here, F.col("total") / F.col("size")))
+    each = both.groupBy("v", "choice", "mine", "n").agg(a.alias("a"), b.alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    found = {r["choice"]: r["s"] for r in each.groupBy("choice").agg((F.sum(value * F.col("n")) / F.sum("n")).alias("s")).collect()}
+    distinct.unpersist()
+    return found
+
+
+def cluster(df: DataFrame, columns: list[str], k: int | None = None, most: int = 15, seed: int = 42, name: str = "Cluster_Label", judge: str = "euclidean") -> tuple[DataFrame, int]:
+    """(``df`` with a label, k): rows with a missing feature get -1 (C15). Without ``k`` the best silhouette of 2 to ``most`` clusters decides.
+
+    ``judge``: ``euclidean`` compares all pairs of rows, in blocks, once for all numbers of clusters; ``squared`` takes Spark's silhouette of squared distances, which needs
+    one pass over the rows a number and suits large tables.
+    """
     there = " and ".join(f"`{c}` is not null" for c in columns)
     full = df.where(there)
     scaled = min_max(full.withColumns({f"x\x00{c}": F.col(c).cast("double") for c in columns}), [f"x\x00{c}" for c in columns])
     data = assembled(scaled, [f"x\x00{c}" for c in columns], "v\x00").cache()
     n = data.count()
-    judge = ClusteringEvaluator(featuresCol="v\x00", predictionCol=name)
-    tried = {}
-    for c in [max(2, min(k, n - 1))] if k else range(2, max(3, min(most + 1, n))):
-        model = KMeans(k=c, seed=seed, featuresCol="v\x00", predictionCol=name).fit(data)
-        tried[c] = (judge.evaluate(model.transform(data)) if k is None else 0.0, model)
-    best = max(tried, key=lambda c: (tried[c][0], -c))
-    labelled = tried[best][1].transform(data).select(*df.columns, name)
+    models = {c: KMeans(k=c, seed=seed, featuresCol="v\x00", predictionCol=f"label\x00{c}").fit(data) for c in ([max(2, min(k, n - 1))] if k else range(2, max(3, min(most + 1, n))))}
+    best = next(iter(models))
+    if len(models) > 1 and judge == "euclidean":
+        labelled = data.select("v\x00")
+        for m in models.values():
+            labelled = m.transform(labelled)
+        labels = F.array(*(F.col(f"label\x00{c}") for c in models))
+        found = silhouettes(labelled.select(vector_to_array("v\x00").alias("v"), labels.alias("labels")), [m.getK() for m in models.values()])
+        best = max(models, key=lambda c: (found[list(models).index(c)], -c))
+    elif len(models) > 1:
+        tried = {c: ClusteringEvaluator(featuresCol="v\x00", predictionCol=f"label\x00{c}").evaluate(m.transform(data)) for c, m in models.items()}
+        best = max(tried, key=lambda c: (tried[c], -c))
+    labelled = models[best].transform(data).select(*df.columns, F.col(f"label\x00{best}").alias(name))
     return labelled.unionByName(df.where(f"not coalesce({there}, false)").withColumn(name, F.lit(-1))), best
 
 

@@ -7,6 +7,7 @@ libraries that aren't installed say so instead of standing in for one another.
 
 from __future__ import annotations
 
+import functools
 import importlib.util
 import math
 from dataclasses import dataclass, field
@@ -294,49 +295,68 @@ def train(df: DataFrame, columns: list[str], target: str, key: str, model: str =
     return fitted, seen[1], both
 
 
-def cross_validate(df: DataFrame, columns: list[str], target: str, key: str, model: str = "ridge", k: int = 5, seed: int = 42, stratum: str | None = None, group: str | None = None, fold: str | None = None, **params) -> tuple[DataFrame, DataFrame]:
+def _all(parts) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def cross_validate(df: DataFrame, columns: list[str], target: str, key: str, model: str = "ridge", k: int = 5, seed: int = 42, stratum: str | None = None, group: str | None = None, fold: str | None = None, repeats: int = 1, **params) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold predictions, scores by fold).
 
     Folds go by hash of ``key``, within each ``stratum`` where one is named; by whole groups of ``group``;
-    or they are given in the column ``fold``.
+    or they are given in the column ``fold``. With ``repeats`` folds are dealt anew each time, with the next seed: predictions and scores have a column
+    ``repeat`` beside ``fold``, and a row's predictions may be averaged by ``splits.out_of_fold``.
     """
-    rows = df.where(F.col(target).isNotNull())
+    rows, places = df.where(F.col(target).isNotNull()), ["repeat", "fold"] if repeats > 1 else ["fold"]
     if fold is not None:
         rows = rows.withColumn("fold", F.col(fold).cast("int"))
-        numbers = sorted(r[0] for r in rows.select("fold").distinct().collect())
+        rows = _all((rows.withColumn("repeat", F.lit(r)) for r in range(repeats))) if repeats > 1 else rows
     else:
-        rows, numbers = group_folds(rows, group, k, seed) if group else folds(rows, key, k, seed, stratum), range(k)
-    rows, out = rows.cache(), None
+        dealt = [group_folds(rows, group, k, seed + r) if group else folds(rows, key, k, seed + r, stratum) for r in range(repeats)]
+        rows = _all((d.withColumn("repeat", F.lit(r)) for r, d in enumerate(dealt))) if repeats > 1 else dealt[0]
+    rows, out = rows.cache(), []
+    numbers = sorted(tuple(r) for r in rows.select(*places).distinct().collect())
     for number in numbers:
-        inner, outer = rows.where(F.col("fold") != number), rows.where(F.col("fold") == number)
+        inner, outer = rows.where(F.col("fold") != number[-1]), rows.where(F.col("fold") == number[-1])
+        if repeats > 1:
+            inner, outer = (side.where(F.col("repeat") == number[0]) for side in (inner, outer))
         a, b = (assembled(standardise(inner, columns, s), columns) for s in (inner, outer))
-        seen = make(model, a, target, seed=seed, **params).fit(a).transform(b).select(key, "fold", target, PREDICTION)
-        out = seen if out is None else out.unionByName(seen)
-    return out, scores(out, target, PREDICTION, ["fold"])
+        out.append(make(model, a, target, seed=seed, **params).fit(a).transform(b).select(key, *places, target, PREDICTION))
+    seen = _all(out)
+    return seen, scores(seen, target, PREDICTION, places)
 
 
 def eliminate_validated(df: DataFrame, columns: list[str], target: str, key: str, model: str = "linear", k: int = 5, least: int = 1, metric: str = "r2", seed: int = 42, **params) -> tuple[DataFrame, DataFrame]:
     """Recursive elimination with the number of features by cross-validation.
 
-    ((column, ranking): kept ones have 1; (n_features, score): mean over folds for each number of features).
-    The lightest feature of a fit on standardised columns goes each time; equal scores keep fewer features.
+    ((column, ranking): kept ones have 1; (n_features, score): mean over folds for each number of features). Each fold eliminates for itself, on the rows outside it, and scores
+    every number of features on its own rows; the best mean counts, of equal ones the fewer features. The features kept are then those of an elimination on all rows.
+    The lightest feature of a fit on standardised columns goes each time.
     """
 
-    def weights(d: DataFrame, left: list[str], y: str):
+    def fitted(d: DataFrame, left: list[str], y: str):
         z = assembled(standardise(d, left), left)
-        fitted = make(model, z, y, seed=seed, **params).fit(z)
-        return (fitted.coefficients if hasattr(fitted, "coefficients") else fitted.featureImportances).toArray()
-
-    ranking = {r["column"]: r["ranking"] for r in eliminate(df, columns, target, weights, keep=1).collect()}
-    tried = {}
-    for n in range(least, len(columns) + 1):
-        kept = [c for c in columns if ranking[c] <= n]
-        _, by_fold = cross_validate(df, kept, target, key, model, k, seed, **params)
-        tried[n] = by_fold.agg(F.avg(metric)).first()[0] * (1 if metric == "r2" else -1)
-    best = max(tried, key=lambda n: (tried[n], -n))
-    spark = df.sparkSession
-    table = spark.createDataFrame([(c, max(1, ranking[c] - best + 1)) for c in columns], "column string, ranking int")
-    return table, spark.createDataFrame([(n, float(s)) for n, s in tried.items()], "n_features int, score double")
+        return make(model, z, y, seed=seed, **params).fit(z)
+
+    def weights_of(m) -> np.ndarray:
+        return np.abs((m.coefficients if hasattr(m, "coefficients") else m.featureImportances).toArray())
+
+    rows = folds(df.where(F.col(target).isNotNull()), key, k, seed).cache()
+    tried: dict[int, list[float]] = {}
+    for number in range(k):
+        inner, outer, left = rows.where(F.col("fold") != number), rows.where(F.col("fold") == number), list(columns)
+        while True:
+            m = fitted(inner, left, target)
+            score = scores(m.transform(assembled(standardise(inner, left, outer), left)), target, PREDICTION).first()[metric]
+            tried.setdefault(len(left), []).append(-math.inf if score is None else score if metric == "r2" else -score)
+            if len(left) <= max(1, least):
+                break
+            weights = weights_of(m)
+            del left[min(range(len(left)), key=lambda i: (weights[i], left[i]))]
+    rows.unpersist()
+    means = {n: float(np.mean(s)) for n, s in tried.items()}
+    best = max(means, key=lambda n: (means[n], -n))
+    ranking = eliminate(df, columns, target, lambda d, left, y: weights_of(fitted(d, left, y)), keep=best)
+    return ranking, df.sparkSession.createDataFrame(sorted(means.items()), "n_features int, score double")
 
 
 def learning_curve(df: DataFrame, test: DataFrame, columns: list[str], target: str, key: str, sizes: list[int], model: str = "ridge", **params) -> DataFrame:

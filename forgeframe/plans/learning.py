@@ -51,10 +51,25 @@ def x04_elimination(spark, sf_dir):
     return select.eliminate(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice", _linear_weights, keep=1)
 
 
-@query("SELECT * FROM (VALUES ('l_quantity', 1), ('l_linenumber', 2)) t(\"column\", ranking)")
+def _two_lines_sql() -> str:
+    """Elimination of one of two features (a, b) in each of three folds: by the larger weight of a fit on standardised features, scored with both and with one; then on all rows."""
+    fit = "regr_count(y, a) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS vaa, var_pop(b) AS vbb, covar_pop(a, b) AS vab, covar_pop(a, y) AS vay, covar_pop(b, y) AS vby"
+    slopes = "(vay * vbb - vby * vab) / (vaa * vbb - vab * vab) AS sa, (vby * vaa - vay * vab) / (vaa * vbb - vab * vab) AS sb, vay / vaa AS a1, vby / vbb AS b1"
+    return (
+        "WITH l AS (SELECT l_quantity AS a, l_linenumber::DOUBLE AS b, l_extendedprice AS y, ((row_number() OVER (ORDER BY md5('42:' || key), key) - 1) % 3) AS fold FROM "
+        "(SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS key FROM lineitem)), "
+        f"f AS (SELECT k.fold, {fit} FROM l, (SELECT DISTINCT fold FROM l) k WHERE l.fold <> k.fold GROUP BY 1), g AS (SELECT *, {slopes} FROM f), h AS (SELECT *, abs(sa) * sqrt(vaa) > abs(sb) * sqrt(vbb) AS keep_a FROM g), "
+        "s AS (SELECT fold, 1 - sum(pow(y - my - sa * (a - ma) - sb * (b - mb), 2)) / (var_pop(y) * count(*)) AS two, 1 - sum(pow(y - my - CASE WHEN keep_a THEN a1 * (a - ma) ELSE b1 * (b - mb) END, 2)) / (var_pop(y) * count(*)) AS one FROM l JOIN h USING (fold) GROUP BY 1), "
+        f"w AS (SELECT {slopes}, vaa, vbb FROM (SELECT {fit} FROM l)), t AS (SELECT avg(two) > avg(one) AS keep_both, any_value(abs(sa) * sqrt(vaa) > abs(sb) * sqrt(vbb)) AS keep_a FROM s, w) "
+        "SELECT 'l_quantity' AS \"column\", CASE WHEN keep_both OR keep_a THEN 1 ELSE 2 END AS ranking FROM t UNION ALL SELECT 'l_linenumber', CASE WHEN keep_both OR NOT keep_a THEN 1 ELSE 2 END FROM t"
+    )
+
+
+@query(_two_lines_sql())
 def x04_elimination_by_validation(spark, sf_dir):
-    """The number of features by cross-validation: the quantity makes the price, the line's number says nothing."""
-    lines = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_linenumber").cast("double").alias("l_linenumber"), "l_extendedprice", F.concat_ws("-", *LINE_KEYS, "l_quantity", "l_extendedprice").alias("key"))
+    """The number of features by cross-validation, each fold eliminating for itself."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("key", F.concat_ws("-", *LINE_KEYS, F.round(F.col("l_extendedprice") * 100).cast("long")))
+    lines = lines.select("l_quantity", F.col("l_linenumber").cast("double").alias("l_linenumber"), "l_extendedprice", "key")
     ranking, _ = models.eliminate_validated(lines, ["l_quantity", "l_linenumber"], "l_extendedprice", "key", "linear", k=3)
     return ranking
 
@@ -228,6 +243,18 @@ def m06_group_validation(spark, sf_dir):
     return rounded(by_fold, 4)
 
 
+def _repeated_sql(repeat: int) -> str:
+    part = _folds_sql(f"((row_number() OVER (ORDER BY md5('{42 + repeat}:' || o_orderkey::VARCHAR), o_orderkey) - 1) % 3)::INTEGER")
+    return f"SELECT {repeat} AS repeat, * FROM ({part})"
+
+
+@query(_repeated_sql(0) + " UNION ALL " + _repeated_sql(1))
+def m06_repeated_validation(spark, sf_dir):
+    """Two repeats of three folds."""
+    _, by_fold = models.cross_validate(_orders(spark, sf_dir), ["month"], "o_totalprice", "o_orderkey", "linear", 3, repeats=2)
+    return rounded(by_fold, 4)
+
+
 @query("SELECT o_custkey, count(DISTINCT o_custkey) AS folds FROM orders GROUP BY 1")
 def m06_group_folds(spark, sf_dir):
     """Each customer lies in one fold."""
