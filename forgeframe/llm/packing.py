@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .batches import map_batches
 from .lsh import small
-from .storage import staged
+from .storage import ranges, staged
 from .textops import runs
 from .tokenize import RUN_BYTES, encoder
 
@@ -121,7 +121,7 @@ def packed(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     Other columns stay; own columns sequence_id and offset are replaced. Empty table: no rows.
     """
     spark: SparkSession = cut.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = ranges(cut)
     names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
     salted = cut.select("length", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).alias("salt"), F.struct(*names).alias("piece"))
     counts = staged(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "length-counts")

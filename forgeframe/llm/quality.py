@@ -26,7 +26,7 @@ CELL_BITS = 18
 CELLS = 1 << CELL_BITS
 #: Features whose log odds are so many standard errors from 0 are weighed, this many at most, the surest first.
 SURE, WEIGHED = 3.0, 4096
-#: The weights are fitted on this many labelled documents at most (those of the smallest hash of doc_id).
+#: The weights are fitted on this many labelled rows at most (those of the smallest hashes of doc_id; any of them, where ids repeat).
 SAMPLE = 10_000
 RIDGE, STEPS, RATE = 1.0, 300, 0.05
 #: Calibration sees evidence in bins of a tenth, cut off at +-60.
@@ -127,7 +127,7 @@ def fit_evidence(labelled: DataFrame) -> Evidence:
         chosen.append(best[z[best] > SURE])
     cells = np.unique(np.concatenate(chosen))
     picked = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    sample = map_batches(labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("text", *TARGETS), _of_cells(cells), "cells array<int>, quality int, toxic int").toArrow()
+    sample = map_batches(labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("text", *TARGETS), _of_cells(cells), "cells array<int>, quality int, toxic int").limit(SAMPLE).toArrow()
     out = np.zeros((len(TARGETS), CELLS))
     lists = sample.column("cells").combine_chunks() if len(sample) else pa.array([], pa.list_(pa.int32()))
     row, column = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import ranges, staged
 
 SHARDS = 16
 
@@ -26,8 +26,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     slim = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.monotonically_increasing_id().alias("nth"))
     slim = staged(slim, "sizes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = staged(slim.repartitionByRange(parts, "doc_id", "nth").withColumn("part", F.spark_partition_id()), "ordered")
+    ordered = staged(slim.repartitionByRange(ranges(slim), "doc_id", "nth").withColumn("part", F.spark_partition_id()), "ordered")
     within = Window.partitionBy("part").orderBy("doc_id", "nth")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -2,7 +2,8 @@
 
 A step that is read more than once, or that ends a loop's lineage, is written as Parquet under
 ``spark.checkpoint.dir`` and read again, so a lost executor costs a re-read and never a re-run.
-Operators release the tables that their result doesn't read.
+Operators release the tables that their result doesn't read; those that it does read are deleted at the
+end of the ``scope`` that they were made in, or else with the application.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,11 @@ from pyspark.sql import types as T
 #: Folder by application, for local sessions that name none (tests on one machine).
 _own_folders: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Folders that go with their application, and the paths made in each open scope.
+_passing: set[str] = set()
+_scopes: list[list[str]] = []
+#: Bytes, as a table's files have them, of one range of rows in order; most ranges.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +41,43 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/forgeframe/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder of the shared one, which is deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/forgeframe/{spark.sparkContext.applicationId}"
+    if folder not in _passing:
+        _passing.add(folder)
+        system, place = _place(spark, folder)
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes all tables that are staged inside it at its end, also those that results read: write these inside."""
+    _scopes.append(paths := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            system, place = _place(spark, path)
+            system.delete(place, True)
+
+
+def ranges(df: DataFrame) -> int:
+    """How many ranges to deal the rows of ``df``, a table as it is read, to: the session's number of shuffle partitions, or more where its files' bytes need more."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -68,8 +111,7 @@ def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
         return docs.withColumn(name, F.col("doc_id").cast("long"))
     nth = free_names(docs.withColumn(name, F.lit(0)), "nth")[0]
     order = [F.col("doc_id").asc_nulls_last(), F.col(nth)]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.withColumn(nth, F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = docs.withColumn(nth, F.monotonically_increasing_id()).repartitionByRange(ranges(docs), *order).sortWithinPartitions(*order)
     return staged(ordered.withColumn(name, F.monotonically_increasing_id()).drop(nth), "numbered")
 
 
@@ -78,6 +120,5 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = _paths.pop(df, None)
         if path is not None:
-            jvm = df.sparkSession._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+            system, place = _place(df.sparkSession, path)
+            system.delete(place, True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import map_batches
-from .storage import staged
+from .storage import ranges, staged
 from .textops import runs
 from .tokenize import RUN_BYTES, encoder
 
@@ -113,8 +113,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
     content = train(_sample(docs, path, width))
     name = hashlib.sha256(content).hexdigest()
     spark.createDataFrame(pa.table({"hash": [name], "content": pa.array([content], pa.binary())})).write.parquet(f"{folder}/dictionary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "nth").sortWithinPartitions("doc_id", "nth")
+    ordered = docs.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(ranges(docs), "doc_id", "nth").sortWithinPartitions("doc_id", "nth")
     map_batches(ordered.select("doc_id", "text"), _written(path, content, name, width), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
