@@ -154,18 +154,17 @@ def sampled_shapley(df: DataFrame, columns: list[str], key: str, predict, orders
     """(key, column, value): Shapley values from random column orders against the column means.
 
     Every row is explained; each order puts the row's values in place of the means one by one, and all
-    those variants are predicted in one pass.
+    those variants, a row each, are predicted in one pass.
     """
     rng = np.random.default_rng(seed)
     means = df.agg(*(F.avg(c).alias(f"{c}\x00") for c in columns))
-    both = with_row_of(df.select(key, *columns), means)
-    variants = []
-    for o in range(orders):
-        order = [columns[i] for i in rng.permutation(len(columns))]
-        for step in range(len(order) + 1):
-            on = set(order[:step])
-            variants.append(F.struct(F.lit(o).alias("order"), F.lit(step).alias("step"), F.lit(order[step - 1] if step else "").alias("column"), *[F.col(c if c in on else f"{c}\x00").cast("double").alias(c) for c in columns]))
-    many = both.select(key, F.explode(F.array(*variants)).alias("v")).select(key, "v.*")
+    places = [rng.permutation(len(columns)).tolist() for _ in range(orders)]
+    both = with_row_of(df.select(key, *columns), means).withColumn("order", F.explode(F.array(*map(F.lit, range(orders)))))
+    many = both.withColumn("step", F.explode(F.array(*map(F.lit, range(len(columns) + 1)))))
+    # The step at which each column's own value comes, by order.
+    at = {c: F.get(F.array(*(F.lit(order.index(i) + 1) for order in places)), F.col("order")) for i, c in enumerate(columns)}
+    names = F.array(*(F.array(*(F.lit(columns[i]) for i in order)) for order in places))
+    many = many.select(key, "order", "step", F.when(F.col("step") > 0, F.get(F.get(names, F.col("order")), F.col("step") - 1)).alias("column"), *(F.when(at[c] <= F.col("step"), F.col(c)).otherwise(F.col(f"{c}\x00")).cast("double").alias(c) for c in columns))
     before = F.expr(f"lag(prediction) OVER (PARTITION BY `{key}`, `order` ORDER BY step)")
     gains = predict(many).withColumn("gain", F.col("prediction") - before).where("step > 0")
     return gains.groupBy(key, "column").agg(F.avg("gain").alias("value"))

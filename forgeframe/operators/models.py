@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.physics import glass_transition
+from ..staging import checkpointed
 from .metrics import scores, standardise
 from .select import assembled, eliminate
 from .splits import folds, group_folds, nested_prefixes, random_split
@@ -90,7 +91,10 @@ def make(name: str, df: DataFrame, target: str, **params):
 
 @dataclass
 class AdaBoost:
-    """AdaBoost.R2 with linear loss over weighted trees; the prediction is their weighted median."""
+    """AdaBoost.R2 with linear loss over weighted trees; the prediction is their weighted median.
+
+    A round's weights are written and read again, so no plan grows by its trees.
+    """
 
     target: str
     rounds: int = 10
@@ -99,16 +103,13 @@ class AdaBoost:
 
     def fit(self, df: DataFrame) -> AdaBoostModel:
         df = df.withColumn("weight\x00", F.lit(1.0))
-        trees, powers, before = [], [], None
+        trees, powers = [], []
         for r in range(self.rounds):
             tree = DecisionTreeRegressor(featuresCol=FEATURES, labelCol=self.target, weightCol="weight\x00", maxDepth=self.depth, seed=self.seed + r).fit(df)
-            seen = tree.transform(df).withColumn("loss\x00", F.abs(F.col(PREDICTION) - F.col(self.target))).drop(PREDICTION).cache()
+            seen = checkpointed(tree.transform(df).withColumn("loss\x00", F.abs(F.col(PREDICTION) - F.col(self.target))).drop(PREDICTION))
             most, total, lost = seen.agg(F.max("loss\x00"), F.sum("weight\x00"), F.sum(F.col("weight\x00") * F.col("loss\x00"))).first()
             mean = lost / total / most if most else 0.0
             trees.append(tree)
-            if before is not None:
-                before.unpersist()
-            before = seen
             if mean <= 0:
                 powers.append(1.0)
                 break
@@ -118,7 +119,6 @@ class AdaBoost:
             beta = mean / (1 - mean)
             powers.append(math.log(1 / beta))
             df = seen.withColumn("weight\x00", F.col("weight\x00") * F.pow(F.lit(beta), 1 - F.col("loss\x00") / most)).drop("loss\x00")
-        before.unpersist()
         return AdaBoostModel(trees, powers)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import canonical, domain, fingerprints, structures
+from ..operators import canonical, descriptors, domain, fingerprints, structures
 from .registry import query, rounded, table
 
 #: Frames with two places, A and B: text, atoms, rings, aromatic atoms, place of its class among the substrates (10: none), esters of it count as such, of its group (11: none).
@@ -26,7 +26,7 @@ def _rows(values: list[tuple]) -> str:
 
 COLUMNS = "k, text, atoms, rings, aromatic, substrate, ester, grp"
 MADE = (
-    f"f({COLUMNS}) AS (VALUES {_rows(FRAMES)}), s({COLUMNS}) AS (VALUES {_rows(SIDES)}), m AS (SELECT p_partkey, replace(replace(f.text, 'A', a.text), 'B', b.text) AS structure, "
+    f"f({COLUMNS}) AS (VALUES {_rows(FRAMES)}), s({COLUMNS}) AS (VALUES {_rows(SIDES)}), m AS (SELECT p_partkey, replace(replace(f.text, 'A', a.text), 'B', b.text) AS structure, f.k AS frame, a.k AS one, b.k AS two, "
     "f.atoms + a.atoms + b.atoms AS atoms, f.rings + a.rings + b.rings AS rings, f.aromatic + a.aromatic + b.aromatic AS aromatic, "
     "least(f.substrate, a.substrate, b.substrate, CASE WHEN f.ester AND (a.ester OR b.ester) THEN 5 ELSE 10 END) AS substrate, least(f.grp, a.grp, b.grp) AS grp "
     f"FROM part JOIN f ON f.k = p_partkey % {len(FRAMES)} JOIN s a ON a.k = p_size % {len(SIDES)} JOIN s b ON b.k = (p_partkey // {len(FRAMES)}) % {len(SIDES)})"
@@ -71,6 +71,25 @@ def f12_hydrogen_bonds(spark, sf_dir):
     return structures.bond_rows(made(spark, sf_dir), "p_partkey", "structure", hydrogens=True)
 
 
+#: Polar surfaces of the frames' and side groups' own atoms, in their order.
+SURFACES = [0, 0, 0, 0, 0, 0, 17.07, 0, 15.79, 24.06, 0, 34.14], [20.23, 26.02, 21.76, 43.37, 26.30, 26.30, 0, 12.03, 55.12, 0, 0, 0, 0, 0]
+
+
+@query(f"WITH {MADE} SELECT p_partkey, round({SURFACES[0]}[frame + 1] + {SURFACES[1]}[one + 1] + {SURFACES[1]}[two + 1], 4)::DOUBLE AS surface FROM m")
+def f08_polar_surface(spark, sf_dir):
+    """Surfaces of frames and side groups, added up by hand."""
+    out = made(spark, sf_dir).select("p_partkey", descriptors.polar_surface(structures.perceived(structures.molecular_graph(F.col("structure")))).alias("surface"))
+    return rounded(out, 4)
+
+
+@query()
+def f08_domain_features(spark, sf_dir):
+    """Each part's structure as a resin, with an amine as its hardener."""
+    amines = F.array(*map(F.lit, ["NCCN", "NCCNCCN", "NC1=CC=C(C=C1)CC2=CC=C(N)C=C2", "NCC1CCCC(CN)C1"]))
+    both = made(spark, sf_dir).withColumn("hardener", F.get(amines, (F.col("p_partkey") % 4).cast("int"))).withColumn("used", (F.col("p_partkey") % 50).cast("double"))
+    return rounded(descriptors.domain_features(both, "structure", "hardener", "used").drop("used"))
+
+
 @query()
 def f09_circular_fingerprint(spark, sf_dir):
     """The bits that are set of 2,048."""

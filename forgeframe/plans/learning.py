@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.predictions import KEY_NAMES, key_description, normal_prediction
 from ..operators import active, cluster, domain, explain, metrics, models, select, spanning, splits, structures, tuning
-from ..sources import files, images, records, runs, synthetic
+from ..sources import files, images, records, runs
 from .registry import query, rounded, table
 from .scalars import USERS, users
 
@@ -211,11 +211,6 @@ for _name, _params in (("elastic_net", {}), ("decision_tree", {}), ("random_fore
     _trained(_name, **_params)
 
 
-@query()
-def a00_available_models(spark, sf_dir):
-    return spark.createDataFrame(models.available_models(), "model string, available boolean, note string")
-
-
 def _folds_sql(fold: str) -> str:
     """Scores of a line fitted outside each fold."""
     return f"WITH o AS (SELECT o_orderkey, o_totalprice AS y, month(o_orderdate)::DOUBLE AS x, {fold} AS fold FROM orders), f AS (SELECT k.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM o, (SELECT DISTINCT fold FROM o) k WHERE o.fold <> k.fold GROUP BY 1) SELECT fold, round(1 - sum(pow(y - a * x - b, 2)) / (var_pop(y) * count(*)), 4) AS r2, round(sqrt(avg(pow(y - a * x - b, 2))), 4) AS rmse, round(avg(abs(y - a * x - b)), 4) AS mae FROM o JOIN f USING (fold) GROUP BY 1"
@@ -388,16 +383,6 @@ def c18_augment(spark, sf_dir):
     return cluster.augment(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], 500)
 
 
-@query()
-def s04_hybrid_example(spark, sf_dir):
-    return synthetic.hybrid(spark)
-
-
-@query()
-def s05_numeric_example(spark, sf_dir):
-    return synthetic.numeric(spark)
-
-
 @query("SELECT 'img/' || p_partkey || '.png' AS path, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE '<start> ' || p_name || ' <end>' END AS caption FROM part")
 def s08_captions(spark, sf_dir):
     from ..sources.files import captions
@@ -517,8 +502,3 @@ def t18_normal_predictions(spark, sf_dir):
     parts = F.when(kind == 1, F.array(part(F.col("p_name"), size / 50), part(F.lit("second"), F.lit(0.1)))).when(kind == 2, tokens)
     answer = normal_prediction(F.when(kind == 0, F.col("p_name")), F.when(kind == 0, size / 100), parts)
     return rounded(table(spark, sf_dir, "part").select("p_partkey", answer.alias("a")).select("p_partkey", "a.structure", "a.confidence"))
-
-
-@query()
-def capabilities(spark, sf_dir):
-    return structures.capability_table(spark)

@@ -18,7 +18,7 @@ def test_against_sql(spark, sf_dir, connection, name):
     same(QUERIES[name](spark, sf_dir), connection, SQL[name])
 
 
-@pytest.mark.parametrize("name", ["x05_principal_components", "f03_graph_features", "f11_spanning_lifetimes", "d01_hull", "l01_gaussian_process", "c18_augment", "a_mlp", "a_adaboost", "capabilities"])
+@pytest.mark.parametrize("name", ["x05_principal_components", "f03_graph_features", "f11_spanning_lifetimes", "d01_hull", "l01_gaussian_process", "c18_augment", "a_mlp", "a_adaboost", "f08_domain_features", "f12_hydrogen_bonds", "e01_forest_contributions"])
 def test_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
