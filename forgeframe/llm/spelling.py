@@ -26,8 +26,8 @@ from .textops import LOWER, ragged, runs, span_hashes, spans
 LEAST, OFTEN, TIMES = 6, 5, 5
 #: Bigrams joined: one more than an edit can spoil.
 PREFIX = 3
-#: Words that one task compares with as many others, code points of such a block, and pairs or code points of one pass.
-BLOCK, BLOCK_POINTS, PASS = 2048, 1 << 20, 1 << 21
+#: Words that one task compares with as many others, code points of such a block, pairs and code points of one pass.
+BLOCK, BLOCK_POINTS, PAIRS, PASS = 2048, 1 << 20, 1 << 17, 1 << 21
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = True
@@ -145,28 +145,50 @@ def one_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (begins & ends).any(1)
 
 
+def _ends(points: np.ndarray, of: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and of the last ``n`` code points of each word; equal points have equal hashes."""
+    weights = np.multiply.accumulate(np.full(max(1, int(n.max(initial=1))), 0x9E3779B97F4A7C15, np.uint64))
+    nth, word = ragged(n), np.repeat(np.arange(len(n)), n)
+    out = []
+    for at in (of[:-1][word] + nth, of[1:][word] - 1 - nth):
+        sums = np.r_[np.uint64(0), np.cumsum(points[at].astype(np.uint64) * weights[nth], dtype=np.uint64)]
+        to = np.cumsum(n)
+        out.append(sums[to] - sums[to - n])
+    return out[0], out[1]
+
+
 def _near_words(rows: pa.Table, of: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of near words of a cell, as (a, n_a, b, n_b): of its words of full length with each other, and with those shorter by one."""
+    """Pairs of near words of a cell, as (a, n_a, b, n_b): of its words of full length with each other, and with those shorter by one.
+
+    One edit leaves the first or the last half of the shorter word as it is, so only words of a cell that agree in one of them are compared, point by point.
+    A pair that agrees in both comes twice.
+    """
     points, word_of = _points(rows.column("word"))
-    size, block, low, high = np.diff(word_of), *(rows.column(c).to_numpy() for c in ("block", "low", "high"))
-    full = size == rows.column("dim").to_numpy()
-    partners = np.repeat(of[1:], np.diff(of)) - np.arange(len(size)) - 1
-    upto = np.r_[0, np.cumsum(partners * (size + 1))]
-    at = 0
+    size, block, low, high, dim = np.diff(word_of), *(rows.column(c).to_numpy() for c in ("block", "low", "high", "dim"))
+    full, alone, cell = size == dim, low == high, np.repeat(np.arange(len(of) - 1), np.diff(of))
     found: list[np.ndarray] = []
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PASS, "right")) - 1)
-        i = np.repeat(np.arange(at, to), partners[at:to])
-        j = i + 1 + ragged(partners[at:to])
-        met = (full[i] | full[j]) & ((low[i] == high[i]) | (block[i] != block[j]))
-        i, j = i[met], j[met]
-        i, j = np.where(size[i] >= size[j], i, j), np.where(size[i] >= size[j], j, i)
-        for m, n in set(zip(size[i].tolist(), size[j].tolist(), strict=True)):
-            these = (size[i] == m) & (size[j] == n)
-            x, y = i[these], j[these]
-            near = one_apart(points[word_of[x][:, None] + np.arange(m)], points[word_of[y][:, None] + np.arange(n)])
-            found.append(np.stack([x[near], y[near]]))
-        at = to
+    for half in _ends(points, word_of, (dim - 1).astype(np.int64) // 2):
+        order = np.lexsort((half, cell))
+        begins = np.flatnonzero(np.r_[True, (np.diff(cell[order]) != 0) | (np.diff(half[order]) != 0)])
+        sizes = np.diff(np.r_[begins, len(order)])
+        partners = np.repeat(begins + sizes, sizes) - np.arange(len(order)) - 1
+        upto = np.r_[0, np.cumsum(partners)]
+        at = 0
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+            i = np.repeat(np.arange(at, to), partners[at:to])
+            i, j = order[i], order[i + 1 + ragged(partners[at:to])]
+            met = np.flatnonzero((full[i] | full[j]) & (alone[i] | (block[i] != block[j])))
+            i, j = i[met], j[met]
+            i, j = np.where(size[i] >= size[j], i, j), np.where(size[i] >= size[j], j, i)
+            kinds = 2 * size[i] + (size[i] > size[j])
+            for kind in np.unique(kinds).tolist():
+                m, n, these = kind // 2, kind // 2 - kind % 2, np.flatnonzero(kinds == kind)
+                for part in range(0, len(these), max(1, PASS // m)):
+                    x, y = (side[these[part : part + max(1, PASS // m)]] for side in (i, j))
+                    near = one_apart(points[word_of[x][:, None] + np.arange(m)], points[word_of[y][:, None] + np.arange(n)])
+                    found.append(np.stack([x[near], y[near]]))
+            at = to
     pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     if pairs.shape[1]:
         columns = [rows.column(c).take(pa.array(side)) for side in pairs for c in ("word", "n")]
