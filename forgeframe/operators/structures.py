@@ -27,9 +27,9 @@ BRACKET = r"\[(\d*)([A-Za-z][a-z]?)(@*)(H\d*)?([+-]\d*|\++|-+)?(?::\d+)?\]"
 
 #: What each optional feature needs.
 NEEDS = {
-    "canonical structures": "rdkit", "2-D descriptors": "rdkit", "fingerprints": "rdkit", "3-D descriptors": "rdkit", "extended descriptors": "mordred",
+    "all 2-D descriptors": "rdkit", "3-D descriptors": "rdkit", "extended descriptors": "mordred",
     "language-model embeddings": "transformers", "force-field energies": "torchani", "graph networks": "torch_geometric", "higher homology": "ripser",
-    "image recognition": "tensorflow", "PDF pages": "fitz", "Excel files": "openpyxl", "XGBoost": "xgboost", "LightGBM": "lightgbm", "CatBoost": "catboost", "TabPFN": "tabpfn", "AutoGluon": "autogluon",
+    "image recognition": "tensorflow", "PDF pages": "fitz", "XGBoost": "xgboost", "LightGBM": "lightgbm", "CatBoost": "catboost", "TabPFN": "tabpfn", "AutoGluon": "autogluon",
 }
 
 

@@ -1,13 +1,12 @@
-"""Reading and writing tables: CSV, Excel where its reader is there, JSON, shards; images as bytes."""
+"""Reading and writing tables: CSV, Excel, JSON, shards; images as bytes."""
 
 from __future__ import annotations
 
-import importlib.util
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.profile import nan_to_null, numeric_columns, text_columns
+from .excel import read_excel
 
 #: Rows of one written shard of records, and of one written chunk of captions.
 RECORDS, CHUNK = 128, 26_800
@@ -18,11 +17,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith(".csv"):
         df = spark.read.option("header", True).option("inferSchema", True).option("nanValue", "nan").csv(path)
         return nan_to_null(df)
-    if importlib.util.find_spec("openpyxl") is None:
-        raise ValueError("Excel files can't be read: the package openpyxl is not installed")
-    import pandas as pd
-
-    return nan_to_null(spark.createDataFrame(pd.read_excel(path)))
+    return nan_to_null(read_excel(spark, path))
 
 
 def unique_names(df: DataFrame) -> DataFrame:
