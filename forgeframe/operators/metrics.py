@@ -52,12 +52,15 @@ def history_table(history: DataFrame) -> DataFrame:
     return rows.unionByName(squares).select((F.col("step") + 1).alias("step"), "name", "value")
 
 
-def model_history(model) -> list[float]:
-    """The recorded curve of a fitted model, by what it has."""
+def model_history(model, data: DataFrame | None = None) -> list[float]:
+    """The recorded curve of a fitted model, by what it has (M12): its own history, its summary's objective, or its losses.
+
+    Boosted trees keep none; with ``data`` (features and target) their mean squared error after each tree is measured on it in one pass.
+    """
     summary = model.summary if getattr(model, "hasSummary", False) else None
     for holder in (model, summary):
         for name in ("history", "objectiveHistory", "losses"):
             values = getattr(holder, name, None)
             if values is not None and not callable(values):
                 return list(map(float, values))
-    return []
+    return [float(v) for v in model.evaluateEachIteration(data, "squared")] if data is not None and hasattr(model, "evaluateEachIteration") else []

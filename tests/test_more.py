@@ -145,3 +145,20 @@ def test_gaussian_process(spark):
     far = assembled(spark.createDataFrame([(0.01, 0.02), (6.0, 0.0)], "x double, y double"), ["x"])
     out = active.gaussian_process(data, far, "y", length=1.0, noise=1e-3).orderBy("x").collect()
     assert out[0].al_mu == pytest.approx(0.02, abs=0.02) and out[1].al_sigma > 5 * out[0].al_sigma
+
+
+def test_history_of_boosted_trees(spark):
+    data = assembled(spark.range(80).select((F.col("id") % 9).cast("double").alias("x")).withColumn("y", F.col("x") * F.col("x")), ["x"])
+    fitted = models.make("gbdt", data, "y", maxIter=4, maxDepth=2).fit(data)
+    found, total = metrics.model_history(fitted, data), 0.0
+    for k, (tree, weight) in enumerate(zip(fitted.trees, fitted.treeWeights, strict=True)):
+        data = tree.setPredictionCol(f"p{k}").transform(data)
+        total = total + F.col(f"p{k}") * weight
+        assert found[k] == pytest.approx(data.agg(F.avg((F.col("y") - total) ** 2)).first()[0])
+    assert len(found) == 4 and metrics.model_history(fitted) == []
+
+
+def test_training_script_runs(spark, tmp_path, capsys):
+    spark.range(60).selectExpr("id AS a", "id % 7 AS b", "3 * id - id % 7 AS y").coalesce(1).write.option("header", True).csv(str(tmp_path / "data.csv"))
+    exec(compile(runs.training_script("linear", ["a", "b"], "y", {}, str(tmp_path / "data.csv")), "script", "exec"), {})
+    assert "r2" in capsys.readouterr().out
