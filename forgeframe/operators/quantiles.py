@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 #: Values that a global range of ``group_quantiles`` holds on average, and most ranges.
 RANGE_VALUES, MOST_RANGES = 50_000, 10_000
+#: Bytes of a table, as its plan estimates them, whose values one aggregation may count at once.
+SMALL_BYTES = 8 << 20
 #: Ranges that one pass counts within each range that still holds a wanted rank; rows from which on it counts values instead.
 RANGES, FEW = 1024, 4096
 
@@ -31,6 +33,21 @@ def _inside(df: DataFrame, values: DataFrame, names: list[str], columns: list[st
     return values.join(F.broadcast(table), on)
 
 
+def _is_small(df: DataFrame) -> bool:
+    """Whether the plan of ``df`` reads and makes so little that its values fit into one aggregation; unknown sizes count as large."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
+def _finite(column: str):
+    v = F.col(column).cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
+def _endless(column: str):
+    v = F.col(column).cast("double")
+    return F.count_if(~F.isnan(v) & (F.abs(v) == float("inf")))
+
+
 def quantiles(df: DataFrame, columns: list[str], shares: list[float], by: list[str] | None = None) -> dict[tuple, list[float | None]]:
     """(column, *group values): the quantiles at ``shares``, by linear interpolation between ranks; nulls and NaN are left out.
 
@@ -38,8 +55,13 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], by: list[s
     of every range that holds a wanted rank, until the range is one value: two to four passes as a rule.
     Tasks combine their counts before the shuffle, so what moves is bounded by ranges, columns and groups,
     whatever the number of rows; there must be few groups. A column without values, or a group's, has nulls.
+    A table of SMALL_BYTES at most, without infinite values, takes one aggregation of all values instead.
     """
     by = list(by or [])
+    if not by and shares and _is_small(df.select(*columns)):
+        row = df.agg(*(F.percentile(_finite(c), F.array(*map(F.lit, map(float, shares)))) for c in columns), *(_endless(c) for c in columns)).first()
+        if not any(row[len(columns) :]):
+            return {(c,): [None] * len(shares) if row[k] is None else list(row[k]) for k, c in enumerate(columns)}
     inf = float("inf")
     cell = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)]))
     names = [f"g{k}" for k in range(len(by))]
@@ -106,8 +128,11 @@ def group_quantiles(df: DataFrame, column: str, shares: list[float], by: list[st
 
     Null keys are a group; one without values has nulls. Values are counted by group before anything else, so equal ones are one row. The table's own
     quantiles, roughly, divide all values into ranges of about RANGE_VALUES: a group's wanted ranks are found by the counts of its ranges, then by ranks within the ranges
-    that hold them, which no group can make large. Only the ranges' ends come to the driver.
+    that hold them, which no group can make large. Only the ranges' ends come to the driver. A table of SMALL_BYTES at most, without infinite values, takes one aggregation instead.
     """
+    if shares and _is_small(df.select(*by, column)) and not df.agg(_endless(column)).first()[0]:
+        found = df.groupBy(*by).agg(F.percentile(_finite(column), F.array(*map(F.lit, map(float, shares)))).alias("q\x00"))
+        return found.select(*by, *(F.get("q\x00", F.lit(k)).alias(f"q{k}") for k in range(len(shares))))
     names = [f"g{k}\x00" for k in range(len(by))]
     v = F.col(column).cast("double")
     values = df.select(*[F.col(g).alias(n) for g, n in zip(by, names, strict=True)], F.when(~F.isnan(v), v).alias("v"))

@@ -33,6 +33,21 @@ def test_group_quantiles(spark, monkeypatch, size):
         assert got[key] == ([None] * 5 if not values else pytest.approx([quantile(values, p) for p in shares], nan_ok=True)), key
 
 
+@pytest.mark.parametrize("small", [0, 8 << 20])
+def test_small_tables_give_the_same(spark, monkeypatch, tmp_path, small):
+    monkeypatch.setattr(quantiles, "SMALL_BYTES", small)
+    rng = np.random.default_rng(4)
+    rows = [(str(i % 3) if i % 7 else None, float(v), None if i % 5 == 0 else int(v * 10), float("nan") if i % 2 else None) for i, v in enumerate(rng.normal(size=200))]
+    spark.createDataFrame(rows, "g string, v double, n int, none double").write.parquet(str(tmp_path / "t"))
+    df, shares = spark.read.parquet(str(tmp_path / "t")), [0.0, 0.1, 0.5, 0.77, 1.0]
+    want = {("v",): [quantile([r[1] for r in rows], p) for p in shares], ("n",): [quantile([r[2] for r in rows if r[2] is not None], p) for p in shares], ("none",): [None] * 5}
+    assert quantiles.quantiles(df, ["v", "n", "none"], shares) == {k: pytest.approx(v) for k, v in want.items()}
+    groups = {r.g: list(r)[1:] for r in quantiles.group_quantiles(df, "v", shares, ["g"]).collect()}
+    assert groups == {g: pytest.approx([quantile([r[1] for r in rows if r[0] == g], p) for p in shares]) for g in ("0", "1", "2", None)}
+    endless = df.withColumn("v", quantiles.F.when(quantiles.F.col("v") > 1, float("inf")).otherwise(quantiles.F.col("v")))
+    assert quantiles.quantiles(endless, ["v"], [1.0, 0.0]) == {("v",): [float("inf"), min(r[1] for r in rows)]}
+
+
 def test_box_statistics_of_many_groups(spark, capsys):
     df = spark.createDataFrame([(i % 50, float((i * 37) % 101)) for i in range(2000)], "g int, v double")
     out = profile.box_statistics(df, "v", ["g"])
