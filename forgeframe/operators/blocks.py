@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def numbered_blocks(rows: DataFrame, key: list[str], name: str, size: int) -> tuple[DataFrame, int]:
-    """``rows`` with a block number by hash of ``key``, and how many blocks there are (about ``size`` rows each)."""
-    blocks = max(1, -(-rows.count() // size))
+def numbered_blocks(rows: DataFrame, key: list[str], name: str, size: int, n: int | None = None) -> tuple[DataFrame, int]:
+    """``rows`` with a block number by hash of ``key``, and how many blocks there are (about ``size`` rows each, of ``n`` rows if that is known)."""
+    blocks = max(1, -(-(rows.count() if n is None else n) // size))
     return rows.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")), blocks
 
 
-def block_pairs(left: DataFrame, right: DataFrame, left_key: list[str], right_key: list[str], function: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int = BLOCK) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, left_key: list[str], right_key: list[str], function: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int = BLOCK, rows: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """``function(left block, right block)`` for each pair of blocks, dealt to tasks.
 
     A row travels once for each block of the other side; a task holds two blocks. Rows are dealt to blocks by
     hash of their key, so no order or hot value makes one large; rows of one key share a block. The function is to give back a bounded number of rows for
-    each left row, as what it returns is all that is shuffled on.
+    each left row, as what it returns is all that is shuffled on. ``rows`` says how many rows the sides have, where that is known or cheaper to count elsewhere.
     """
-    left, n_left = numbered_blocks(left, left_key, "left\x00", size)
-    right, n_right = numbered_blocks(right, right_key, "right\x00", size)
+    left, n_left = numbered_blocks(left, left_key, "left\x00", size, rows[0])
+    right, n_right = numbered_blocks(right, right_key, "right\x00", size, rows[1])
     left = left.withColumn("right\x00", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     right = right.withColumn("left\x00", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
     cell = ["left\x00", "right\x00"]

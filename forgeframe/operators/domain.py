@@ -95,9 +95,8 @@ def most_similar(queries: DataFrame, train: DataFrame, key: str, values: str, k:
     kind = queries.schema[key].dataType
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         raise TypeError("keys must be plain values")
-    there = f"`{key}` is not null and `{values}` is not null"
-    q, t = (d.where(there).select(key, packed_bits(F.col(values)).alias("words")) for d in (queries, train))
-    found = block_pairs(q, t, [key], [key], _best_of_block(key, k), f"`{key}` {kind.simpleString()}, `train_{key}` {train.schema[key].dataType.simpleString()}, similarity double")
+    q, t = (d.select(key, F.explode(F.array(packed_bits(F.col(values)))).alias("words")).where(f"`{key}` is not null and words is not null") for d in (queries, train))
+    found = block_pairs(q, t, [key], [key], _best_of_block(key, k), f"`{key}` {kind.simpleString()}, `train_{key}` {train.schema[key].dataType.simpleString()}, similarity double", rows=(queries.count(), train.count()))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), f"train_{key}"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

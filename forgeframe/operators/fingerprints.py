@@ -86,7 +86,8 @@ def folded(codes: Column, bits: int = 2048) -> Column:
 
 def circular_fingerprint(df: DataFrame, column: str, name: str = "fingerprint", radius: int = 2, bits: int = 2048) -> DataFrame:
     """``df`` with the circular fingerprint of the structure in ``column``; null where it can't be read."""
-    return df.withColumn(name, folded(circular_codes(perceived(molecular_graph(F.col(column))), radius), bits))
+    out = df.withColumn("graph\x00", perceived(molecular_graph(F.col(column))))
+    return out.withColumn(name, folded(circular_codes(F.col("graph\x00"), radius), bits)).select(*(c for c in df.columns if c != name), name)
 
 
 @dataclass

@@ -31,13 +31,33 @@ def neighbours(atoms: Column, bonds: Column) -> Column:
 
 
 def ring_bonds(atoms: Column, bonds: Column) -> Column:
-    """Whether each bond lies in a ring of any size: its ends stay connected without it."""
+    """Whether each bond lies in a ring of any size. Bonds come as a text gives them.
 
-    def connected(b: Column, k: Column) -> Column:
-        labels = F.aggregate(F.filter(bonds, lambda _, other: other != k), indices(atoms), lambda own, x: F.transform(own, lambda v: F.when(v == F.get(own, x["j"]), F.get(own, x["i"])).otherwise(v)))
-        return let(labels, lambda own: F.get(own, b["i"]) == F.get(own, b["j"]))
+    The first bond that leads to an atom from an earlier one is its tree bond; every other bond closes a ring, which takes the tree bonds of those
+    atoms that are above one of its ends and not above the other.
+    """
+
+    def tree(bonds: Column) -> Column:
+        def first(k: Column) -> Column:
+            return F.get(F.filter(indices(bonds), lambda e: (F.get(bonds, e)["j"] == k) & (F.get(bonds, e)["i"] < k)), F.lit(0))
+
+        return F.transform(indices(atoms), first)
+
+    def marked(by: Column) -> Column:
+        nothing = F.filter(F.array(F.array(F.lit(0))), lambda _: F.lit(False))
+
+        def under(seen: Column, k: Column) -> Column:
+            parent = F.get(bonds, F.get(by, k))["i"]
+            return F.concat(seen, F.array(F.concat(F.coalesce(F.get(seen, parent), F.array().cast("array<int>")), F.array(k))))
+
+        def rings(above: Column) -> Column:
+            extra = lambda b, e: F.coalesce(F.get(by, b["j"]), F.lit(-1)) != e
+            ends = F.transform(bonds, lambda b, e: F.when(extra(b, e), F.concat(F.array_except(F.get(above, b["i"]), F.get(above, b["j"])), F.array_except(F.get(above, b["j"]), F.get(above, b["i"])))).otherwise(F.array().cast("array<int>")))
+            return let(F.array_distinct(F.flatten(ends)), lambda on: F.transform(bonds, lambda b, e: extra(b, e) | F.array_contains(on, b["j"])))
+
+        return let(F.aggregate(indices(atoms), nothing, under), rings)
 
-    return F.transform(bonds, connected)
+    return let(tree(bonds), marked)
 
 
 def small_rings(near: Column, bonds: Column, in_ring: Column, largest: int = LARGEST) -> Column:

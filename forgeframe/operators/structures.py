@@ -165,7 +165,8 @@ def _with_hydrogens(g: Column) -> Column:
 
 
 def _perceived_rows(df: DataFrame, key: str, column: str, hydrogens: bool) -> DataFrame:
-    graph = df.select(key, perceived(molecular_graph(F.col(column))).alias("g")).where("g is not null")
+    # An exploded array of one keeps the condition from being computed apart, which would read every structure twice.
+    graph = df.select(key, F.explode(F.array(perceived(molecular_graph(F.col(column))))).alias("g")).where("g is not null")
     return graph.select(key, _with_hydrogens(F.col("g")).alias("g")) if hydrogens else graph
 
 

@@ -23,7 +23,7 @@ def plain(queries, train, k):
 
 @pytest.mark.parametrize("size", [4096, 20])
 def test_most_similar(spark, monkeypatch, size):
-    monkeypatch.setattr(blocks.block_pairs, "__defaults__", (size,))
+    monkeypatch.setattr(blocks.block_pairs, "__defaults__", (size, (None, None)))
     monkeypatch.setattr(domain, "PASS", 1 << 24 if size > 20 else 1)
     monkeypatch.setattr(domain, "AT_ONCE", 64 if size > 20 else 3)
     rng = np.random.default_rng(size)
