@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -70,6 +72,10 @@ def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*facts).select(F.inline(rows))
 
 
+#: Columns whose products one aggregation of expressions sums.
+FEW_COLUMNS = 16
+
+
 @dataclass
 class Components:
     """Principal components fitted on a table: what fills a column, its center and spread, and a column of loadings for each component."""
@@ -92,26 +98,51 @@ class Components:
         return self.standardised(df).withColumns(parts).drop(*self.columns)
 
 
+def _summed(rows: DataFrame, near: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(means, population covariances) of all columns of ``rows``, which have no nulls, from sums of products of the distances to ``near``."""
+    n = len(near)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n + 1, n + 1))
+        for batch in batches:
+            x = np.column_stack([*(c.to_numpy() - m for c, m in zip(batch.columns, near, strict=True)), np.ones(batch.num_rows)])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "v"])
+
+    sums = rows.mapInArrow(products, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+    total = np.zeros((n + 1) ** 2)
+    total[sums.column("place").to_numpy()] = sums.column("v").to_numpy()
+    total = total.reshape(n + 1, n + 1) / max(1.0, total[-1])
+    mean = total[-1, :n]
+    return mean + np.array(near), total[:n, :n] - np.outer(mean, mean)
+
+
 def component_fit(df: DataFrame, columns: list[str]) -> Components:
     """Components of the standardised ``columns``, missing values mean-filled; each one's largest loading is positive.
 
-    Only sums over the columns and their products come to the driver, in two aggregations.
+    Only sums over the columns and their products come to the driver, in two aggregations. Of more than FEW_COLUMNS each task sums the products of its
+    rows by matrices, which are added up as rows of numbers.
     """
     numbers = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     fill = [0.0 if x is None else float(x) for x in numbers.agg(*(F.avg(c) for c in columns)).first()]
     filled = numbers.select(*(F.coalesce(c, F.lit(f)).alias(c) for c, f in zip(columns, fill, strict=True)))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    facts = filled.agg(*(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns), *(F.covar_pop(columns[i], columns[j]) for i, j in pairs)).first()
     n = len(columns)
-    center, spread = [float(x or 0.0) for x in facts[:n]], [float(x or 1.0) or 1.0 for x in facts[n : 2 * n]]
-    matrix = np.zeros((n, n))
-    for k, (i, j) in enumerate(pairs):
-        matrix[i, j] = matrix[j, i] = (facts[2 * n + k] or 0.0) / spread[i] / spread[j]
+    if n > FEW_COLUMNS:
+        center, products = _summed(filled, fill)
+        spread = np.sqrt(np.diag(products))
+    else:
+        pairs = [(i, j) for i in range(n) for j in range(i, n)]
+        facts = [x or 0.0 for x in filled.agg(*(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns), *(F.covar_pop(columns[i], columns[j]) for i, j in pairs)).first()]
+        center, spread, products = np.array(facts[:n]), np.array(facts[n : 2 * n]), np.zeros((n, n))
+        for (i, j), v in zip(pairs, facts[2 * n :], strict=True):
+            products[i, j] = products[j, i] = v
+    spread = np.where(spread > 0, spread, 1.0)
+    matrix = products / spread[:, None] / spread
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(-values)
     values, vectors = values[order], vectors[:, order]
     vectors *= np.sign(vectors[np.abs(vectors).argmax(0), np.arange(n)])
-    return Components(columns, fill, center, spread, vectors, values)
+    return Components(columns, fill, center.tolist(), spread.tolist(), vectors, values)
 
 
 def principal_components(df: DataFrame, columns: list[str], keep: int | float) -> tuple[DataFrame, DataFrame]:

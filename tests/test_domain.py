@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from forgeframe.operators import blocks, domain
+from forgeframe.operators import blocks, domain, select
 
 
 def plain(queries, train, k):
@@ -69,7 +69,9 @@ def test_hull_of_hulls(spark, tasks):
     assert domain.hull(df.where("x = 1"), "x", "y") == [] and domain.hull(df.limit(0), "x", "y") == []
 
 
-def test_component_domain(spark):
+@pytest.mark.parametrize("few", [16, 2])
+def test_component_domain(spark, monkeypatch, few):
+    monkeypatch.setattr(select, "FEW_COLUMNS", few)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 5
     new = np.concatenate([x[:20] * 0.9, x[20:40] + 9])
