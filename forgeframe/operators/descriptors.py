@@ -112,12 +112,16 @@ def partial_charges(graph: Column) -> Column:
     return F.when(graph.isNotNull(), let(_with_hydrogens(graph), of))
 
 
+def _electronic(df: DataFrame, graph: str, prefix: str) -> DataFrame:
+    """``df`` with the charges' extremes and the polar surface of the perceived structure in the column ``graph``."""
+    q = F.col("charges\x00")
+    out = df.withColumn("charges\x00", F.slice(partial_charges(F.col(graph)), F.lit(1), F.greatest(F.size(F.col(graph)["atoms"]), F.lit(0))))
+    return out.withColumns({f"{prefix}_Max_Pos_Charge": F.array_max(q), f"{prefix}_Max_Neg_Charge": F.array_min(q), f"{prefix}_TPSA": polar_surface(F.col(graph))}).drop("charges\x00")
+
+
 def electronic(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """``df`` with ``<prefix>_Max_Pos_Charge``, ``<prefix>_Max_Neg_Charge`` (largest and smallest of the atoms other than hydrogen) and ``<prefix>_TPSA``; null where the structure, or an element's constants, isn't known."""
-    g, q = F.col("graph\x00"), F.col("charges\x00")
-    out = df.withColumn("graph\x00", perceived(molecular_graph(F.col(column))))
-    out = out.withColumn("charges\x00", F.slice(partial_charges(g), F.lit(1), F.greatest(F.size(g["atoms"]), F.lit(0))))
-    return out.withColumns({f"{prefix}_Max_Pos_Charge": F.array_max(q), f"{prefix}_Max_Neg_Charge": F.array_min(q), f"{prefix}_TPSA": polar_surface(g)}).drop("graph\x00", "charges\x00")
+    return _electronic(df.withColumn("graph\x00", perceived(molecular_graph(F.col(column)))), "graph\x00", prefix).drop("graph\x00")
 
 
 def domain_features(df: DataFrame, resin: str, hardener: str, given: str | None = None, given_as: str = "phr", keep_all: bool = True) -> DataFrame:
@@ -127,16 +131,16 @@ def domain_features(df: DataFrame, resin: str, hardener: str, given: str | None
     either structure can't be read, or, without ``keep_all``, no row. ``given`` names a column with the actual proportion, as ``functions.physics.stoichiometry`` takes it.
     """
     out = df
-    for column, name in ((resin, "r\x00"), (hardener, "h\x00")):
-        out = out.withColumn(name, perceived(molecular_graph(F.col(column))))
-        facts = _facts(F.col(name)["atoms"], F.col(name)["bonds"])
-        out = out.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(facts["weight"].alias("weight"), facts["n_epoxides"].alias("epoxides"), facts["n_active_hydrogens"].alias("hydrogens"))))
+    for column, graph, name in ((resin, "rg\x00", "r\x00"), (hardener, "hg\x00", "h\x00")):
+        out = out.withColumn(graph, perceived(molecular_graph(F.col(column))))
+        facts = _facts(F.col(graph)["atoms"], F.col(graph)["bonds"])
+        out = out.withColumn(name, F.when(F.col(graph).isNotNull(), F.struct(facts["weight"].alias("weight"), facts["n_epoxides"].alias("epoxides"), facts["n_active_hydrogens"].alias("hydrogens"))))
     both = F.col("r\x00").isNotNull() & F.col("h\x00").isNotNull()
     parts = stoichiometry(F.col("r\x00.weight"), F.col("r\x00.epoxides"), F.col("h\x00.weight"), F.col("h\x00.hydrogens"), F.col(given) if given else None, given_as)
     out = out.withColumn("s\x00", parts)
     names = {"EEW": "eew", "AHEW": "ahew", "Theoretical_PHR": "theoretical_phr", "Actual_PHR": "actual_phr", "Stoich_Ratio": "stoich_ratio", "Stoich_Delta": "stoich_delta"}
     made = {n: F.col(f"s\x00.{c}") for n, c in names.items()} | {"Resin_Functionality": F.col("r\x00.epoxides"), "Hardener_Functionality": F.col("h\x00.hydrogens")}
-    out = electronic(electronic(out.withColumns({n: F.when(both, c) for n, c in made.items()}), resin, "Resin"), hardener, "Hardener").drop("Hardener_Max_Neg_Charge")
+    out = _electronic(_electronic(out.withColumns({n: F.when(both, c) for n, c in made.items()}), "rg\x00", "Resin"), "hg\x00", "Hardener").drop("Hardener_Max_Neg_Charge")
     out = out.withColumns({n: F.when(both, F.col(n)) for n in ("Resin_Max_Pos_Charge", "Resin_Max_Neg_Charge", "Resin_TPSA", "Hardener_Max_Pos_Charge", "Hardener_TPSA")})
     out = out if keep_all else out.where(both)
-    return out.drop("r\x00", "h\x00", "s\x00")
+    return out.drop("r\x00", "h\x00", "s\x00", "rg\x00", "hg\x00")
