@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_raw
 from .fingerprints import bond_kind
-from .perception import perceived
-from .structures import VALENCES, _map, molecular_graph
+from .structures import VALENCES, _map, once_each, read_each
 
 #: What is written for a bond by its kind (aromatic and most single bonds: nothing).
 SIGNS = {2: "=", 3: "#"}
@@ -180,9 +179,13 @@ def canonical_structure(df: DataFrame, column: str, name: str = "canonical") ->
         return pd.Series([one(t, b) for t, b in zip(tokens, bonds, strict=True)], dtype=object)
 
     g, parts = F.col("graph\x00"), F.col("parts\x00")
-    out = df.withColumn("graph\x00", perceived(molecular_graph(clean_raw(F.col(column)))))
     bonds = F.transform(g["bonds"], lambda b: F.concat_ws(",", b["i"].cast("string"), b["j"].cast("string"), bond_kind(b).cast("string")))
     written = F.struct(F.when(g.isNotNull(), F.array_join(atom_tokens(g), " ")).alias("tokens"), F.array_join(bonds, " ").alias("bonds"))
-    # An exploded array of one keeps these expressions out of the call of Python, where they can't be computed.
-    out = out.select(*df.columns, F.explode(F.array(written)).alias("parts\x00"))
-    return out.withColumn(name, texts(parts["tokens"], parts["bonds"])).drop("parts\x00")
+
+    def made(each: DataFrame) -> DataFrame:
+        # An exploded array of one keeps these expressions out of the call of Python, where they can't be computed.
+        graph = read_each(each, clean_raw(F.col("text\x00")))
+        return graph.select("text\x00", F.explode(F.array(written)).alias("parts\x00")).select("text\x00", texts(parts["tokens"], parts["bonds"]).alias("made\x00"))
+
+    out = once_each(df, column, made)
+    return out.select(*(c for c in df.columns if c != name), F.col("made\x00").alias(name))
