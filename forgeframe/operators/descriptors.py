@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.physics import stoichiometry
-from .perception import let, perceived
-from .structures import _facts, _map, _with_hydrogens, molecular_graph
+from .perception import let
+from .structures import _facts, _map, _with_hydrogens, with_each
 
 # Published contributions to the polar surface, in square angstroms, by element, charge, hydrogens,
 # single, double, triple and aromatic bonds to other atoms, and whether the atom lies in a ring of three.
@@ -112,16 +112,23 @@ def partial_charges(graph: Column) -> Column:
     return F.when(graph.isNotNull(), let(_with_hydrogens(graph), of))
 
 
-def _electronic(df: DataFrame, graph: str, prefix: str) -> DataFrame:
-    """``df`` with the charges' extremes and the polar surface of the perceived structure in the column ``graph``."""
-    q = F.col("charges\x00")
-    out = df.withColumn("charges\x00", F.slice(partial_charges(F.col(graph)), F.lit(1), F.greatest(F.size(F.col(graph)["atoms"]), F.lit(0))))
-    return out.withColumns({f"{prefix}_Max_Pos_Charge": F.array_max(q), f"{prefix}_Max_Neg_Charge": F.array_min(q), f"{prefix}_TPSA": polar_surface(F.col(graph))}).drop("charges\x00")
+def _electronic(graph: Column) -> list[Column]:
+    """The charges' extremes and the polar surface of a perceived structure, as fields pos, neg and surface."""
+    charges = F.slice(partial_charges(graph), F.lit(1), F.greatest(F.size(graph["atoms"]), F.lit(0)))
+    extremes = let(charges, lambda q: F.struct(F.array_max(q).alias("pos"), F.array_min(q).alias("neg")))
+    return [extremes.alias("q"), polar_surface(graph).alias("surface")]
+
+
+def with_surface(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the polar surface of the structure in ``column``; null where it can't be read."""
+    out = with_each(df, column, "made\x00", polar_surface)
+    return out.select(*(c for c in df.columns if c != name), F.col("made\x00").alias(name))
 
 
 def electronic(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """``df`` with ``<prefix>_Max_Pos_Charge``, ``<prefix>_Max_Neg_Charge`` (largest and smallest of the atoms other than hydrogen) and ``<prefix>_TPSA``; null where the structure, or an element's constants, isn't known."""
-    return _electronic(df.withColumn("graph\x00", perceived(molecular_graph(F.col(column)))), "graph\x00", prefix).drop("graph\x00")
+    out = with_each(df, column, "e\x00", lambda g: F.struct(*_electronic(g)))
+    return out.withColumns({f"{prefix}_Max_Pos_Charge": F.col("e\x00.q.pos"), f"{prefix}_Max_Neg_Charge": F.col("e\x00.q.neg"), f"{prefix}_TPSA": F.col("e\x00.surface")}).drop("e\x00")
 
 
 def domain_features(df: DataFrame, resin: str, hardener: str, given: str | None = None, given_as: str = "phr", keep_all: bool = True) -> DataFrame:
@@ -130,17 +137,19 @@ def domain_features(df: DataFrame, resin: str, hardener: str, given: str | None
     Equivalent weights by epoxide rings and active hydrogens, functionalities, theoretical and actual parts per hundred, their ratio and difference, charges and polar surfaces. Null where
     either structure can't be read, or, without ``keep_all``, no row. ``given`` names a column with the actual proportion, as ``functions.physics.stoichiometry`` takes it.
     """
+    def part(g: Column) -> Column:
+        facts = _facts(g["atoms"], g["bonds"])
+        return F.when(g.isNotNull(), F.struct(facts["weight"].alias("weight"), facts["n_epoxides"].alias("epoxides"), facts["n_active_hydrogens"].alias("hydrogens"), *_electronic(g)))
+
     out = df
-    for column, graph, name in ((resin, "rg\x00", "r\x00"), (hardener, "hg\x00", "h\x00")):
-        out = out.withColumn(graph, perceived(molecular_graph(F.col(column))))
-        facts = _facts(F.col(graph)["atoms"], F.col(graph)["bonds"])
-        out = out.withColumn(name, F.when(F.col(graph).isNotNull(), F.struct(facts["weight"].alias("weight"), facts["n_epoxides"].alias("epoxides"), facts["n_active_hydrogens"].alias("hydrogens"))))
+    for column, name in ((resin, "r\x00"), (hardener, "h\x00")):
+        out = with_each(out, column, name, part)
     both = F.col("r\x00").isNotNull() & F.col("h\x00").isNotNull()
     parts = stoichiometry(F.col("r\x00.weight"), F.col("r\x00.epoxides"), F.col("h\x00.weight"), F.col("h\x00.hydrogens"), F.col(given) if given else None, given_as)
     out = out.withColumn("s\x00", parts)
     names = {"EEW": "eew", "AHEW": "ahew", "Theoretical_PHR": "theoretical_phr", "Actual_PHR": "actual_phr", "Stoich_Ratio": "stoich_ratio", "Stoich_Delta": "stoich_delta"}
     made = {n: F.col(f"s\x00.{c}") for n, c in names.items()} | {"Resin_Functionality": F.col("r\x00.epoxides"), "Hardener_Functionality": F.col("h\x00.hydrogens")}
-    out = _electronic(_electronic(out.withColumns({n: F.when(both, c) for n, c in made.items()}), "rg\x00", "Resin"), "hg\x00", "Hardener").drop("Hardener_Max_Neg_Charge")
-    out = out.withColumns({n: F.when(both, F.col(n)) for n in ("Resin_Max_Pos_Charge", "Resin_Max_Neg_Charge", "Resin_TPSA", "Hardener_Max_Pos_Charge", "Hardener_TPSA")})
+    made |= {"Resin_Max_Pos_Charge": F.col("r\x00.q.pos"), "Resin_Max_Neg_Charge": F.col("r\x00.q.neg"), "Resin_TPSA": F.col("r\x00.surface"), "Hardener_Max_Pos_Charge": F.col("h\x00.q.pos"), "Hardener_TPSA": F.col("h\x00.surface")}
+    out = out.withColumns({n: F.when(both, c) for n, c in made.items()})
     out = out if keep_all else out.where(both)
-    return out.drop("r\x00", "h\x00", "s\x00", "rg\x00", "hg\x00")
+    return out.drop("r\x00", "h\x00", "s\x00")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import checkpointed
 from .blocks import block_pairs
 from .select import component_fit
 
@@ -86,19 +87,27 @@ def _tanimoto(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.where(either > 0, shared / np.maximum(either, 1), 0.0)
 
 
-def most_similar(queries: DataFrame, train: DataFrame, key: str, values: str, k: int = 5) -> DataFrame:
+def most_similar(queries: DataFrame, train: DataFrame, key: str, values: str, k: int = 5, packed: bool = False) -> DataFrame:
     """The ``k`` most similar training rows of each query, ties by key.
 
-    Blocks of queries meet blocks of rows, packed into words, and only the best of each block are shuffled on; within a block, rows whose
+    Of rows with equal bits the ``k`` first by key can be among a query's, and queries with equal bits get the same rows, so copies aren't compared. Blocks of
+    queries meet blocks of rows, packed into words (``packed``: they come so), and only the best of each block are shuffled on; within a block, rows whose
     numbers of bits rule them out aren't compared. Keys are unique; rows of null key or values aren't compared; all fingerprints have one width.
     """
     kind = queries.schema[key].dataType
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         raise TypeError("keys must be plain values")
-    q, t = (d.select(key, F.explode(F.array(packed_bits(F.col(values)))).alias("words")).where(f"`{key}` is not null and words is not null") for d in (queries, train))
-    found = block_pairs(q, t, [key], [key], _best_of_block(key, k), f"`{key}` {kind.simpleString()}, `train_{key}` {train.schema[key].dataType.simpleString()}, similarity double", rows=(queries.count(), train.count()))
+    words = F.col(values) if packed else packed_bits(F.col(values))
+    q, t = (d.select(key, F.explode(F.array(words)).alias("words")).where(f"`{key}` is not null and words is not null") for d in (queries, train))
+    q = checkpointed(q)
+    first = F.row_number().over(Window.partitionBy("words").orderBy(key))
+    t = checkpointed(t.withColumn("first\x00", first).where(F.col("first\x00") <= k).drop("first\x00"))
+    unlike = q.groupBy("words").agg(F.min(key).alias(key))
+    found = block_pairs(unlike.select(key, "words"), t, [key], [key], _best_of_block(key, k), f"`{key}` {kind.simpleString()}, `train_{key}` {train.schema[key].dataType.simpleString()}, similarity double", rows=(unlike.count(), t.count()))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), f"train_{key}"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed(key, "like\x00")
+    of = q.join(unlike.withColumnRenamed(key, "like\x00").hint("merge"), "words").select(key, "like\x00")
+    return of.join(best.hint("merge"), "like\x00").select(key, f"train_{key}", "similarity", "rank")
 
 
 def in_domain(queries: DataFrame, train: DataFrame, key: str, values: str, threshold: float = 0.25) -> DataFrame:

@@ -12,8 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .perception import indices, let, perceived
-from .structures import NUMBERS, molecular_graph
+from .domain import packed_bits
+from .perception import indices, let
+from .structures import NUMBERS, with_each
 
 # Classes by substructure, each list in the order in which its patterns are tried.
 SUBSTRATES = {
@@ -86,8 +87,24 @@ def folded(codes: Column, bits: int = 2048) -> Column:
 
 def circular_fingerprint(df: DataFrame, column: str, name: str = "fingerprint", radius: int = 2, bits: int = 2048) -> DataFrame:
     """``df`` with the circular fingerprint of the structure in ``column``; null where it can't be read."""
-    out = df.withColumn("graph\x00", perceived(molecular_graph(F.col(column))))
-    return out.withColumn(name, folded(circular_codes(F.col("graph\x00"), radius), bits)).select(*(c for c in df.columns if c != name), name)
+    out = with_each(df, column, "made\x00", lambda g: folded(circular_codes(g, radius), bits))
+    return out.select(*(c for c in df.columns if c != name), F.col("made\x00").alias(name))
+
+
+def circular_places(df: DataFrame, column: str, name: str = "places", radius: int = 2, bits: int = 2048) -> DataFrame:
+    """``df`` with the places, ascending, of the bits that the circular fingerprint of the structure in ``column`` sets; null where it can't be read."""
+
+    def places(codes: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(codes, lambda c: F.pmod(c, F.lit(bits)).cast("int"))))
+
+    out = with_each(df, column, "made\x00", lambda g: circular_codes(g, radius), places)
+    return out.select(*(c for c in df.columns if c != name), F.col("made\x00").alias(name))
+
+
+def circular_words(df: DataFrame, column: str, name: str = "words", radius: int = 2, bits: int = 2048) -> DataFrame:
+    """``df`` with the circular fingerprint of the structure in ``column`` as 64-bit words (see ``domain.packed_bits``); null where it can't be read."""
+    out = with_each(df, column, "made\x00", lambda g: circular_codes(g, radius), lambda codes: folded(codes, bits), packed_bits)
+    return out.select(*(c for c in df.columns if c != name), F.col("made\x00").alias(name))
 
 
 @dataclass
@@ -216,12 +233,16 @@ def structure_classes(df: DataFrame, column: str, keep_all: bool = True) -> Data
 
     Mixtures may be divided by semicolons (also full-width ones). Null where the text can't be read, or, without ``keep_all``, no row.
     """
-    text = F.trim(F.regexp_replace(column, r"\s*[;；]\s*", "."))
-    out = df.withColumn("graph\x00", perceived(molecular_graph(text)))
-    for name, patterns, other in (("FGD_Substrate", SUBSTRATES, OTHER_SUBSTRATE), ("FGD_Group", GROUPS, OTHER_GROUP)):
+
+    def first_of(graph: Column, patterns: dict[str, str], other: str) -> Column:
         first = F
         for label, pattern in patterns.items():
-            first = first.when(has_substructure(F.col("graph\x00"), pattern), F.lit(label))
-        out = out.withColumn(name, F.when(F.col("graph\x00").isNotNull(), first.otherwise(F.lit(other))))
-    out = out.drop("graph\x00")
+            first = first.when(has_substructure(graph, pattern), F.lit(label))
+        return F.when(graph.isNotNull(), first.otherwise(F.lit(other)))
+
+    def classes(graph: Column) -> Column:
+        return F.struct(first_of(graph, SUBSTRATES, OTHER_SUBSTRATE).alias("FGD_Substrate"), first_of(graph, GROUPS, OTHER_GROUP).alias("FGD_Group"))
+
+    out = with_each(df, column, "classes\x00", classes, text=lambda t: F.trim(F.regexp_replace(t, r"\s*[;；]\s*", ".")))
+    out = out.select(*(c for c in df.columns if c not in ("FGD_Substrate", "FGD_Group")), "classes\x00.*")
     return out if keep_all else out.where("FGD_Group is not null")

@@ -78,8 +78,7 @@ SURFACES = [0, 0, 0, 0, 0, 0, 17.07, 0, 15.79, 24.06, 0, 34.14], [20.23, 26.02,
 @query(f"WITH {MADE} SELECT p_partkey, round({SURFACES[0]}[frame + 1] + {SURFACES[1]}[one + 1] + {SURFACES[1]}[two + 1], 4)::DOUBLE AS surface FROM m")
 def f08_polar_surface(spark, sf_dir):
     """Surfaces of frames and side groups, added up by hand."""
-    out = made(spark, sf_dir).withColumn("graph", structures.perceived(structures.molecular_graph(F.col("structure"))))
-    return rounded(out.select("p_partkey", descriptors.polar_surface(F.col("graph")).alias("surface")), 4)
+    return rounded(descriptors.with_surface(made(spark, sf_dir), "structure", "surface").select("p_partkey", "surface"), 4)
 
 
 @query()
@@ -93,15 +92,14 @@ def f08_domain_features(spark, sf_dir):
 @query()
 def f09_circular_fingerprint(spark, sf_dir):
     """The bits that are set of 2,048."""
-    bits = fingerprints.circular_fingerprint(made(spark, sf_dir), "structure")
-    return bits.select("p_partkey", F.filter(F.transform("fingerprint", lambda b, k: F.when(b == 1, k)), lambda k: k.isNotNull()).alias("bits"))
+    return fingerprints.circular_places(made(spark, sf_dir), "structure", "bits").select("p_partkey", "bits")
 
 
 @query()
 def d02_similar_structures(spark, sf_dir):
     """For each fiftieth part the five most similar structures of all others, by circular fingerprints."""
-    bits = fingerprints.circular_fingerprint(made(spark, sf_dir), "structure", bits=1024).select("p_partkey", "fingerprint")
-    return rounded(domain.most_similar(bits.where("p_partkey % 50 = 0"), bits.where("p_partkey % 50 <> 0"), "p_partkey", "fingerprint", 5))
+    bits = fingerprints.circular_words(made(spark, sf_dir), "structure", bits=1024).select("p_partkey", "words")
+    return rounded(domain.most_similar(bits.where("p_partkey % 50 = 0"), bits.where("p_partkey % 50 <> 0"), "p_partkey", "words", 5, packed=True))
 
 
 def _names(names: list[str]) -> str:
