@@ -112,3 +112,13 @@ def test_resampling(spark):
         p = rng.integers(0, 256, (h, w)).tolist()
         df = spark.createDataFrame([(p,)], "p array<array<int>>")
         assert df.select(images.resized(F.col("p"), F.lit(to[0]), F.lit(to[1]))).first()[0] == resized(p, *to)
+
+
+def test_squared_vectors_at_whole_numbers(spark, tmp_path):
+    """A vector just below a whole number, which single precision reaches: the query's rows are those of its SQL."""
+    from forgeframe.plans import catalogue
+    from tests.compare import connect, same
+
+    rows = [(k, [0.062499966472387314 if i % 8 == k else 0.01 * i for i in range(64)]) for k in range(3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    same(catalogue.queries()["f15_squared_images"](spark, str(tmp_path)), connect(str(tmp_path)), catalogue.oracle_sql()["f15_squared_images"])
