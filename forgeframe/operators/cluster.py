@@ -17,6 +17,8 @@ from .select import assembled
 
 #: Distances that one pass over two blocks holds.
 PASS = 1 << 20
+#: Blocks that many points make at least, so that all tasks have some; numbers that a block holds at most.
+ACROSS, LARGEST = 8, 1 << 22
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,49 +28,50 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _distance_sums(counts: list[int]):
-    """Of two blocks: for each left point and labelling, the summed distances to the right points of each label."""
+    """Of two blocks: for each left point the summed distances to the right points of each label of each labelling."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         x, y = (np.stack(t.column("v").to_numpy(zero_copy_only=False)).astype(float) if t.num_rows else np.zeros((0, 0)) for t in (left, right))
-        out: dict[str, list] = {"v": [], "choice": [], "label": [], "total": []}
+        totals = np.zeros((len(x) if len(y) else 0, sum(counts)))
         if len(x) and len(y):
             labels, weight = np.stack(right.column("labels").to_numpy(zero_copy_only=False)), right.column("n").to_numpy().astype(float)
-            shares = [np.where(labels[:, c][:, None] == np.arange(k), weight[:, None], 0.0) for c, k in enumerate(counts)]
+            shares = np.hstack([np.where(labels[:, c][:, None] == np.arange(k), weight[:, None], 0.0) for c, k in enumerate(counts)])
             step = max(1, PASS // len(y))
-            totals = np.zeros((len(x), sum(counts)))
             for at in range(0, len(x), step):
                 away = np.zeros((len(x[at : at + step]), len(y)))
                 for j in range(x.shape[1]):
                     away += (x[at : at + step, j][:, None] - y[:, j]) ** 2
-                totals[at : at + step] = np.sqrt(away) @ np.hstack(shares)
-            choice, label = (np.concatenate(z) for z in zip(*((np.full(k, c), np.arange(k)) for c, k in enumerate(counts)), strict=True))
-            out = {"v": left.column("v").take(pa.array(np.repeat(np.arange(len(x)), len(choice)))), "choice": np.tile(choice, len(x)).astype(np.int32), "label": np.tile(label, len(x)).astype(np.int32), "total": totals.ravel()}
-        return pa.table(out, schema=pa.schema([("v", pa.list_(pa.float64())), ("choice", pa.int32()), ("label", pa.int32()), ("total", pa.float64())]))
+                totals[at : at + step] = np.sqrt(away) @ shares
+        return pa.table({"v": left.column("v").slice(0, len(totals)).cast(pa.list_(pa.float64())), **{f"t{i}": totals[:, i] for i in range(sum(counts))}})
 
     return run
 
 
-def silhouettes(points: DataFrame, counts: list[int], block: int = BLOCK) -> dict[int, float]:
+def silhouettes(points: DataFrame, counts: list[int], block: int | None = None) -> dict[int, float]:
     """The mean Euclidean silhouette of each labelling of ``points`` (v array<double>, labels array<int>, a label from 0 to counts[c] - 1 each).
 
     Of a point: (b - a) / max(a, b), a its mean distance to the others of its label, b the least mean distance to another label's; 0 if it is alone. All pairs of
-    points count, so blocks of points meet each other once, for all labellings; equal points are one with a weight.
+    points count, so blocks of points meet each other once, for all labellings; equal points are one with a weight. A point travels, and gives a row of sums, once
+    a block, so blocks grow with the points until a task can't hold more (LARGEST numbers): what is shuffled is the points, a few times.
     """
     distinct = points.groupBy("v", "labels").agg(F.count("*").alias("n")).cache()
-    sums = block_pairs(distinct.groupBy(F.col("v").alias("v")).agg(F.max("n").alias("n")), distinct, ["v"], ["v"], _distance_sums(counts), "v array<double>, choice int, label int, total double", block)
-    sums = sums.groupBy("v", "choice", "label").agg(F.sum("total").alias("total"))
-    own = distinct.select("v", "n", F.posexplode("labels").alias("choice", "mine")).groupBy("v", "choice", "mine").agg(F.sum("n").alias("n"))
-    sizes = own.groupBy("choice", F.col("mine").alias("label")).agg(F.sum("n").alias("size"))
-    own = own.toDF("point", "of choice", "mine", "n")
-    both = sums.join(F.broadcast(sizes), ["choice", "label"]).join(own, (F.col("v") == F.col("point")) & (F.col("choice") == F.col("of choice")))
-    here = F.col("label") == F.col("mine")
-    a = F.max(F.when(here, F.try_divide("total", F.col("size") - 1)))
-    b = F.min(F.when(~here, F.col("total") / F.col("size")))
-    each = both.groupBy("v", "choice", "mine", "n").agg(a.alias("a"), b.alias("b"))
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    found = {r["choice"]: r["s"] for r in each.groupBy("choice").agg((F.sum(value * F.col("n")) / F.sum("n")).alias("s")).collect()}
+    n, width = distinct.agg(F.count("*"), F.max(F.size("v"))).first()
+    size = block or max(BLOCK, min(-(-n // ACROSS), LARGEST // ((width or 1) + sum(counts))))
+    schema = ", ".join(["v array<double>", *(f"t{i} double" for i in range(sum(counts)))])
+    sums = block_pairs(distinct.select(F.col("v").alias("v")).distinct(), distinct, ["v"], ["v"], _distance_sums(counts), schema, size, (n, n))
+    sums = sums.groupBy("v").agg(*(F.sum(f"t{i}").alias(f"t{i}") for i in range(sum(counts))))
+    rows = distinct.select("n", F.posexplode("labels").alias("choice", "label")).groupBy("choice", "label").agg(F.sum("n").alias("n")).collect()
+    sizes = {(r["choice"], r["label"]): r["n"] for r in rows}
+    values = []
+    for c, k in enumerate(counts):
+        mine, at = F.get("labels", F.lit(c)), sum(counts[:c])
+        there = [(label, F.col(f"t{at + label}"), sizes[c, label]) for label in range(k) if (c, label) in sizes]
+        a = F.coalesce(*(F.when(mine == label, F.try_divide(t, F.lit(s - 1))) for label, t, s in there), F.lit(None).cast("double"))
+        b = F.array_min(F.array(*(F.when(mine != label, t / s) for label, t, s in there)))
+        values.append(F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))))
+    found = distinct.join(sums, "v").agg(*((F.sum(value * F.col("n")) / F.sum("n")).alias(f"s{c}") for c, value in enumerate(values))).first()
     distinct.unpersist()
-    return found
+    return dict(enumerate(found))
 
 
 def cluster(df: DataFrame, columns: list[str], k: int | None = None, most: int = 15, seed: int = 42, name: str = "Cluster_Label", judge: str = "euclidean") -> tuple[DataFrame, int]:
