@@ -43,3 +43,28 @@ def test_merge_lifetimes(spark, block):
     share = want / want.sum()
     assert [stats["random"][c] for c in ("count", "max", "mean", "sum", "std", "entropy")] == pytest.approx([49, want.max(), want.mean(), want.sum(), want.std(), -(share * np.log(share + 1e-10)).sum()])
     assert spanning.merge_lifetimes(df.limit(0), "cloud", ["x"]).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 40, 1 << 18])
+def test_edges_of_many_blocks(spark, most):
+    """A cloud's edges go to one task only if they are few; rounds and task give one tree, and send no table whole."""
+    rng = np.random.default_rng(5)
+    clouds = {"random": rng.normal(size=(60, 3)), "grid": np.array(list(itertools.product(range(4), range(4), range(2))), float), "small": rng.normal(size=(7, 3))}
+    df = spark.createDataFrame([(name, *map(float, p)) for name, points in clouds.items() for p in points], "cloud string, x double, y double, z double").repartition(3)
+    sent = []
+
+    def joined(left, right, *rest, **named):
+        out = plain_join(left, right, *rest, **named)
+        sent.append("BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString())
+        return out
+
+    got, plain_join = {}, type(df).join
+    with pytest.MonkeyPatch.context() as m:
+        edges = spark.createDataFrame([(1, i, j, math.dist(p, q)) for (i, p), (j, q) in itertools.combinations(enumerate(clouds["random"]), 2)], "cloud long, u long, v long, length double")
+        m.setattr(type(df), "join", joined)
+        assert sorted(r.length for r in spanning._merged(edges, most).collect()) == pytest.approx(plain(clouds["random"].tolist()))
+    assert not any(sent) and bool(sent) == (most < len(clouds["random"]) * 59 // 2)
+    for r in spanning.merge_lifetimes(df, "cloud", ["x", "y", "z"], 5, most).collect():
+        got[r.cloud] = sorted([*got.get(r.cloud, []), *[r.lifetime] * r.n])
+    for name, points in clouds.items():
+        assert got[name] == pytest.approx(plain(points.tolist()), abs=1e-12), name
