@@ -81,3 +81,26 @@ def test_columns_for_values(spark):
     assert given.columns == ["i", "c_v03", "c_zz", "c_nan"] and sum(r.c_v03 for r in given.collect()) == sum(i % 30 == 3 and i % 7 > 0 for i in range(100))
     assert clean.one_hot(df, "c", values=[f"x{k}" for k in range(1500)]).columns[-1] == "c_x1499"
     assert {r.i: r["index"] for r in clean.one_hot_index(df, "c").collect()} == {i: i % 30 if i % 7 else None for i in range(100)}
+
+
+def test_many_shares_take_one_search_a_value(spark, monkeypatch):
+    """A value finds its range by search, not by a comparison with each; all ranges of a pass share a bounded number of parts."""
+    import numpy as np
+
+    monkeypatch.setattr(quantiles, "SMALL_BYTES", 0)
+    monkeypatch.setattr(quantiles, "FEW", 6)
+    rng = np.random.default_rng(3)
+    v, w = np.r_[rng.normal(size=1500), -1e9, 3e12, np.zeros(200)], rng.integers(0, 40, 1702).astype(float)
+    rows = [(*pair,) for pair in zip(v.tolist(), w.tolist(), strict=True)] + [(None, float("nan")), (float("nan"), None)]
+    df = spark.createDataFrame(rows, "v double, w double").repartition(3)
+    passes, plain = [], quantiles._tallies
+
+    def tallies(ranges, bins):
+        passes.append((len(ranges), bins))
+        return plain(ranges, bins)
+
+    monkeypatch.setattr(quantiles, "_tallies", tallies)
+    shares = [k / 100 for k in range(101)]
+    got = quantiles.quantiles(df, ["v", "w"], shares)
+    assert got[("v",)] == pytest.approx(np.quantile(v, shares).tolist()) and got[("w",)] == pytest.approx(np.quantile(w, shares).tolist())
+    assert len(passes) > 2 and all(n * bins <= max(2 * quantiles.ALL_RANGES, n * quantiles.LEAST_RANGES) for n, bins in passes)
