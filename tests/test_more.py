@@ -162,3 +162,16 @@ def test_training_script_runs(spark, tmp_path, capsys):
     spark.range(60).selectExpr("id AS a", "id % 7 AS b", "3 * id - id % 7 AS y").coalesce(1).write.option("header", True).csv(str(tmp_path / "data.csv"))
     exec(compile(runs.training_script("linear", ["a", "b"], "y", {}, str(tmp_path / "data.csv")), "script", "exec"), {})
     assert "r2" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_ranking_sends_no_rows_to_the_driver(spark, by):
+    """Rows of a table that seems small meet the counts of their ranges without being broadcast."""
+    df = spark.range(500).withColumn("g", F.col("id") % 3)
+    ranked = clean.hash_ranked(df, "id", by=by)
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan
+    counts = {}
+    for r in ranked.collect():
+        counts.setdefault(r.g if by else None, []).append(r["rank"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in counts.values()) and sum(map(len, counts.values())) == 500
