@@ -194,3 +194,23 @@ def test_kernel_regression_near_ridge(spark):
 def test_importance_table(spark, data):
     assert [tuple(r) for r in select.importance_table(data, ["a", "b"], [-2.0, 1.0]).collect()] == [("a", 1.0), ("b", 0.5)]
     assert [tuple(r) for r in select.importance_table(data, ["a"], [0.0]).collect()] == [("a", 0.0)]
+
+
+@pytest.mark.parametrize("together", [1000, 1])
+def test_standards_of_all_parts_come_from_one_set_of_passes(spark, monkeypatch, together):
+    from forgeframe.operators import metrics
+
+    monkeypatch.setattr(metrics, "TOGETHER", together)
+    rows = [(i, float(i * i % 17) if i % 5 else None, 3.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a double, flat double")
+    calls, plain = [], metrics.quantiles
+    monkeypatch.setattr(metrics, "quantiles", lambda *a: calls.append(1) or plain(*a))
+    parts = [F.col("id") % 3 != k for k in range(3)]
+    found = metrics.standards(df, ["a", "flat"], parts)
+    assert len(calls) == (1 if together > 1 else 3)
+    for k, facts in enumerate(found):
+        a = np.array([np.nan if r[1] is None else r[1] for r in rows if r[0] % 3 != k])
+        filled = np.where(np.isnan(a), np.nanmedian(a), a)
+        assert facts["a"] == pytest.approx((np.nanmedian(a), filled.mean(), filled.std())) and facts["flat"] == (3.0, 3.0, 0.0)
+        want, got = (metrics.standardise(df.where(parts[k]), ["a", "flat"], df).orderBy("id").collect(), metrics.standardised(df, facts).orderBy("id").collect())
+        assert [r.a for r in got] == pytest.approx([r.a for r in want]) and {r.flat for r in got} == {0.0}
