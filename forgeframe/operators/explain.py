@@ -103,19 +103,40 @@ def path_contributions(x: np.ndarray, paths: list[Path]) -> np.ndarray:
     return out
 
 
+def cells(x: np.ndarray, paths: list[Path]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stand for a cell each, the cell of each row): rows whose values lie between the same ends of the paths' intervals have the same contributions."""
+    x, number = np.where(np.isnan(x), np.inf, x), np.zeros(len(x), np.int64)
+    for f in range(x.shape[1]):
+        ends = np.unique([v for p in paths if f in p.features for v in p.features[f][:2]])
+        both = np.c_[number, np.searchsorted(ends, x[:, f], "left")]
+        # Numbered anew with each feature, so no product of many of them overflows.
+        number = np.unique(both[:, 0] * (len(ends) + 1) + both[:, 1], return_inverse=True)[1].reshape(-1)
+    return np.unique(number, return_index=True)[1], number
+
+
+def batch_contributions(x: np.ndarray, paths: list[Path]) -> np.ndarray:
+    """As ``path_contributions``; of the rows that a tree's splits don't tell apart one is worked out."""
+    out = np.zeros(x.shape)
+    for tree in sorted({p.tree for p in paths}):
+        own = [p for p in paths if p.tree == tree]
+        first, cell = cells(x, own)
+        out += path_contributions(x[first], own)[cell]
+    return out
+
+
 def tree_contributions(df: DataFrame, model, columns: list[str], key: list[str], prediction: str | None = None) -> DataFrame:
     """(key, a value for each column, base): exact path-dependent Shapley values of a tree model.
 
     ``model`` is a fitted tree, forest or boosted trees over ``columns``; values and base add up to its prediction, which comes along under
     the name ``prediction``, where that is one of ``key``. A missing value counts as larger than any, as in the trees. The paths, as many as the model has leaves,
-    go to the tasks with the code; rows stay where they are.
+    go to the tasks with the code; rows stay where they are, and of those of a batch that a tree's splits don't tell apart one is worked out.
     """
     paths = tree_paths(model)
     base = sum(p.value * float(np.prod([share for _, _, share in p.features.values()])) for p in paths)
 
     @F.pandas_udf("array<double>")
     def values(v: pd.Series) -> pd.Series:
-        return pd.Series(list(path_contributions(np.stack(v.to_numpy()), paths))) if len(v) else pd.Series([], dtype=object)
+        return pd.Series(list(batch_contributions(np.stack(v.to_numpy()), paths))) if len(v) else pd.Series([], dtype=object)
 
     data = df if "features" in df.columns else assembled(df, columns)
     if prediction:

@@ -68,3 +68,14 @@ def test_missing_values_go_as_in_the_trees(spark, data):
     for r in explain.tree_contributions(holes, model, COLUMNS, ["id", "prediction"], "prediction").collect():
         assert sum(r[c] for c in COLUMNS) + r.base == pytest.approx(r.prediction)
     assert explain.tree_contributions(holes.limit(0), model, COLUMNS, ["id"]).collect() == []
+
+
+def test_rows_of_one_cell_are_worked_out_once():
+    rng = np.random.default_rng(4)
+    paths = [explain.Path(k % 2, float(v), {0: (low, low + 1.0, 0.4), 2: (-np.inf, high, 0.7)}) for k, (v, low, high) in enumerate(rng.normal(size=(12, 3)).round(1))]
+    x = rng.normal(size=(5000, 3)).round(1)
+    x[::50, 0], x[1::50, 2], x[2::50, 0] = np.nan, np.inf, -np.inf
+    first, cell = explain.cells(x, paths)
+    assert len(first) < 1000
+    assert np.allclose(explain.path_contributions(x[first], paths)[cell], explain.path_contributions(x, paths), rtol=0, atol=1e-12)
+    assert np.allclose(explain.batch_contributions(x, paths), explain.path_contributions(x, paths), rtol=0, atol=1e-12)
