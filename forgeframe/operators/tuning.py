@@ -12,7 +12,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import cross_validate
+from .metrics import scores
+from .models import PREDICTION, validated, validation_sides
+from .splits import folds
 
 #: Random trials before densities are used, candidates of a step, and the share of trials that count as good.
 STARTUP, CANDIDATES, GOOD = 10, 24, 0.15
@@ -145,17 +147,20 @@ def search(df: DataFrame, columns: list[str], target: str, key: str, model: str,
     """(trial, params, r2) by mean score of ``k`` folds, best first, failed trials (null) last.
 
     ``space`` names a Real, Whole or Choice for each parameter (a list counts as a choice); by default that of SPACES. ``method``: ``parzen`` or ``random``. Trials
-    come one after the other, as each learns from those before; a trial's fits are Spark's.
+    come one after the other, as each learns from those before; a trial's fits are Spark's. Rows are dealt to folds and standardised once for all trials.
     """
     space = {n: Choice(tuple(s)) if isinstance(s, (list, tuple)) else s for n, s in (space or SPACES[model]).items()}
     chooser, rows = Parzen(space, seed), []
+    dealt = folds(df.where(F.col(target).isNotNull()), key, k, seed).cache()
+    sides = validation_sides(dealt, columns, ["fold"], target)
     for trial in range(trials):
         params = chooser.random() if method == "random" else chooser.suggest()
         try:
-            _, by_fold = cross_validate(df, columns, target, key, model, k, seed, **params)
+            by_fold = scores(validated(sides, target, key, ["fold"], model, seed, **params), target, PREDICTION, ["fold"])
             score = by_fold.agg(F.avg("r2")).first()[0]
         except (ArithmeticError, ValueError, np.linalg.LinAlgError, PySparkException, Py4JJavaError):
             score = None
         chooser.tell(params, score)
         rows.append((trial, json.dumps(params, sort_keys=True), score))
+    dealt.unpersist()
     return df.sparkSession.createDataFrame(rows, "trial int, params string, r2 double").orderBy(F.col("r2").desc_nulls_last(), "trial")

@@ -105,3 +105,11 @@ def test_evidence_finds_the_noise():
     y = phi @ rng.normal(size=20) * 2 + rng.normal(size=2000) * 0.3
     _, scale, noise = active.evidence(phi.T @ phi, phi.T @ y, float(y @ y), 2000)
     assert noise == pytest.approx(0.09, rel=0.1) and 1.5 < scale < 8
+
+
+def test_search_deals_its_folds_once(spark, monkeypatch):
+    df = spark.range(60).selectExpr("id", "cast(id * 7 % 11 AS double) AS a", "id * 7 % 11 + sin(id) AS y")
+    dealt, plain = [], tuning.folds
+    monkeypatch.setattr(tuning, "folds", lambda *a: dealt.append(1) or plain(*a))
+    found = tuning.search(df, ["a"], "y", "id", "elastic_net", trials=2).collect()
+    assert len(dealt) == 1 and len(found) == 2 and all(r.r2 is not None for r in found)
