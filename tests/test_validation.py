@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from forgeframe.operators import cluster, explain, models, select, splits
+from forgeframe.operators import clean, cluster, explain, models, select, splits
 from forgeframe.operators.metrics import scores
 from forgeframe.operators.select import assembled
 
@@ -214,3 +214,38 @@ def test_standards_of_all_parts_come_from_one_set_of_passes(spark, monkeypatch,
         assert facts["a"] == pytest.approx((np.nanmedian(a), filled.mean(), filled.std())) and facts["flat"] == (3.0, 3.0, 0.0)
         want, got = (metrics.standardise(df.where(parts[k]), ["a", "flat"], df).orderBy("id").collect(), metrics.standardised(df, facts).orderBy("id").collect())
         assert [r.a for r in got] == pytest.approx([r.a for r in want]) and {r.flat for r in got} == {0.0}
+
+
+def test_kernel_regression_predicts_without_a_table_of_waves(spark, data, rows):
+    x, _ = rows
+    z = assembled(data, COLUMNS)
+    m = models.make("svr", z, "y", features=30, gamma=0.2).fit(z)
+    rng = np.random.default_rng(42)
+    w, b = rng.normal(0, np.sqrt(0.4), (len(COLUMNS), 30)), rng.uniform(0, 2 * np.pi, 30)
+    seen = m.transform(z)
+    assert [r.prediction for r in seen.orderBy("id").collect()] == pytest.approx(list(np.cos(x @ w + b) @ m.coefficients + m.intercept))
+    assert "waves" not in seen._jdf.queryExecution().toString()
+    parts = [m.transform(z.where("id < 0").repartition(3)).collect(), m.transform(z.repartition(7)).count()]
+    assert parts == [[], len(x)]
+
+
+@pytest.mark.parametrize("most", [50_000, 5, 0])
+def test_a_split_leaves_rows_where_they_are(spark, monkeypatch, most):
+    """The bound of the hashes is found by counts; ranks are only for rows of one key on both sides."""
+    monkeypatch.setattr(clean, "RANGE_ROWS", most)
+    df = spark.createDataFrame([(i,) for i in range(997)], "id long")
+    ranked = sorted(range(997), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    for share in (0.2, 0.0, 0.001, 1.0):
+        got = splits.random_split(df, "id", share)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.id for r in got.where("is_test").collect()} == set(ranked[: -int(-997 * share // 1)])
+    assert splits.random_split(df.where("id < 0"), "id").collect() == []
+    even = splits.random_split(df.coalesce(1), "id", even=True)
+    assert even.rdd.getNumPartitions() == 1 and even.where("is_test").count() == 200
+
+
+def test_a_split_of_repeated_keys_has_its_exact_size(spark):
+    df = spark.createDataFrame([(i % 3 if i % 3 else None, i) for i in range(100)], "k long, id long")
+    for share in (0.01, 0.2, 0.5, 0.77):
+        got = splits.random_split(df, "k", share)
+        assert got.where("is_test").count() == -int(-100 * share // 1) and got.select("id").distinct().count() == 100
